@@ -7,6 +7,7 @@ from .oracles import ORACLES
 
 QUERIES = {
     "op1_decontamination": q.op1_decontamination,
+    "op8_simhash": q.op8_simhash,
     "op7_sharding": q.op7_sharding,
 }
 

@@ -37,3 +37,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     dealt = assign_slots(assign_shards(docs, "doc_id", 16, grown="grown_shard"), "shard", ["doc_id", "text_crc32", "size"])
     return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    from .simhash import near_duplicates
+
+    groups = near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
