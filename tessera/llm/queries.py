@@ -24,6 +24,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, with linked credential parts."""
+    from .secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to 16 shards by jump hashing of doc_id."""
     from .jump_shards import assign_shards, assign_slots
@@ -45,3 +52,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     groups = near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed public tokenizer files lie."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to token ids and decoded again."""
+    from .bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
