@@ -8,6 +8,7 @@ from .oracles import ORACLES
 QUERIES = {
     "op1_decontamination": q.op1_decontamination,
     "op3_secrets": q.op3_secrets,
+    "op5_toxicity": q.op5_toxicity,
     "op7_sharding": q.op7_sharding,
     "op8_simhash": q.op8_simhash,
     "op10_bpe": q.op10_bpe,

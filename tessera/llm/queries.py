@@ -31,6 +31,15 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels outside the held-out third."""
+    from .toxicity import classify, fit, held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classify(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to 16 shards by jump hashing of doc_id."""
     from .jump_shards import assign_shards, assign_slots
