@@ -7,6 +7,7 @@ from .oracles import ORACLES
 
 QUERIES = {
     "op1_decontamination": q.op1_decontamination,
+    "op2_fingerprints": q.op2_fingerprints,
     "op3_secrets": q.op3_secrets,
     "op5_toxicity": q.op5_toxicity,
     "op7_sharding": q.op7_sharding,

@@ -24,6 +24,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, compared with its edited text and with the next document."""
+    from .fingerprint import compare_neighbours
+
+    return compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, with linked credential parts."""
     from .secret_scan import scan
