@@ -10,6 +10,7 @@ QUERIES = {
     "op2_fingerprints": q.op2_fingerprints,
     "op3_secrets": q.op3_secrets,
     "op5_toxicity": q.op5_toxicity,
+    "op6_lm_scores": q.op6_lm_scores,
     "op7_sharding": q.op7_sharding,
     "op8_simhash": q.op8_simhash,
     "op10_bpe": q.op10_bpe,

@@ -47,6 +47,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document, learned from six sevenths of them."""
+    from .lm_trie import score
+    from .toxicity import held_out
+
+    out = held_out(F.col("doc_id"), 7, 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", out.alias("held_out"))
+    scored = score(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to 16 shards by jump hashing of doc_id."""
     from .jump_shards import assign_shards, assign_slots
