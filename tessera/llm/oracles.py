@@ -33,4 +33,21 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM doc d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN items t ON t.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_decontamination": OP1}
+OP4 = """
+WITH rec AS (
+  SELECT page_id, coalesce(html, '') AS body, sha256(html) AS mark,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+    || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages
+)
+SELECT page_id, CAST(page_id // 512 AS VARCHAR) || '-0' AS file,
+  row_number() OVER w - 1 AS place, CAST(1 AS BIGINT) AS copies, sha256(record) AS record_sha256,
+  CAST(sum(strlen(record)) OVER w - strlen(record) AS BIGINT) AS begin_offset,
+  CAST(sum(strlen(record)) OVER w AS BIGINT) AS end_offset,
+  CASE WHEN mark LIKE '00%' THEN 'corrupt' WHEN mark LIKE '01%' THEN 'missing' ELSE 'ok' END AS state
+FROM rec WINDOW w AS (PARTITION BY page_id // 512 ORDER BY page_id)
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op4_warc_audit": OP4}

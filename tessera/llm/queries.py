@@ -38,6 +38,25 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's WARC record, and what an audit against a damaged replica says of it.
+
+    The tables hold one copy of the pages, so the other replica is that copy
+    with damage: a changed first character where the SHA-256 of the html
+    begins with 00, no record where it begins with 01.
+    """
+    from .warc_audit import audit, records, tree
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    mark = F.substring(F.sha2(F.col("html").cast("binary"), 256), 1, 2)
+    damaged = F.when(mark == "00", F.concat(F.lit("?"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    other = pages.where(F.coalesce(mark != "01", F.lit(True))).withColumn("html", damaged)
+    own = tree(records(pages))
+    found = audit(own, tree(records(other))).select(*[F.col(c).alias(f"f_{c}") for c in ("file", "place", "state")])
+    met = own[0].join(found, (F.col("file") == F.col("f_file")) & (F.col("place") == F.col("f_place")), "left")
+    return met.select("page_id", "file", "place", "copies", F.col("hash").alias("record_sha256"), F.col("begin").alias("begin_offset"), F.col("end").alias("end_offset"), F.coalesce("f_state", F.lit("ok")).alias("state"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels outside the held-out third."""
     from .toxicity import classify, fit, held_out
@@ -81,6 +100,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     """Where the installed public tokenizer files lie."""
     import public_tokenizers
