@@ -81,6 +81,7 @@ class BlockMaxIndex:
         # Examples whose heaviest term is the same share blocks, which keeps bounds tight.
         heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in self.vectors]
         self.order = np.array(sorted(range(len(heaviest)), key=lambda i: (heaviest[i], i)), np.int64)
+        self.place_of = np.argsort(self.order)
         self.blocks = max(1, -(-len(self.order) // BLOCK))
         rows = [(t, place, w) for place, i in enumerate(self.order.tolist()) for t, w in zip(*map(np.ndarray.tolist, self.vectors[i]))]
         rows.sort()
@@ -97,23 +98,31 @@ class BlockMaxIndex:
         if not len(terms) or not len(self.weights):
             return []
         bounds = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            # A little slack covers rounding, and equal bounds may hold ties.
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1][0] * (1 - 1e-9)):
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lo, hi = self.starts[t * self.blocks + b], self.starts[t * self.blocks + b + 1]
-                if lo < hi:
-                    scores[self.places[lo:hi] - b * BLOCK] += w * self.weights[lo:hi]
-            for at in np.flatnonzero(scores > 0).tolist():
-                i = int(self.order[b * BLOCK + at])
-                if i != without:
-                    best.append((round(float(scores[at]), 12), i))
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        scores = np.zeros(len(self.order))
+        kth, done, step = 0.0, 0, 4
+        # A little slack covers rounding, and equal bounds may hold ties.
+        while done < len(order) and bounds[order[done]] >= kth * (1 - 1e-9):
+            scores += self._scored(terms, weights, order[done : done + step])
+            done, step = done + step, step * 2
+            if without >= 0:
+                scores[self.place_of[without]] = 0.0
+            kth = float(np.partition(scores, -k)[-k]) if len(scores) >= k else 0.0
+        at = np.flatnonzero((scores > 0) & (scores >= kth * (1 - 1e-9)))
+        best = [(round(s, 12), i) for s, i in zip(scores[at].tolist(), self.order[at].tolist())]
+        best.sort(key=lambda x: (-x[0], x[1]))
+        return best[:k]
+
+    def _scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Inner products of the examples in some blocks, 0 for all others."""
+        cells = (terms[:, None] * self.blocks + blocks).ravel()
+        low = self.starts[cells]
+        sizes = self.starts[cells + 1] - low
+        ends = np.cumsum(sizes)
+        postings = np.repeat(low - ends + sizes, sizes) + np.arange(ends[-1])
+        parts = np.repeat(np.repeat(weights, len(blocks)), sizes) * self.weights[postings]
+        return np.bincount(self.places[postings], parts, len(self.order))
 
 
 @dataclass
