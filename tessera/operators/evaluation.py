@@ -54,7 +54,7 @@ def coherence(expected: DataFrame, group_files: DataFrame, infrastructure: DataF
     every = sizes.join(best, "expected_id", "left").join(lost, "expected_id", "left")
     kept = F.when(F.col("lost") > 0, F.least(F.coalesce("best", F.lit(0.0)), F.lit(1.0) - scores.ratio(F.col("lost"), F.col("n_must")))).otherwise(F.coalesce("best", F.lit(0.0)))
     weight = F.greatest(F.col("n_must"), F.lit(1))
-    return every.agg(F.coalesce(F.sum(kept * weight) / F.sum(weight), F.lit(1.0)).alias("score"))
+    return every.agg(F.coalesce(F.try_divide(F.sum(kept * weight), F.sum(weight)), F.lit(1.0)).alias("score"))
 
 
 def ordering(constraints: DataFrame, group_files: DataFrame, orders: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def ordering(constraints: DataFrame, group_files: DataFrame, orders: DataFrame)
 
     met = constraints.join(first("higher", "h"), "constraint_id", "left").join(first("lower", "l"), "constraint_id", "left")
     good = F.col("h").isNotNull() & (F.col("l").isNull() | (F.col("h") <= F.col("l")))
-    return met.agg(F.coalesce(F.count_if(good) / F.count(F.lit(1)), F.lit(1.0)).alias("score"))
+    return met.agg(F.coalesce(F.try_divide(F.count_if(good), F.count(F.lit(1))), F.lit(1.0)).alias("score"))
 
 
 def reasonableness(groups: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def reasonableness(groups: DataFrame) -> DataFrame:
 def recall(expected: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     """(score): share of expected rows that are found; 1 without expectations."""
     met = expected.select(*on).distinct().join(found.select(*on).distinct().withColumn("hit", F.lit(True)), on, "left")
-    return met.agg(F.coalesce(F.count_if(F.col("hit")) / F.count(F.lit(1)), F.lit(1.0)).alias("score"))
+    return met.agg(F.coalesce(F.try_divide(F.count_if(F.col("hit")), F.count(F.lit(1))), F.lit(1.0)).alias("score"))
 
 
 def constraint_results(sets: DataFrame, locations: DataFrame) -> DataFrame:

@@ -222,6 +222,6 @@ ORACLES = {
       bwd(seed, node, dist) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT w.seed, c.src, w.dist + 2 FROM bwd w JOIN known c ON c.dst = w.node WHERE w.dist < 120),
       best AS (SELECT node, seed, dist, row_number() OVER (PARTITION BY node ORDER BY dist, seed) AS r FROM (SELECT * FROM fwd UNION ALL SELECT * FROM bwd))
       SELECT CAST(o_orderkey AS VARCHAR) AS path, seed AS entrypoint, CAST(dist AS INTEGER) AS dist FROM orders LEFT JOIN best ON best.node = o_orderkey AND best.r = 1""",
-    "text_keys": """SELECT doc_id, CAST((octet_length(encode(text)) + 3) // 4 AS BIGINT) AS tokens,
+    "text_keys": r"""SELECT doc_id, CAST((octet_length(encode(text)) + 3) // 4 AS BIGINT) AS tokens,
       sha256('d/' || CAST(doc_id AS VARCHAR) || chr(0) || text) AS content_key, regexp_replace(lower(trim(substr(text, 1, 40))), '\s+', ' ', 'g') AS name FROM documents""",
 }
