@@ -11,7 +11,7 @@ so the generator's 64-bit product is put together from 32- and 16-bit limbs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,8 +112,7 @@ def assign_slots(df: DataFrame, shard: str, order: list[str], slot: str = "slot"
     placed = materialize(placed.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id()).drop("__row"), "slots")
     runs = placed.groupBy("__part", F.col(f"`{shard}`").alias("__shard")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     # One row for each partition and shard met: at most partitions + shards rows.
-    later = runs.select(F.col("__part").alias("__p"), F.col("__shard").alias("__s"), F.col("__n").alias("__m"))
-    met = runs.join(F.broadcast(later), (F.col("__shard") == F.col("__s")) & (F.col("__p") < F.col("__part")), "left")
-    starts = met.groupBy("__part", "__shard", "__first").agg(F.coalesce(F.sum("__m"), F.lit(0)).alias("__before"))
-    out = placed.join(F.broadcast(starts), (placed["__part"] == starts["__part"]) & (placed[shard] == starts["__shard"]))
-    return out.withColumn(slot, (F.col("__at") - F.col("__first") + F.col("__before")).cast("bigint")).drop("__part", "__shard", "__at", "__first", "__before")
+    before = Window.partitionBy("__shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(F.col("__part").alias("__p"), "__shard", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    out = placed.join(F.broadcast(starts), (F.col("__part") == F.col("__p")) & (F.col(f"`{shard}`") == F.col("__shard")))
+    return out.withColumn(slot, (F.col("__at") - F.col("__first") + F.col("__before")).cast("bigint")).drop("__part", "__p", "__shard", "__at", "__first", "__before")

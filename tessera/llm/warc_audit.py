@@ -122,12 +122,18 @@ def audit(left: list[DataFrame], right: list[DataFrame], fanout: int = FANOUT) -
         y = b.select(F.col("file").alias("r_file"), F.col("place").alias("r_place"), F.col("hash").alias("y"))
         both = x.join(y, (F.col("file") == F.col("r_file")) & (F.col("place") == F.col("r_place")), "full")
         differing = materialize(both.where(~F.col("x").eqNullSafe(F.col("y"))).select(F.coalesce("file", "r_file").alias("file"), F.coalesce("place", "r_place").alias("place")), f"warc-{level}")
-    # Inside the leaf ranges left, records are paired by id and their number there.
-    turn = Window.partitionBy("file", "page_id").orderBy("place")
+    # Inside the leaf ranges left, records that both replicas hold cancel out; of
+    # the others those of one id are paired in order.
     mark = F.concat_ws(":", "hash", F.col("copies").cast("string"))
-    x = a.withColumn("turn", F.row_number().over(turn)).withColumn("hash", mark)
-    y = b.withColumn("turn", F.row_number().over(turn)).withColumn("hash", mark).select(*[F.col(c).alias(f"r_{c}") for c in ("file", "place", "page_id", "hash", "begin", "end", "turn")])
+    x, y = (d.withColumn("hash", mark) for d in (a, b))
+
+    def only(one: DataFrame, other: DataFrame) -> DataFrame:
+        held = other.select(F.col("file").alias("o_file"), F.col("page_id").alias("o_id"), F.col("hash").alias("o_hash"))
+        met = (F.col("file") == F.col("o_file")) & F.col("page_id").eqNullSafe(F.col("o_id")) & (F.col("hash") == F.col("o_hash"))
+        return one.join(held, met, "left_anti").withColumn("turn", F.row_number().over(Window.partitionBy("file", "page_id").orderBy("place")))
+
+    x, y = only(x, y), only(y, x).select(*[F.col(c).alias(f"r_{c}") for c in ("file", "place", "page_id", "hash", "begin", "end")], F.col("turn").alias("r_turn"))
     same = (F.col("file") == F.col("r_file")) & F.col("page_id").eqNullSafe(F.col("r_page_id")) & (F.col("turn") == F.col("r_turn"))
-    pair = x.join(y, same, "full").where(~F.col("hash").eqNullSafe(F.col("r_hash")))
+    pair = x.join(y, same, "full")
     state = F.when(F.col("r_hash").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("corrupt")
     return pair.select(*[F.coalesce(c, f"r_{c}").alias(c) for c in ("file", "place", "page_id")], state.alias("state"), *[F.coalesce(c, f"r_{c}").alias(c) for c in ("begin", "end")])
