@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Tokens after which a chunk ends; a longer text is a chunk of its own.
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_500_000
 MOST_SHARD_BITS = 12
 #: Words that no text has: the end of a text, and the context before its first word.
 END, START = b"\n", b"\t"
