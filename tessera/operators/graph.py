@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "/index.tsx")
+#: Rounds of a search after which its layers are written as one table.
+COMPACT = 16
 WORKSPACE_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")
 
 
@@ -143,15 +145,18 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None, step
     the rounds, and `depth` bounds them.
     """
     steps = edges.select("src", "dst").distinct()
-    reached = cut(seeds.select("seed", "node", F.lit(0).alias("dist")).distinct())
-    front, round_ = reached, 0
+    layers = [cut(seeds.select("seed", "node", F.lit(0).alias("dist")).distinct())]
+    reached, round_ = layers[0], 0
     while depth is None or round_ < depth:
         round_ += 1
-        ahead = front.select("seed", F.col("node").alias("src")).join(steps, "src").select("seed", F.col("dst").alias("node")).distinct()
+        ahead = layers[-1].select("seed", F.col("node").alias("src")).join(steps, "src").select("seed", F.col("dst").alias("node")).distinct()
         new = cut(ahead.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(round_ * step).alias("dist")))
         if new.isEmpty():
             break
-        reached, front = cut(reached.unionByName(new)), new
+        layers.append(new)
+        reached = reached.unionByName(new)
+        if len(layers) % COMPACT == 0:
+            reached = cut(reached)
     return reached
 
 
