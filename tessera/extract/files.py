@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,9 +14,10 @@ from .facts import KINDS, SCHEMA
 
 
 def extractors() -> dict:
-    from . import go_source, python_source, script_source
+    from . import brace_source, go_source, python_source, script_source
 
-    return {"Python": python_source.extract, "Go": go_source.extract, "TypeScript": script_source.extract, "JavaScript": script_source.extract}
+    others = {name: partial(brace_source.extract, name) for name in brace_source.LANGUAGES}
+    return others | {"Python": python_source.extract, "Go": go_source.extract, "TypeScript": script_source.extract, "JavaScript": script_source.extract}
 
 
 def parse(files: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
-from tessera.extract import go_source, python_source, script_source
+import pytest
+
+from tessera.extract import brace_source, go_source, python_source, script_source
 from tessera.extract.files import parse, rows
 
 SCRIPT = """
@@ -50,3 +52,26 @@ def test_rows_and_errors(spark):
     assert got["c.rb"].language == "Ruby" and got["d.ts"].calls == []
     assert [r.name for r in rows(parse(df), "definitions").collect()] == ["f"]
     assert parse(df.limit(0)).count() == 0
+
+
+CASES = {
+    "Rust": ("use std::io::{Read, Write as W};\nuse axum::Router;\npub struct A { a: u32 }\nimpl A {\n  pub fn new(x: u32) -> Self { let y = db::load(x); A { a: y } }\n}\nconst K: u32 = 3;\n", ["std::io", "axum::Router"], [("A", "Struct"), ("new", "Function"), ("K", "Constant")], [("db::load", "new")]),
+    "Java": ("import java.util.List;\npublic class A {\n  public A(int x) { this.x = x; }\n  public List<String> get(int id) throws E { User u = repo.find(id); return save(u); }\n}\ninterface I { void m(); }\n", ["java.util.List"], [("A", "Class"), ("A", "Function"), ("get", "Function"), ("I", "Interface")], [("repo.find", "get"), ("save", "get")]),
+    "CSharp": ("using System;\nusing X = A.B;\npublic class C { public async Task<int> Get(int id) { var u = await svc.Load(id); return u; } }\n", ["System", "A.B"], [("C", "Class"), ("Get", "Function")], [("svc.Load", "Get")]),
+    "Php": ("<?php\nuse App\\Models\\User;\nuse A\\{B, C as D};\nclass X { public function get($id) { $u = User::find($id); return $this->save($u); } }\n", ["App\\Models\\User", "A"], [("X", "Class"), ("get", "Function")], [("User::find", "get"), ("$this->save", "get")]),
+    "Ruby": ("require 'json'\nclass A < B\n  def get(id)\n    u = load(id)\n    if u\n      save(u)\n    end\n  end\nend\n", ["json"], [("A", "Class"), ("get", "Function")], [("load", "get"), ("save", "get")]),
+    "Kotlin": ("import io.ktor.server.*\nimport a.b as c\nclass A { fun get(id: Int): Int { val u = load(id); return save(u) } }\n", ["io.ktor.server.*", "a.b"], [("A", "Class"), ("get", "Function")], [("load", "get"), ("save", "get")]),
+    "Swift": ("import Vapor\nstruct A { func get(_ id: Int) -> Int { let u = load(id); return save(u) } }\n", ["Vapor"], [("A", "Struct"), ("get", "Function")], [("load", "get"), ("save", "get")]),
+    "Scala": ("import a.b.{C, D => E}\nobject A { def get(id: Int): Int = { val u = load(id); save(u) } }\n", ["a.b"], [("A", "Class"), ("get", "Function")], [("load", "get"), ("save", "get")]),
+    "C": ('#include <stdio.h>\nstruct s { int a; };\nstatic int add(int a, int b) { int c = mul(a, b); return c; }\n', ["stdio.h"], [("s", "Struct"), ("add", "Function")], [("mul", "add")]),
+    "Cpp": ("#include <crow.h>\nclass A { public: int get(int id) { auto u = repo->find(id); return std::max(u, 1); } };\n", ["crow.h"], [("A", "Class"), ("get", "Function")], [("repo->find", "get"), ("std::max", "get")]),
+}
+
+
+@pytest.mark.parametrize("language", CASES)
+def test_brace_languages(language):
+    source, imports, definitions, calls = CASES[language]
+    f = brace_source.extract(language, source).rows
+    assert [i["source"] for i in f["imports"]] == imports
+    assert [(d["name"], d["kind"]) for d in f["definitions"]] == definitions
+    assert [(c["callee"], c["containing_function"]) for c in f["calls"]] == calls
