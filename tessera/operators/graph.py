@@ -144,7 +144,7 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None, step
     the frontier with the edges and drops what was reached before; cycles end
     the rounds, and `depth` bounds them.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = cut(edges.select("src", "dst").distinct())
     layers = [cut(seeds.select("seed", "node", F.lit(0).alias("dist")).distinct())]
     reached, round_ = layers[0], 0
     while depth is None or round_ < depth:

@@ -22,19 +22,36 @@ def blocks(df: DataFrame, n: int) -> int:
 def pairs(vectors: DataFrame, least: float, id: str = "id", vector: str = "vector") -> DataFrame:
     """(a, b, similarity), a < b, of all pairs whose cosine is `least` or more.
 
-    All pairs have to be compared, so the rows are dealt into blocks by hash
-    and each pair of blocks meets in an equi-join; vectors are scaled to unit
-    length once. Only pairs over the threshold leave the join.
+    All pairs have to be compared, so the rows are dealt into blocks by hash,
+    and each pair of blocks is one group of bounded size whose cosines are one
+    matrix product. Only pairs over the threshold leave it. Null, empty and
+    zero vectors have no pairs; vectors of different lengths do not meet.
     """
+    import numpy as np
+    import pyarrow as pa
+
     n = blocks(vectors, vectors.count())
-    norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, v: s + v))
-    unit = F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
-    base = vectors.select(F.col(id).alias("id"), unit.alias("u"), F.pmod(F.xxhash64(id), F.lit(n)).cast("int").alias("block")).where("u IS NOT NULL")
-    left = base.select(F.col("id").alias("x"), F.col("u").alias("ux"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least(F.col("block"), o).alias("p"), F.greatest(F.col("block"), o).alias("q")))).alias("cell"), "block")
-    right = base.select(F.col("id").alias("y"), F.col("u").alias("uy"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least(F.col("block"), o).alias("p"), F.greatest(F.col("block"), o).alias("q")))).alias("cell2"))
-    dot = F.aggregate(F.zip_with("ux", "uy", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    met = left.join(right, (F.col("cell") == F.col("cell2")) & (F.col("x") < F.col("y")) & (F.size("ux") == F.size("uy")) & (dot >= least))
-    return met.select(F.col("x").alias("a"), F.col("y").alias("b"), dot.alias("similarity")).dropDuplicates(["a", "b"])
+    block = F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least(F.col("block"), o).alias("p"), F.greatest(F.col("block"), o).alias("q")))
+    base = vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), block.alias("block")).where(F.size("v") > 0)
+    dealt = base.select("id", "v", "block", F.size("v").alias("d"), F.explode(cells).alias("cell")).select("id", "v", "block", "cell.p", "cell.q", "d")
+    kind = vectors.schema[id].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        block, ids = table.column("block").to_numpy(), table.column("id").to_pylist()
+        m = np.array(table.column("v").to_pylist(), np.float64)
+        norm = np.sqrt((m * m).sum(axis=1))
+        m /= np.where(norm > 0, norm, 1.0)[:, None]
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        left, right = np.flatnonzero((block == p) & (norm > 0)), np.flatnonzero((block == q) & (norm > 0))
+        dots = m[left] @ m[right].T
+        i, j = np.nonzero(dots >= least)
+        found = [(ids[left[x]], ids[right[y]], float(dots[x, y])) for x, y in zip(i.tolist(), j.tolist())]
+        # Inside one block each pair is met from both sides.
+        found = [(a, b, s) for a, b, s in found if a < b] if p == q else [(a, b, s) if a < b else (b, a, s) for a, b, s in found if a != b]
+        return pa.table({"a": pa.array([f[0] for f in found], table.schema.field("id").type), "b": pa.array([f[1] for f in found], table.schema.field("id").type), "similarity": pa.array([f[2] for f in found], pa.float64())})
+
+    return dealt.groupBy("p", "q", "d").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
 def top_pairs(vectors: DataFrame, k: int, least: float = -1.0, id: str = "id", vector: str = "vector") -> DataFrame:
