@@ -56,6 +56,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Partitions below which rows are dealt anew before work that is heavy for each row.
+FEW_PARTITIONS = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its few files would keep most of them idle.
+
+    Tables of more partitions pass as they are, so this never shuffles a large
+    table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_PARTITIONS) else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the table behind a `materialize` result that no later step reads."""
     files = df.inputFiles()

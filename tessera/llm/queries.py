@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in each document."""
     from .decontaminate import find
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = find(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
@@ -35,7 +35,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, with linked credential parts."""
     from .secret_scan import scan
 
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import classify, fit, held_out
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = classify(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = classify(spread(docs), fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
@@ -73,7 +73,7 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = held_out(F.col("doc_id"), 7, 2)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", out.alias("held_out"))
-    scored = score(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+    scored = score(spread(docs), ~F.col("held_out"), keep=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -96,7 +96,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     from .simhash import near_duplicates
 
-    groups = near_duplicates(table(spark, sf_dir, "documents"))
+    groups = near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -104,7 +104,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in every document."""
     from .license_scan import scan
 
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -118,4 +118,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to token ids and decoded again."""
     from .bpe import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
+    return round_trip(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), vocabulary_path())
