@@ -81,4 +81,13 @@ ORACLES = {
     "renumbered_groups": f"""WITH {PATHS_SQL}, g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS d, min(path) AS first_file FROM paths GROUP BY 1)
       SELECT 'group_' || CAST(row_number() OVER (ORDER BY first_file) AS VARCHAR) AS group_id, split_part(d, '/', -1) || ' (directory)' AS name, first_file FROM g""",
     "global_order": "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders",
+    "expected_coherence": f"""WITH {PATHS_SQL}, {_ONE}, e(eid, piece, must) AS (VALUES (1, 'auth/user.service.ts', true), (1, 'auth/README.md', true), (1, 'docs/index', false),
+        (2, 'scripts/build.sh', true), (2, 'nowhere', true), (3, 'Dockerfile', true), (3, 'zz', false)),
+      sz AS (SELECT eid, count(*) FILTER (WHERE must) AS nm, count(*) FILTER (WHERE NOT must) AS nn FROM e GROUP BY eid),
+      h AS (SELECT DISTINCT eid, group_no, piece, must FROM one JOIN e ON contains(path, piece)),
+      f AS (SELECT eid, group_no, count(*) FILTER (WHERE must) AS y, count(*) FILTER (WHERE NOT must) AS n FROM h GROUP BY 1, 2),
+      b AS (SELECT f.eid, max(greatest(0.0, y / nm - 0.5 * CASE WHEN nn = 0 THEN 0 ELSE n / nn END)) AS best FROM f JOIN sz ON sz.eid = f.eid GROUP BY f.eid),
+      l AS (SELECT eid, count(DISTINCT piece) AS lost FROM paths JOIN e ON contains(path, piece) WHERE must AND {sql('path', pt.ENVIRONMENT)} GROUP BY eid)
+      SELECT round(sum(CASE WHEN lost > 0 THEN least(coalesce(best, 0), 1 - lost / nm) ELSE coalesce(best, 0) END * greatest(nm, 1)) / sum(greatest(nm, 1)), 9) AS score
+      FROM sz LEFT JOIN b ON b.eid = sz.eid LEFT JOIN l ON l.eid = sz.eid""",
 }

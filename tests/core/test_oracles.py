@@ -12,4 +12,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_only_known_queries_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == {"text_budgets", "consolidated_groups", "entrypoint_detection", "expected_coherence"}
+    assert set(QUERIES) - set(ORACLES) == {"text_budgets", "consolidated_groups", "entrypoint_detection"}
