@@ -29,8 +29,8 @@ FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 COMMON = 200
 #: Bytes handled at once; a longer text is taken in overlapping pieces.
 PIECE = 1 << 18
-#: Rows whose texts are held at once.
-ROWS = 128
+#: Rows whose texts are held at once, and ranges of ids for each shuffle partition.
+ROWS, RANGES = 128, 4
 
 _UNRANKED = 1 << 12
 
@@ -253,8 +253,10 @@ def _in_ranges(df: DataFrame, id: str, text: str) -> DataFrame:
     # A null id sorts first. Only the ids are read here.
     key = F.coalesce(F.col("id"), F.lit(-(1 << 63)).cast("bigint"))
     ids = df.select(F.coalesce(F.col(f"`{id}`").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("k"))
-    cuts = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    bounds = sorted({int(c) for c in cuts}) if parts > 1 else []
+    # A few ranges for each partition even out how they hash into partitions.
+    n = RANGES * parts
+    cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    bounds = sorted({int(c) for c in cuts})
     # The range of an id is the number of bounds at or below it, by halving the sorted bounds.
     rows = rows.withColumn("range", _range_of(key, bounds))
     firsts = ids.select(_range_of(F.col("k"), bounds).alias("range"), "k").groupBy("range").agg(F.min("k").alias("k")).orderBy("range").collect()
