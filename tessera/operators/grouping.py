@@ -166,3 +166,28 @@ def tests_with_their_subjects(assigned: DataFrame) -> DataFrame:
     met = kinds.join(by_stem, "stem", "left").join(by_name, "bare", "left")
     moved = F.when(F.col("test"), F.coalesce("g_stem", "g_bare", "group_no")).otherwise(F.col("group_no"))
     return met.select("path", moved.alias("group_no"))
+
+
+def merged_by_stem(group_files: DataFrame) -> DataFrame:
+    """(path, group_no): groups that share a stem between a test and what it tests become one.
+
+    A stem counts where exactly two groups have it, one with a test and one
+    with a file that is none. Merging makes no such stem invalid, so all of
+    them are merged at once, round by round, until none is left; the largest
+    group, the first of equals, gives its number.
+    """
+    from .graph import components, cut
+
+    p = F.col("path")
+    now = cut(group_files.select("path", "group_no", paths.bare_stem(p).alias("stem"), paths.is_test_file(p).alias("test")))
+    while True:
+        by_group = now.where("stem != ''").groupBy("stem", "group_no").agg(F.bool_or("test").alias("t"), F.bool_or(~F.col("test")).alias("i"))
+        shared = by_group.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.bool_or("t").alias("t"), F.bool_or("i").alias("i"), F.min("group_no").alias("a"), F.max("group_no").alias("b"))
+        links = cut(shared.where("n = 2 AND t AND i").select("a", "b").distinct())
+        if links.isEmpty():
+            return now.select("path", "group_no")
+        sizes = now.groupBy("group_no").agg(F.count(F.lit(1)).alias("n"))
+        named = components(links).join(sizes, F.col("node") == F.col("group_no"))
+        largest = named.groupBy("component").agg(F.min_by("node", F.struct(-F.col("n"), "node")).alias("into"))
+        to = named.join(largest, "component").select(F.col("node").alias("old"), "into")
+        now = cut(now.join(to, F.col("group_no") == F.col("old"), "left").select("path", F.coalesce("into", "group_no").alias("group_no"), "stem", "test"))

@@ -51,13 +51,15 @@ def group_name():
     return F.concat(label, F.lit(" "), paths.lookup(F.col("entrypoint_type"), NAMES))
 
 
-def analyze(files: DataFrame, workspace: DataFrame | None = None) -> Analysis:
+def analyze(files: DataFrame, workspace: DataFrame | None = None, large: int = grouping.LARGE_CHANGE) -> Analysis:
     """Review groups of changed `files` (path, content, additions, deletions).
 
     Files reach the group of their nearest entrypoint; tests follow what they
     test; source files out of reach join the nearest group by directory, then
     by topic; the rest is infrastructure. Without entrypoints, connected files
-    and then directories make the groups.
+    and then directories make the groups. From `large` files on, a file only
+    reaches entrypoints of its own coarse bucket, and buckets of infrastructure
+    are reached by none.
     """
     changed = graph.cut(files.select("path", "content", "additions", "deletions"))
     parsed = graph.cut(parse(changed))
@@ -71,16 +73,31 @@ def analyze(files: DataFrame, workspace: DataFrame | None = None) -> Analysis:
     if starts.isEmpty():
         group_files, infra, groups = _without_entrypoints(every, nodes, edges)
     else:
-        near = graph.cut(graph.nearest_entrypoint(graph.file_reachability(edges, nodes, starts), every))
+        reach = graph.file_reachability(edges, nodes, starts)
+        many = every.count() >= large
+        if many:
+            reach = _inside_buckets(reach, starts)
+        near = graph.cut(graph.nearest_entrypoint(reach, every))
         own = near.where("entrypoint IS NOT NULL").select("path", F.col("entrypoint").alias("group_no"))
         assigned = graph.cut(grouping.tests_with_their_subjects(own))
         left = every.join(assigned, "path", "left_anti")
-        rescued = graph.cut(_rescued(left, assigned))
-        group_files = assigned.unionByName(rescued)
+        rescued = graph.cut(_rescued_in_buckets(left, assigned) if many else _rescued(left, assigned))
+        group_files = grouping.merged_by_stem(assigned.unionByName(rescued))
         infra = left.join(rescued, "path", "left_anti")
         # Files out of reach come last.
         distance = near.select("path", F.coalesce("dist", F.lit(1 << 30)).alias("dist"))
         groups = starts.select(F.col("entrypoint").alias("group_no"), group_name().alias("name")).join(group_files.select("group_no").distinct(), "group_no")
+        if many:
+            # Buckets without an entrypoint make groups of their own.
+            bucket = paths.partition_key(F.col("path")).alias("bucket")
+            reached = assigned.select(bucket).distinct()
+            rest = infra.withColumn("bucket", bucket).where(~F.col("bucket").startswith("infra:")).join(reached, "bucket", "left_anti").select("path")
+            more_files, _, more_groups = _without_entrypoints(graph.cut(rest), nodes, edges)
+            top = starts.agg(F.max("entrypoint")).first()[0]
+            more_files = graph.cut(more_files.withColumn("group_no", F.col("group_no") + top))
+            group_files = group_files.unionByName(more_files.select("path", "group_no"))
+            groups = groups.unionByName(more_groups.withColumn("group_no", F.col("group_no") + top).select("group_no", "name"))
+            infra = infra.join(more_files, "path", "left_anti")
     numbered = ranking.in_order(groups, [F.asc("name"), F.asc("group_no")], "n").select("group_no", "name", F.concat(F.lit("group_"), F.col("n").cast("string")).alias("group_id"))
     listed = group_files.join(numbered, "group_no").join(changed.select("path", "additions", "deletions"), "path").join(distance, "path")
     heads = starts.select(F.col("file").alias("path"), F.col("entrypoint").alias("group_no"), F.lit(True).alias("head")).distinct()
@@ -94,6 +111,13 @@ def analyze(files: DataFrame, workspace: DataFrame | None = None) -> Analysis:
     return Analysis(final, listed, infra, nodes, edges, starts, dataflow.frameworks(imports, every), languages)
 
 
+def _inside_buckets(reach: DataFrame, starts: DataFrame) -> DataFrame:
+    """What entrypoints reach inside their own coarse bucket."""
+    bucket = paths.partition_key(F.col("file"))
+    own = starts.select("entrypoint", bucket.alias("bucket")).where(~F.col("bucket").startswith("infra:"))
+    return reach.withColumn("bucket", bucket).join(own, ["entrypoint", "bucket"], "left_semi").select("entrypoint", "file", "dist")
+
+
 def _rescued(left: DataFrame, assigned: DataFrame) -> DataFrame:
     """(path, group_no) of files out of reach that are not infrastructure."""
     p = F.col("path")
@@ -106,6 +130,13 @@ def _rescued(left: DataFrame, assigned: DataFrame) -> DataFrame:
     return met.select("path", F.coalesce("group_no", "topic_group").alias("group_no")).where("group_no IS NOT NULL")
 
 
+def _rescued_in_buckets(left: DataFrame, assigned: DataFrame) -> DataFrame:
+    """The same, by groups with files in the file's own bucket only."""
+    bucket = paths.partition_key(F.col("path"))
+    at = assigned.select("group_no", bucket.alias("bucket")).distinct()
+    return _rescued(left, assigned).withColumn("bucket", bucket).join(at, ["group_no", "bucket"], "left_semi").select("path", "group_no")
+
+
 def _without_entrypoints(every: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = F.col("path")
     category = paths.category(p)

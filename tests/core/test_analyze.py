@@ -85,3 +85,13 @@ def test_without_entrypoints_and_empty(spark):
     assert [r.path for r in a.infrastructure.collect()] == ["Dockerfile"]
     none = analyze(spark.createDataFrame([], "path string, content string, additions bigint, deletions bigint"))
     assert none.groups.count() == 0 and none.infrastructure.count() == 0
+
+
+def test_large_changes_stay_in_their_buckets(spark):
+    files = [("apps/web/src/main.go", "package main\nfunc main() { }\n", 1, 0), ("apps/api/src/x.ts", "export const x = 1;", 1, 0), ("docs/guide.md", "", 1, 0), ("apps/web/src/y.ts", "", 1, 0)]
+    a = analyze(spark.createDataFrame(files, "path string, content string, additions bigint, deletions bigint"), large=2)
+    groups = {}
+    for r in a.group_files.collect():
+        groups.setdefault(r.group_id, set()).add(r.path)
+    assert sorted(map(sorted, groups.values())) == [["apps/api/src/x.ts"], ["apps/web/src/main.go", "apps/web/src/y.ts"]]
+    assert {r.path for r in a.infrastructure.collect()} == {"docs/guide.md"}

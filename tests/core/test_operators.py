@@ -75,6 +75,13 @@ def test_tests_follow_their_subjects(spark):
     assert got == {"src/a.ts": 1, "src/a.test.ts": 1, "spec/b.spec.ts": 4, "lib/b.ts": 4, "spec/none.spec.ts": 5}
 
 
+def test_groups_merge_by_stem(spark):
+    rows = [("src/a.ts", 1), ("t/a.test.ts", 2), ("x/b.ts", 2), ("y/b.spec.ts", 3), ("p/c.ts", 4), ("q/c.ts", 5), ("r/c.test.ts", 6), ("z/index.ts", 7), ("z/index.test.ts", 8)]
+    got = {r.path: r.group_no for r in grouping.merged_by_stem(frame(spark, "path string, group_no int", *rows)).collect()}
+    # a links 1 and 2, b links 2 and 3; c is in three groups, index is a name that many packages share.
+    assert got == {p: 2 if g in (1, 2, 3) else g for p, g in rows}
+
+
 def test_topic_affinity(spark):
     groups = frame(spark, "group_no int, path string", (0, "docs_src/tutorial/where/tutorial006b_py310.py"), (1, "src/other.py"))
     got = grouping.nearest_by_topic(frame(spark, "path string", ("docs/tutorial/where.md",), ("zzz.md",)), groups).collect()
