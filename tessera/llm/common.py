@@ -39,18 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 _OWN: str | None = None
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_REGISTERED = False
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation beyond the
-    tasks that were running on it. The table goes when the driver ends.
+    tasks that were running on it. The table goes when the driver ends, or
+    with `clear`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_clean)
+    global _REGISTERED
+    if not _REGISTERED:
+        atexit.register(clear)
+        _REGISTERED = True
     _WRITTEN.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -85,9 +89,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _clean() -> None:
-    for entry in _WRITTEN:
+def clear() -> None:
+    """Delete all tables behind `materialize` results.
+
+    For long sessions, between queries: results not yet read need their tables.
+    """
+    while _WRITTEN:
         try:
-            _delete(*entry)
+            _delete(*_WRITTEN.pop())
         except Exception:  # noqa: BLE001  the session may be gone by now
             return

@@ -6,7 +6,7 @@ import numpy as np
 
 from tessera.llm import fingerprint as fp
 
-from .corpus import documents, frame, text
+from .corpus import documents, text
 
 
 def test_entropy_against_counting():
