@@ -69,15 +69,13 @@ def build_nodes(files: DataFrame, definitions: DataFrame) -> DataFrame:
     return modules.unionByName(symbols).groupBy("id").agg(F.min_by(F.struct("name", "file", "kind"), "pos").alias("n")).select("id", "n.*")
 
 
-def import_edges(resolved: DataFrame, nodes: DataFrame, exports: DataFrame, reexports: DataFrame) -> DataFrame:
+def import_edges(resolved: DataFrame, nodes: DataFrame, reexports: DataFrame) -> DataFrame:
     """Import edges from modules to the symbols or modules that they import.
 
     `resolved` is (path, resolved, name, is_default, is_namespace), name null
     for an import for its side effects. `reexports` is (path, name, resolved):
-    where a file passes a name on. `exports` is unused beyond it and kept for
-    symmetry with call edges.
+    where a file passes a name on.
     """
-    del exports
     ids = nodes.select(F.col("id").alias("known"))
     wanted = resolved.where("resolved IS NOT NULL").withColumn("symbol", F.concat_ws("::", "resolved", "name"))
     met = wanted.join(ids.withColumnRenamed("known", "s_known"), F.col("symbol") == F.col("s_known"), "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores
+from .graph import cut
 
 PARTS = ("risk", "centrality", "surface_area", "uncertainty")
 
@@ -19,9 +20,8 @@ def in_order(df: DataFrame, by: list, name: str, within: list[str] | None = None
     """
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*by)))
-    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
     # Both uses of `placed` must see the same ranges.
-    placed = placed.persist()
+    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     sizes = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # a row for each partition

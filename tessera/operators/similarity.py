@@ -7,7 +7,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores
 from .graph import components
 
 #: Vectors of one block that meet one other block at a time.
@@ -113,6 +112,3 @@ def refine(group_files: DataFrame, vectors: DataFrame, least: float = 0.75, smal
     moved = group_files.sparkSession.createDataFrame(sorted(into.items()), "old int, new int")
     return group_files.join(F.broadcast(moved), F.col("group_no") == F.col("old"), "left").select("path", F.coalesce("new", "group_no").alias("group_no"))
 
-
-def cosine_of(a, b):
-    return scores.cosine(a, b)

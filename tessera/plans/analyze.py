@@ -39,7 +39,7 @@ def build_graph(parsed: DataFrame, workspace: DataFrame | None = None) -> tuple[
     resolved = graph.resolve_imports(imports, files, workspace)
     named = resolved.select("path", "pos", "resolved", "is_default", "is_namespace", F.posexplode_outer("names").alias("name_pos", "n")).select("path", "pos", "name_pos", "resolved", "is_default", "is_namespace", "n.name", "n.alias")
     passed = graph.resolve_imports(exports.where("is_reexport").select("path", "pos", "source", "name"), files, workspace).select("path", "name", "resolved")
-    edges = graph.import_edges(named, nodes, exports, passed).unionByName(graph.call_edges(calls, graph.import_bindings(named, definitions), nodes))
+    edges = graph.import_edges(named, nodes, passed).unionByName(graph.call_edges(calls, graph.import_bindings(named, definitions), nodes))
     edges = edges.unionByName(dataflow.graph_edges(dataflow.heuristic_edges(calls), nodes))
     return nodes, graph.cut(edges)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import json
 import os
+import re
 import tomllib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,10 +89,7 @@ def workspace_map(spark: SparkSession, root: str) -> DataFrame:
 
 def ignored(path, globs: list[str], own: str = ".tessera/"):
     """Whether a path is the tool's own or matches a glob; `**` spans directories."""
-    import fnmatch
-
-    patterns = [fnmatch.translate(g).replace("(?s:", "(?s:") for g in globs]
     out = path.startswith(own)
-    for p in patterns:
-        out = out | path.rlike(p.replace(r"\Z", "$").replace(r"\z", "$"))
+    for g in globs:
+        out = out | path.rlike("^" + re.sub(r"\\[zZ]$", "", fnmatch.translate(g)) + "$")
     return out
