@@ -135,8 +135,8 @@ def with_known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst", "edge_type")
 
 
-def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None, step: int = 1) -> DataFrame:
-    """(seed, node, dist): hops from each seed along src -> dst, times `step`.
+def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(seed, node, dist): hops from each seed along src -> dst.
 
     `edges` is (src, dst), `seeds` (seed, node). Breadth first: a round joins
     the frontier with the edges and drops what was reached before; cycles end
@@ -148,7 +148,7 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None, step
     while depth is None or round_ < depth:
         round_ += 1
         ahead = layers[-1].select("seed", F.col("node").alias("src")).join(steps, "src").select("seed", F.col("dst").alias("node")).distinct()
-        new = cut(ahead.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(round_ * step).alias("dist")))
+        new = cut(ahead.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(round_).alias("dist")))
         if new.isEmpty():
             break
         layers.append(new)
@@ -166,9 +166,12 @@ def file_reachability(edges: DataFrame, nodes: DataFrame, entrypoints: DataFrame
     """
     start = entrypoints.select(F.col("entrypoint").alias("seed"), F.explode(F.array(F.concat_ws("::", "file", "symbol"), F.col("file"))).alias("node"))
     seeds = start.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").select("seed", "node")
-    forward = distances(edges, seeds)
-    backward = distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds, step=2)
-    met = forward.unionByName(backward).join(nodes.select(F.col("id").alias("node"), "file"), "node")
+    # Both directions are one search over a graph that holds every node twice.
+    ahead = edges.select(F.struct(F.lit(1).alias("hop"), F.col("src").alias("id")).alias("src"), F.struct(F.lit(1).alias("hop"), F.col("dst").alias("id")).alias("dst"))
+    back = edges.select(F.struct(F.lit(2).alias("hop"), F.col("dst").alias("id")).alias("src"), F.struct(F.lit(2).alias("hop"), F.col("src").alias("id")).alias("dst"))
+    twice = seeds.select("seed", F.explode(F.array(F.lit(1), F.lit(2))).alias("hop"), "node").select("seed", F.struct("hop", F.col("node").alias("id")).alias("node"))
+    found = distances(ahead.unionByName(back), twice)
+    met = found.select("seed", F.col("node.id").alias("node"), (F.col("dist") * F.col("node.hop")).alias("dist")).join(nodes.select(F.col("id").alias("node"), "file"), "node")
     own = entrypoints.select(F.col("entrypoint").alias("seed"), "file", F.lit(0).alias("dist"))
     every = met.select("seed", "file", "dist").unionByName(own)
     return every.groupBy(F.col("seed").alias("entrypoint"), "file").agg(F.min("dist").alias("dist"))
