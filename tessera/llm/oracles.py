@@ -50,4 +50,31 @@ SELECT page_id, CAST(page_id // 512 AS VARCHAR) || '-0' AS file,
 FROM rec WINDOW w AS (PARTITION BY page_id // 512 ORDER BY page_id)
 """
 
-ORACLES = {"op1_decontamination": OP1, "op4_warc_audit": OP4}
+#: CRC-32 byte by byte over a table made by its rule; the walk of jump hashing in 128-bit integers.
+OP7 = """
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+), hexed AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), bytes AS (
+  SELECT doc_id, list_transform(range(len(h) // 2), lambda i: (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16
+    + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1) AS bs FROM hexed
+), crc AS (
+  SELECT doc_id, len(bs) + 1 AS size, xor(list_reduce(list_prepend(4294967295, bs),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, tab
+), walk(doc_id, k, j, a, b) AS (
+  SELECT doc_id, CAST(doc_id AS HUGEINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM documents
+  UNION ALL
+  SELECT doc_id, k, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(k // 8589934592 + 1 AS DOUBLE))) AS BIGINT),
+    CASE WHEN j < 16 THEN j ELSE a END, CASE WHEN j < 17 THEN j ELSE b END
+  FROM (SELECT doc_id, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k, j, a, b FROM walk WHERE j < 17)
+), dealt AS (
+  SELECT doc_id, a, b FROM walk WHERE j >= 17
+)
+SELECT c.doc_id, CAST(c.size AS BIGINT) AS size, CAST(c.text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(d.a AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY d.a ORDER BY c.doc_id) - 1 AS slot, CAST(d.b AS INTEGER) AS grown_shard
+FROM crc c JOIN dealt d ON d.doc_id = c.doc_id
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op4_warc_audit": OP4, "op7_sharding": OP7}
