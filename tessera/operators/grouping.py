@@ -62,8 +62,9 @@ def merged_at(groups: DataFrame, depth: int) -> DataFrame:
     agreed = (F.size("files") > 0) & F.forall(prefixes, lambda p: F.coalesce(p == prefixes[0], F.lit(False)))
     small = F.col("entrypoint").isNull() & (F.size("files") <= SMALL_GROUP) & agreed
     marked = groups.withColumn("prefix", F.when(small, prefixes[0])).withColumn("parent", paths.parent_directory(F.get("files", F.lit(0)), None))
-    counts = marked.where("prefix IS NOT NULL").groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
-    met = marked.join(counts.withColumnRenamed("prefix", "c_prefix"), F.col("prefix") == F.col("c_prefix"), "left")
+    # Rows are groups here; those without a prefix stay by themselves.
+    alike = Window.partitionBy(F.coalesce("prefix", F.lit("")), F.when(F.col("prefix").isNull(), F.col("number")).otherwise(-1))
+    met = marked.withColumn("n", F.when(F.col("prefix").isNotNull(), F.count(F.lit(1)).over(alike)))
     parent = F.coalesce("parent", F.get("files", F.lit(0)))
     bucket = F.when(F.col("n") > MOST_MERGED, F.concat_ws("\0", F.lit("p"), "prefix", parent)).when(F.col("n") > 1, F.concat_ws("\0", F.lit("d"), "prefix")).otherwise(F.concat_ws("\0", F.lit("g"), F.col("number").cast("string")))
     first = F.min_by(F.struct("name", "entrypoint"), "number")
@@ -76,8 +77,10 @@ def merged_at(groups: DataFrame, depth: int) -> DataFrame:
 def consolidated(groups: DataFrame) -> DataFrame:
     """Small groups merged at directory depths 6 down to 0, then numbered by name."""
     out = groups.withColumn("number", F.row_number().over(Window.orderBy("name", F.get("files", F.lit(0)))))
+    from .graph import cut
+
     for depth in range(6, -1, -1):
-        out = merged_at(out, depth)
+        out = cut(merged_at(out, depth))
     return out.withColumn("group_id", F.concat(F.lit("group_"), F.col("number").cast("string")))
 
 
