@@ -22,6 +22,9 @@ _NAME = "regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '')"
 _UNMARKED = f"replace(replace(replace(replace({_NAME}, '.test', ''), '.spec', ''), '_test', ''), 'test_', '')"
 _JOBS = f"""jobs AS (SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, {picked_sql(KINDS, 'event_id + user_id')} AS type, ts FROM events)"""
 
+_STATES = f"""WITH {_JOBS} SELECT job_id, count(*) AS events, max(seq) AS last_seq, min(seq) FILTER (WHERE type IN ('JobCompleted', 'JobFailed')) AS ended_at,
+      max(type) FILTER (WHERE type IN ('JobCompleted', 'JobFailed')) AS outcome FROM jobs GROUP BY job_id"""
+
 ORACLES = {
     "framework_detection": f"""WITH {CALLS_SQL}, {PATHS_SQL}, src AS (SELECT DISTINCT {picked_sql(SOURCES, 'pos')} AS s FROM calls), f(pattern, framework) AS (VALUES {_FRAMEWORKS})
       SELECT DISTINCT framework FROM src JOIN f ON s = pattern OR (starts_with(s, pattern) AND substr(s, strlen(pattern) + 1, 1) IN ('/', '.', ':', '\\'))
@@ -48,8 +51,8 @@ ORACLES = {
     "threshold_scores": """WITH x AS (SELECT o_orderkey, o_custkey, CAST(o_custkey % 100 AS DOUBLE) / 100 AS a, CAST(o_orderkey % 90 AS DOUBLE) / 100 AS l FROM orders)
       SELECT o_orderkey, round(CASE WHEN a <= l THEN 1.0 ELSE greatest(0.0, least(1.0, 1.0 - (a - l) / (1.0 - l))) END, 9) AS score,
         CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE round(CAST(o_custkey AS DOUBLE) / CAST(o_orderkey % 7 AS DOUBLE), 9) END AS ratio FROM x""",
-    "job_states": f"""WITH {_JOBS} SELECT job_id, count(*) AS events, max(seq) AS last_seq, min(seq) FILTER (WHERE type IN ('JobCompleted', 'JobFailed')) AS ended_at,
-      max(type) FILTER (WHERE type IN ('JobCompleted', 'JobFailed')) AS outcome FROM jobs GROUP BY job_id""",
+    "job_states": _STATES,
+    "streamed_job_states": _STATES,
     "job_timeline": f"WITH {_JOBS} SELECT job_id, type AS kind, count(*) AS n FROM jobs GROUP BY job_id, type",
     "job_activity_by_hour": f"WITH {_JOBS} SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_start, type, count(*) AS n FROM jobs GROUP BY 1, 2",
     "exported_comments": """WITH c AS (SELECT 'g' || CAST(conv_id AS VARCHAR) AS group_id, turn, CASE role

@@ -57,7 +57,10 @@ def threshold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ad.table(spark, sf_dir, "events")
+    return job_events(ad.table(spark, sf_dir, "events"))
+
+
+def job_events(e: DataFrame) -> DataFrame:
     kind = ad.picked(KINDS, F.col("event_id") + F.col("user_id"))
     return e.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.col("props").alias("payload"), (F.unix_timestamp(F.col("ts").cast("timestamp")) * 1000).alias("timestamp_ms"))
 
@@ -66,6 +69,21 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.job_states(job_log(spark, sf_dir))
 
 
+def streamed_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states by a stream over the event files, drained to its end."""
+    import uuid
+
+    still = ad.table(spark, sf_dir, "events")
+    name = f"job_states_{uuid.uuid4().hex}"
+    events = spark.readStream.schema(still.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir.rstrip("/"))
+    states = jobs.job_states(job_events(events), "3650 days")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    writer = states.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    query = (writer.option("checkpointLocation", f"{folder.rstrip('/')}/{name}") if folder else writer).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
 def job_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.timeline(job_log(spark, sf_dir))
 
@@ -183,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         framework_detection, topic_affinity, test_subject_groups, exact_directory_groups, consolidated_groups, infrastructure_groups,
-        threshold_scores, job_states, job_timeline, job_activity_by_hour, exported_comments, manifest_import, manifest_export,
+        threshold_scores, job_states, streamed_job_states, job_timeline, job_activity_by_hour, exported_comments, manifest_import, manifest_export,
         repaired_references, review_order, expected_coherence, constraint_results, symbol_bindings, group_diagrams, source_facts,
         entrypoint_detection, renumbered_groups, global_order,
     )
