@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "/index.tsx")
+#: Edges of a graph small enough for one process, and rows that its search may reach there.
+#: Larger graphs are searched by joins, with the same result.
+SMALL_EDGES, SMALL_REACH = 100_000, 300_000
 #: Rounds of a search after which its layers are written as one table.
 COMPACT = 16
 WORKSPACE_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")
@@ -32,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few_rows(written: DataFrame, most: int) -> list | None:
+    """The rows of a checkpointed table of at most `most` rows, None of a larger one."""
+    rows = written.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, workspace: DataFrame | None = None) -> DataFrame:
     """`imports` (path, pos, source, ...) with `resolved`, the imported file or null.
 
@@ -145,6 +154,10 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> D
     steps = cut(edges.select("src", "dst").distinct())
     layers = [cut(seeds.select("seed", "node", F.lit(0).alias("dist")).distinct())]
     reached, round_ = layers[0], 0
+    small = few_rows(steps, SMALL_EDGES)
+    starts = few_rows(reached, SMALL_REACH) if small is not None else None
+    if small is not None and starts is not None and (found := _searched(small, starts, depth)) is not None:
+        return edges.sparkSession.createDataFrame(found, reached.schema)
     while depth is None or round_ < depth:
         round_ += 1
         ahead = layers[-1].select("seed", F.col("node").alias("src")).join(steps, "src").select("seed", F.col("dst").alias("node")).distinct()
@@ -158,6 +171,27 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> D
     return reached
 
 
+def _searched(edges: list, starts: list, depth: int | None) -> list | None:
+    """Breadth-first search in this process; None once it reaches too many rows."""
+    after: dict = {}
+    for src, dst in edges:
+        after.setdefault(src, []).append(dst)
+    reached = {(seed, node): 0 for seed, node, _ in starts}
+    front, round_ = list(reached), 0
+    while front and (depth is None or round_ < depth):
+        round_ += 1
+        ahead = []
+        for seed, node in front:
+            for dst in after.get(node, ()):
+                if (seed, dst) not in reached:
+                    reached[seed, dst] = round_
+                    ahead.append((seed, dst))
+        if len(reached) > SMALL_REACH:
+            return None
+        front = ahead
+    return [(seed, node, dist) for (seed, node), dist in reached.items()]
+
+
 def file_reachability(edges: DataFrame, nodes: DataFrame, entrypoints: DataFrame) -> DataFrame:
     """(entrypoint, file, dist): files from each entrypoint, forward hops at 1 and backward hops at 2.
 
@@ -212,6 +246,10 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     star = cut(oriented(edges.select("a", "b")))
+    small = few_rows(star, SMALL_EDGES)
+    if small is not None:
+        kind = star.schema["a"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame(_joined(small), f"node {kind}, component {kind}")
     seen = digest(star)
     while True:
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -225,3 +263,20 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     roots = star.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return star.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def _joined(edges: list) -> list:
+    """(node, component) by union of the least members, in this process."""
+    up: dict = {}
+
+    def root(x):
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = up[above]
+            x = above
+        return x
+
+    for a, b in edges:
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            up[max(ra, rb)] = min(ra, rb)
+    return [(x, root(x)) for x in list(up)]

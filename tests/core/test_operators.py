@@ -8,14 +8,28 @@ def frame(spark, schema, *rows):
     return spark.createDataFrame(list(rows), schema)
 
 
-def test_distances_end_on_cycles_and_chains(spark):
+@pytest.fixture(params=["one process", "joins"])
+def size(request, monkeypatch):
+    """Both ways of searching graphs."""
+    if request.param == "joins":
+        monkeypatch.setattr(graph, "SMALL_EDGES", -1)
+    return request.param
+
+
+def test_a_wide_search_leaves_the_process(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL_REACH", 3)
+    edges = frame(spark, "src int, dst int", *[(i, i + 1) for i in range(6)])
+    assert graph.distances(edges, frame(spark, "seed int, node int", (0, 0))).count() == 7
+
+
+def test_distances_end_on_cycles_and_chains(spark, size):
     edges = frame(spark, "src int, dst int", (1, 2), (2, 3), (3, 1), (3, 4))
     seeds = frame(spark, "seed int, node int", (1, 1))
     assert {(r.node, r.dist) for r in graph.distances(edges, seeds).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
     assert {r.node for r in graph.distances(edges, seeds, 1).collect()} == {1, 2}
 
 
-def test_components(spark):
+def test_components(spark, size):
     edges = frame(spark, "a int, b int", *[(i, i + 1) for i in range(40)], (100, 101), (7, 7), (101, 100))
     got = {r.node: r.component for r in graph.components(edges).collect()}
     assert {got[i] for i in range(41)} == {0} and got[100] == got[101] == 100
@@ -75,7 +89,7 @@ def test_tests_follow_their_subjects(spark):
     assert got == {"src/a.ts": 1, "src/a.test.ts": 1, "spec/b.spec.ts": 4, "lib/b.ts": 4, "spec/none.spec.ts": 5}
 
 
-def test_groups_merge_by_stem(spark):
+def test_groups_merge_by_stem(spark, size):
     rows = [("src/a.ts", 1), ("t/a.test.ts", 2), ("x/b.ts", 2), ("y/b.spec.ts", 3), ("p/c.ts", 4), ("q/c.ts", 5), ("r/c.test.ts", 6), ("z/index.ts", 7), ("z/index.test.ts", 8)]
     got = {r.path: r.group_no for r in grouping.merged_by_stem(frame(spark, "path string, group_no int", *rows)).collect()}
     # a links 1 and 2, b links 2 and 3; c is in three groups, index is a name that many packages share.
