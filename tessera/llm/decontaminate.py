@@ -46,13 +46,17 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
         F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - (size - 1), F.lit(1))), lambda i: F.slice(F.col("ws"), i, size))
     )
     each = cut.select("item", F.explode(F.array_distinct(spans)).alias("window"))
-    return each.groupBy("window").agg(F.collect_set("item").alias("items")).select("window", F.xxhash64("window").alias("hash"), F.size("window").alias("length"), "items")
+    return each.groupBy("window").agg(F.collect_set("item").alias("items")).select("window", F.xxhash64(F.transform("window", lambda w: F.xxhash64(w))).alias("hash"), F.size("window").alias("length"), "items")
 
 
-def _row_windows(ws: Column, length: int) -> Column:
-    """Hash and place of every window of `length` words."""
-    last = F.size(ws) - (length - 1)
-    hashed = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(F.xxhash64(F.slice(ws, i, length)).alias("hash"), i.alias("at"), F.lit(length).alias("length")))
+def _row_windows(hashes: Column, length: int) -> Column:
+    """Hash and place of every window of `length` words, given the words' hashes.
+
+    Hashing one value after the other is what hashing their array does.
+    """
+    last = F.size(hashes) - (length - 1)
+    window = lambda i: F.xxhash64(*[F.get(hashes, i + (k - 1)) for k in range(length)])
+    hashed = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(window(i).alias("hash"), i.alias("at"), F.lit(length).alias("length")))
     return F.when(last >= 1, hashed).otherwise(F.array().cast("array<struct<hash:bigint,at:int,length:int>>"))
 
 
@@ -70,8 +74,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[s
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # 1 to `size`
     n = known.count()
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), words(F.col(f"`{text}`")).alias("ws"))
-    base = base.withColumn("rid", F.monotonically_increasing_id()).withColumn("n_words", F.size("ws").cast("bigint"))
-    every = F.concat(*[_row_windows(F.col("ws"), k) for k in lengths]) if lengths else F.array().cast("array<struct<hash:bigint,at:int,length:int>>")
+    base = base.withColumn("rid", F.monotonically_increasing_id()).withColumn("n_words", F.size("ws").cast("bigint")).withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
+    every = F.concat(*[_row_windows(F.col("hs"), k) for k in lengths]) if lengths else F.array().cast("array<struct<hash:bigint,at:int,length:int>>")
     small = n <= broadcast_windows
     if small:
         hashes = [r[0] for r in known.select("hash").distinct().collect()]
