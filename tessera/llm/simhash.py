@@ -376,7 +376,12 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", k: int =
     Null ids come last. Among rows of one id in a group the one with the least
     text hash stays, and one of rows that repeat it exactly.
     """
-    groups = materialize(_grouped(df, id, text, k, radius, seed), "groups")
+    return one_of_each(df, _grouped(df, id, text, k, radius, seed), id, text)
+
+
+def one_of_each(df: DataFrame, grouped: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`df` with one row of each root of `grouped` (id, h, root), chosen as `deduplicate` says."""
+    groups = materialize(grouped.select("id", "h", "root"), "groups")
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("h").alias("h"))
     kept = groups.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("__id"), F.col("o.h").alias("__h"))
     out = df.withColumn("__text_hash", F.xxhash64(f"`{text}`"))
