@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import materialize
 
 #: Labelled rows fitted on at most, terms kept, neighbours asked, examples in a block.
@@ -183,6 +184,23 @@ def held_out(id: Column, modulus: int = 3, remainder: int = 1) -> Column:
     return F.coalesce(F.crc32(id.cast("string")) % modulus == remainder, F.lit(False))
 
 
+def without_copies(rows: pa.Table) -> pa.Table:
+    """Rows by id and text, without those whose five-word shingles are similar to a kept row's."""
+    rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
+    kept: list[int] = []
+    sets: list[np.ndarray] = []
+    seen: set[int] = set()
+    for i, x in enumerate(rows.column("text")):
+        own = near_copies.shingles(x.as_py())
+        key = near_copies.set_key(own)
+        if key in seen or any(min(len(own), len(s)) >= near_copies.SIMILARITY * max(len(own), len(s)) - 1e-9 and near_copies.similar(own, s) for s in sets):
+            continue
+        seen.add(key)
+        kept.append(i)
+        sets.append(own)
+    return rows.take(pa.array(kept, pa.int64()))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
     """Fit on labelled rows that are not held out, at most `examples` of them.
 
@@ -194,12 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     few = usable.groupBy(F.col(id).alias("__id")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(examples)
     # `few` is bounded by the parameter, so it is broadcast.
     chosen = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(few), F.col("id") == F.col("__id"))
-    # Near copies would pass their own rare words off as signs of a label: of the
-    # rows that share the least hash of five words, one stays.
+    # Near copies would pass their own rare words off as signs of a label, so one
+    # of them stays. Rows that share the least hash of five words are compared in full.
     split = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
     least = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("ws", i, 5))))
-    keyed = chosen.select("id", "text", "y", split.alias("ws")).select(least.alias("key"), F.struct("id", "text", "y").alias("row"))
-    chosen = materialize(keyed.groupBy("key", F.col("row.y").alias("one_of")).agg(F.min("row").alias("row")).select("row.*"), "labelled")
+    keyed = chosen.select("id", "text", "y", split.alias("ws")).select(least.alias("key"), "id", "text", "y")
+    chosen = materialize(keyed.groupBy("key", "y").applyInArrow(without_copies, keyed.schema).select("id", "text", "y"), "labelled")
     rows, ones = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.toxicity import EXAMPLES, BlockMaxIndex, classify, fit, held_out, isotonic, reject, unit
+from tessera.llm.toxicity import EXAMPLES, BlockMaxIndex, classify, fit, held_out, isotonic, reject, unit, without_copies
 
 from .corpus import frame, text
 
@@ -85,3 +86,20 @@ def test_without_labels_or_rows(spark, labelled):
     only = fit(docs, labels.where("toxic = 0"))
     assert {r.predicted for r in classify(docs.select("doc_id", "text"), only).collect()} == {0}
     assert EXAMPLES == 10_000
+
+
+def test_only_confirmed_copies_are_cut():
+    words = [f"w{i}" for i in range(100)]
+    passage, copy = words[:60], [*words[:99], "other"]
+    texts = [" ".join(words), " ".join(copy), " ".join([*passage, *(f"x{i}" for i in range(60))]), " ".join(words)]
+    rows = pa.table({"key": [7] * 4, "id": [1, 2, 3, 4], "text": texts, "y": [1] * 4})
+    assert without_copies(rows).column("id").to_pylist() == [1, 3]
+
+
+def test_rows_that_share_a_passage_stay_examples(spark):
+    passage = " ".join(f"p{i}" for i in range(300))
+    texts = [f"{passage} " + " ".join(f"d{d}w{i}" for i in range(200)) + " zwurmig glopfen" * (d % 2) for d in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id bigint, toxic int")
+    n = labels.where(~held_out(F.col("doc_id")) & (F.col("toxic") == 1)).count()
+    assert fit(docs, labels).labels.sum() == n
