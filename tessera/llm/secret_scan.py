@@ -1,9 +1,9 @@
 """Secret scans by multipart credential linking.
 
 Strong parts (assignments, access identifiers, long hexadecimal runs) are
-reported wherever they stand. Weak candidates - unnamed random-looking tokens
-and service endpoints - are reported only where the complementary parts of one
-credential co-occur: an interval join inside a scope links an access
+reported wherever they stand. Weak candidates - unnamed random-looking tokens,
+service endpoints and account names - are reported only where the complementary
+parts of one credential co-occur: an interval join inside a scope links an
 identifier, a secret and an endpoint whose distance is within reach.
 
 A scope is a run of lines without a blank line between them.
@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which spans of one start are listed.
-KINDS = ("assign", "access", "hex", "secret", "endpoint")
+KINDS = ("assign", "access", "hex", "secret", "endpoint", "account")
 BASE = KINDS[:3]
 #: Code points between two parts of one credential at most, and the least entropy of a weak secret in bits a character.
 REACH = 240
@@ -36,6 +36,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 WEAK = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 ENDPOINT = re.compile(r"(?:https?|wss?|ftp|jdbc:[a-z]+|amqp|redis|mongodb)://[^\s\"'<>|]+")
+ACCOUNT = re.compile(r"""(?<![A-Za-z0-9])(?:[Uu]ser(?:_?[Nn]ame)?|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccount(?:_?[Ii][Dd])?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}""")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 
@@ -61,66 +62,75 @@ def entropy(token: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
 
 
-def _near(spans: list[Span], starts: list[int], to: Span, longest: int) -> list[Span]:
-    """Spans whose gap to `to` is within reach, by bisection of their sorted starts."""
-    lo = bisect_left(starts, to.start - REACH - longest)
-    hi = bisect_left(starts, to.end + REACH + 1)
-    return [s for s in spans[lo:hi] if s.end >= to.start - REACH]
+def _near(spans: list[Span], to: list[Span]) -> list[Span]:
+    """Those of `spans`, ascending and disjoint, whose gap to some span of `to` is within reach."""
+    ends, starts = [s.end for s in spans], [s.start for s in spans]
+    found: set[Span] = set()
+    for t in to:
+        found.update(spans[bisect_left(ends, t.start - REACH) : bisect_right(starts, t.end + REACH)])
+    return sorted(found)
+
+
+def _scopes(text: str, marks: list[Span]) -> Iterator[tuple[int, int, list[Span]]]:
+    """Bounds of each scope that holds marks, with the marks that start in it."""
+    bounds = [0] + [m.end() for m in BLANK.finditer(text)] + [len(text) + 1]
+    held: dict[int, list[Span]] = {}
+    for s in marks:
+        held.setdefault(bisect_right(bounds, s.start) - 1, []).append(s)
+    for at, some in held.items():
+        yield bounds[at], min(bounds[at + 1], len(text)), some
 
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """Weak secrets and endpoints that complete a credential of a strong part.
+    """Weak parts that complete a credential with a complementary part of their scope.
+
+    - An endpoint beside an access identifier, or beside a named or hexadecimal secret.
+    - A weak secret beside an access identifier, beside an endpoint that itself
+      stands beside one, or beside an account name.
+    - An account name beside a named, hexadecimal or weak secret.
+    - An endpoint beside a weak secret that stands beside an account name.
 
-    A weak secret needs an access identifier or an endpoint beside it that
-    itself stands beside an access identifier; an endpoint needs an access
-    identifier, or a named or hexadecimal secret, beside it. Weak parts alone
-    never make a credential.
+    Beside means within `REACH` code points in one scope. A part alone, and a
+    weak secret with an endpoint alone, never make a credential.
     """
-    if not base:
+    accounts = [Span(m.start(), 5, m.end()) for m in ACCOUNT.finditer(text)]
+    if not base and not accounts:
         return []
-    # Only what lies in the scope and reach of a strong part can be linked.
     found: set[Span] = set()
-    bounds = [0] + [m.end() for m in BLANK.finditer(text)] + [len(text) + 1]
-    seen_scopes: dict[int, list[Span]] = {}
-    for s in base:
-        at = bisect_left(bounds, s.start + 1) - 1
-        seen_scopes.setdefault(at, []).append(s)
-    for at, strong in seen_scopes.items():
-        lo, hi = bounds[at], min(bounds[at + 1], len(text))
-        taken: list[list[int]] = []  # strong parts, overlapping ones merged
-        for s in strong:
-            if taken and s.start < taken[-1][1]:
-                taken[-1][1] = max(taken[-1][1], s.end)
-            else:
-                taken.append([s.start, s.end])
-
-        def free(a: int, b: int) -> bool:
-            i = bisect_left(taken, [b])
-            return i == 0 or taken[i - 1][1] <= a
-
-        ends = [Span(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text, lo, hi) if free(*m.span())]
-        weak = [
-            Span(m.start(), 3, m.end())
-            for m in WEAK.finditer(text, lo, hi)
-            if free(*m.span()) and any(c.isdigit() for c in m[0]) and entropy(m[0]) >= ENTROPY
-        ]
-        access = [s for s in strong if s.order == 1]
-        named = [s for s in strong if s.order != 1]
-        for parts in (access, named):
-            longest = max((e.end - e.start for e in ends), default=0)
-            starts = [e.start for e in ends]
-            for s in parts:
-                found.update(_near(ends, starts, s, longest))
-        starts, longest = [w.start for w in weak], max((w.end - w.start for w in weak), default=0)
-        for s in [*access, *(e for e in ends if any(_near(access, [a.start for a in access], e, 1 << 12)))]:
-            found.update(_near(weak, starts, s, longest))
+    for lo, hi, marks in _scopes(text, sorted([*base, *accounts])):
+        strong = [s for s in marks if s.order < 3]
+        names = _free([s for s in marks if s.order == 5], strong)
+        ends = _free([Span(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text, lo, hi)], strong)
+        tokens = (Span(m.start(), 3, m.end()) for m in WEAK.finditer(text, lo, hi) if any(c.isdigit() for c in m[0]) and entropy(m[0]) >= ENTROPY)
+        weak = _free(list(tokens), [*strong, *names])
+        access, secrets = [s for s in strong if s.order == 1], [s for s in strong if s.order != 1]
+        owned = _near(weak, names)
+        found.update(_near(ends, [*access, *secrets, *owned]), owned, _near(weak, [*access, *_near(ends, access)]), _near(names, [*secrets, *weak]))
     return sorted(found)
 
 
+def _free(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """Those of `spans` that overlap none of `taken`."""
+    merged: list[list[int]] = []
+    for s in sorted(taken):
+        if merged and s.start < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], s.end)
+        else:
+            merged.append([s.start, s.end])
+
+    def clear(s: Span) -> bool:
+        i = bisect_left(merged, [s.end])
+        return i == 0 or merged[i - 1][1] <= s.start
+
+    return [s for s in spans if clear(s)]
+
+
 def scan_text(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by start, then kind; null is empty."""
-    base = base_spans(text) if text else []
-    return base, sorted({*base, *linked_spans(text, base)}) if base else base
+    if not text:
+        return [], []
+    base = base_spans(text)
+    return base, sorted({*base, *linked_spans(text, base)})
 
 
 def _join(spans: list[Span]) -> str:
