@@ -1,13 +1,13 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
 The benchmark's windows (8 consecutive words, or all words of a shorter item)
-are hashed into a set that every task holds. Each document's windows are
-hashed inside its own row and looked up there, so a clean document costs no
-shuffle. Hits are verified word by word against the windows themselves, then
-folded back into one row for each document.
+become a table of hashes that every task holds. Each document's windows are
+hashed, joined with it, and verified word by word. Only hits are shuffled:
+they fold to one row for each text that has any, which is joined back to the
+documents, so that clean documents cross no shuffle.
 
-Beyond `BROADCAST_WINDOWS` windows the set is no longer broadcast: document
-windows join the benchmark's by hash in a shuffle, with the same result.
+Both broadcast tables are counted first. Beyond `BROADCAST_WINDOWS` windows, or
+`BROADCAST_HITS` texts with hits, the same join shuffles, with the same result.
 
 Only DataFrame functions are used.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize
 
 #: Everything between two words, after A-Z are lower-cased.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -25,9 +25,8 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TAIL = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z"
 WINDOW = 8
-#: Most window hashes held by every task (8 bytes each), and most whole windows broadcast in a join.
-BROADCAST_WINDOWS = 1_000_000
-BROADCAST_TEXTS = 100_000
+#: Most windows, and most texts with hits, that are broadcast.
+BROADCAST_WINDOWS, BROADCAST_HITS = 1_000_000, 500_000
 
 
 def words(text: Column) -> Column:
@@ -60,6 +59,10 @@ def _row_windows(hashes: Column, length: int) -> Column:
     return F.when(last >= 1, hashed).otherwise(F.array().cast("array<struct<hash:bigint,at:int,length:int>>"))
 
 
+def _key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row for each row of `docs`: the columns of `keep` (all by default) in
     a struct `row`, n_words, n_hit, items (sorted as strings) and hits, the
@@ -70,26 +73,25 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[s
     `docs` cannot clash: they travel inside `row`.
     """
     keep = docs.columns if keep is None else keep
-    known = benchmark_windows(benchmark, item, item_text, size).persist()
-    lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # 1 to `size`
-    n = known.count()
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), words(F.col(f"`{text}`")).alias("ws"))
-    base = base.withColumn("rid", F.monotonically_increasing_id()).withColumn("n_words", F.size("ws").cast("bigint")).withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
-    every = F.concat(*[_row_windows(F.col("hs"), k) for k in lengths]) if lengths else F.array().cast("array<struct<hash:bigint,at:int,length:int>>")
-    small = n <= broadcast_windows
-    if small:
-        hashes = [r[0] for r in known.select("hash").distinct().collect()]
-        every = F.filter(every, lambda w: w["hash"].isin(hashes)) if hashes else F.filter(every, lambda w: F.lit(False))
-    marked = F.transform(every, lambda w: F.struct(w["hash"].alias("hash"), w["at"].alias("at"), F.slice(F.col("ws"), w["at"], w["length"]).alias("window")))
-    spread = base.select("rid", "row", "n_words", F.explode_outer(marked).alias("w")).select("rid", "row", "n_words", "w.*")
+    known = materialize(benchmark_windows(benchmark, item, item_text, size), "benchmark-windows")
+    # One row for each length from 1 to `size`.
+    lengths = {r["length"]: r["n"] for r in known.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    body = F.col(f"`{text}`")
+    # Rows of one text have the same hits, so its digest is the key that hits travel by.
+    base = docs.select(_key(body).alias("key"), words(body).alias("ws")).withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
+    every = F.concat(*[_row_windows(F.col("hs"), k) for k in sorted(lengths)]) if lengths else F.array().cast("array<struct<hash:bigint,at:int,length:int>>")
+    each = base.select("key", "ws", F.explode(every).alias("w")).select("key", "ws", "w.*")
     against = known.select(F.col("hash").alias("k_hash"), F.col("window").alias("k_window"), "items")
-    against = F.broadcast(against) if n <= BROADCAST_TEXTS else against
-    met = spread.join(against, (F.col("hash") == F.col("k_hash")) & (F.col("window") == F.col("k_window")), "left")
-    hit = F.when(F.col("items").isNotNull(), F.struct((F.col("at") - 1).alias("from"), (F.col("at") - 1 + F.size("window")).alias("to")))
-    if not small:
-        # Only hits and one row for each document cross the next shuffle.
-        met = met.where(F.col("items").isNotNull() | F.col("at").isNull() | (F.col("at") == 1))
-    rows = met.groupBy("rid").agg(F.any_value("row").alias("row"), F.any_value("n_words").alias("n_words"), F.collect_set(hit).alias("spans"), F.collect_set("items").alias("items"))
+    against = F.broadcast(against) if sum(lengths.values()) <= broadcast_windows else against
+    # Only the hash is a key of the join; words are compared where it is met.
+    same = F.forall(F.zip_with(F.slice("ws", F.col("at"), F.col("length")), "k_window", lambda a, b: a.eqNullSafe(b)), lambda x: x)
+    met = each.join(against, F.col("hash") == F.col("k_hash")).where(same)
+    span = F.struct((F.col("at") - 1).alias("from"), (F.col("at") - 1 + F.col("length")).alias("to"))
+    hits = materialize(met.select("key", span.alias("span"), "items").groupBy("key").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items")), "hits")
+    hits = F.broadcast(hits) if hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS else hits
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), _key(body).alias("key"), F.size(words(body)).cast("bigint").alias("n_words"))
+    rows = rows.join(hits, "key", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<from:int,to:int>>")))
+    rows = rows.withColumn("items", F.coalesce("items", F.array().cast(hits.schema["items"].dataType)))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
     covered = F.aggregate(
         F.array_sort("spans"),
