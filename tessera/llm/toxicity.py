@@ -1,11 +1,13 @@
 """Toxicity from the nearest labelled examples.
 
-Texts are TF-IDF vectors over character n-grams of words. The nearest labelled
-examples by exact cosine come from a block-max inverted index: examples lie in
-blocks, each term keeps its greatest weight for each block, and blocks are
-scored from the greatest upper bound down until no bound can reach the k-th
-best. Votes weighted by distance are calibrated on the examples themselves,
-each voted on by the others; the neighbours are the evidence.
+Texts are TF-IDF vectors over their words; the IDF of a term is multiplied by
+its relevance, so that terms of label 1 weigh more, and no term is left out. The nearest labelled examples
+of either label by exact cosine come from a block-max inverted index: rare
+terms are scored from their postings; for common terms each block of examples
+keeps the greatest weight, and only examples whose bound can reach the k-th
+best are scored in full. Votes weighted by distance are calibrated on the
+examples themselves, each voted on by the others; the neighbours are the
+evidence.
 
 The classifier is fitted on a sample of labelled rows, at most `EXAMPLES`, the
 smallest by hash of the id. Scoring covers every row.
@@ -13,61 +15,42 @@ smallest by hash of the id. Scoring covers every row.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import materialize
+from .common import FEW_PARTITIONS, materialize
 
-#: Labelled rows fitted on at most, terms kept, neighbours asked, examples in a block.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 10_000, 1024, 15, 64
-NGRAMS = (4, 5)
+#: Labelled rows fitted on at most, neighbours asked, examples in a block.
+EXAMPLES, NEIGHBOURS, BLOCK = 10_000, 15, 64
+#: A term that more than one in so many examples hold is common.
+COMMON = 8
 THRESHOLD = 0.7
-#: Least chi-square of a kept term: chance alone would keep a few in a million.
-SIGNIFICANT = 25.0
+#: Power of the relevance in a term's weight.
+RELEVANCE = 1.5
 #: Added to a distance before its inverse is taken as weight.
 SOFT = 0.05
-REMEMBERED = 400_000
+#: Texts scored together.
+TOGETHER = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(word: str) -> list[str]:
-    """Character n-grams of a lower-case word between end marks."""
-    marked = f"^{word}$"
-    return [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
-
-
-class ChunkTerms(dict):
-    """Terms of a white-space chunk, remembered; with `known`, their numbers there."""
-
-    def __init__(self, known: dict[str, int] | None = None) -> None:
-        self.known = known
-
-    def __missing__(self, chunk: str) -> tuple:
-        terms = [t for w in _WORD.findall(chunk.lower()) for t in word_terms(w)]
-        found = tuple(terms) if self.known is None else tuple(self.known[t] for t in terms if t in self.known)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = found
-        return found
-
-
-def term_counts(text: str | None, chunks: ChunkTerms) -> Counter:
-    """How often each term occurs in the whole text; null has none."""
-    counts: Counter = Counter()
-    for terms in filter(None, map(chunks.__getitem__, (text or "").split())):
-        counts.update(terms)
-    return counts
+def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-case words of the whole text, ascending, and how often each occurs; null has none."""
+    times = Counter(_WORD.findall((text or "").lower()))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, times), np.uint64, len(times))
+    order = np.argsort(hashes)
+    return hashes[order], np.fromiter(times.values(), np.int64, len(times))[order]
 
 
 @dataclass
@@ -76,62 +59,91 @@ class BlockMaxIndex:
 
     vectors: list[tuple[np.ndarray, np.ndarray]]
     n_terms: int
-    order: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        # Examples whose heaviest term is the same share blocks, which keeps bounds tight.
-        heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in self.vectors]
-        self.order = np.array(sorted(range(len(heaviest)), key=lambda i: (heaviest[i], i)), np.int64)
-        self.place_of = np.argsort(self.order)
-        self.blocks = max(1, -(-len(self.order) // BLOCK))
-        rows = [(t, place, w) for place, i in enumerate(self.order.tolist()) for t, w in zip(*map(np.ndarray.tolist, self.vectors[i]))]
-        rows.sort()
-        self.places = np.array([r[1] for r in rows], np.int64)
-        self.weights = np.array([r[2] for r in rows], np.float64)
-        cells = np.array([r[0] for r in rows], np.int64) * self.blocks + self.places // BLOCK
-        self.starts = np.searchsorted(cells, np.arange(self.n_terms * self.blocks + 1))
-        self.most = np.zeros(self.n_terms * self.blocks)
-        np.maximum.at(self.most, cells, self.weights)
-        self.most = self.most.reshape(self.n_terms, self.blocks)
+        n, self.n = self.n_terms, len(self.vectors)
+        sizes = np.array([len(t) for t, _ in self.vectors], np.int64)
+        terms = np.concatenate([t for t, _ in self.vectors] or [np.empty(0, np.int64)])
+        weights = np.concatenate([w for _, w in self.vectors] or [np.empty(0)])
+        self.vectors = []
+        rows = np.repeat(np.arange(self.n), sizes)
+        held = np.bincount(terms, minlength=n)
+        # Examples whose heaviest common term is the same share blocks, which keeps bounds tight.
+        usual = held[terms] * COMMON > self.n
+        first = np.full(self.n, -1, np.int64)
+        order = np.argsort(weights[usual], kind="stable")
+        first[rows[usual][order]] = terms[usual][order]
+        self.order = np.argsort(first, kind="stable")
+        place_of = np.argsort(self.order)
+        self.place_of, self.blocks = place_of, max(1, -(-self.n // BLOCK))
+        # Postings of rare terms by term.
+        by = np.argsort(terms[~usual], kind="stable")
+        self.places, self.weights = place_of[rows[~usual][by]].astype(np.int32), weights[~usual][by]
+        self.starts = np.searchsorted(terms[~usual][by], np.arange(n + 1))
+        # Weights of common terms by block, term and example, and the greatest of each block and term.
+        self.common = np.full(n, -1, np.int32)
+        names = np.flatnonzero(held * COMMON > self.n)
+        self.common[names] = np.arange(len(names))
+        self.full = np.zeros((self.blocks, len(names), BLOCK))
+        at = place_of[rows[usual]]
+        self.full[at // BLOCK, self.common[terms[usual]], at % BLOCK] = weights[usual]
+        self.most = self.full.max(axis=2)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(similarity, example) of the k greatest similarities over 0, ties by example."""
-        if not len(terms) or not len(self.weights):
-            return []
-        bounds = weights @ self.most[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        scores = np.zeros(len(self.order))
-        kth, done, step = 0.0, 0, 4
-        # A little slack covers rounding, and equal bounds may hold ties.
-        while done < len(order) and bounds[order[done]] >= kth * (1 - 1e-9):
-            scores += self._scored(terms, weights, order[done : done + step])
-            done, step = done + step, step * 2
-            if without >= 0:
-                scores[self.place_of[without]] = 0.0
-            kth = float(np.partition(scores, -k)[-k]) if len(scores) >= k else 0.0
-        at = np.flatnonzero((scores > 0) & (scores >= kth * (1 - 1e-9)))
-        best = [(round(s, 12), i) for s, i in zip(scores[at].tolist(), self.order[at].tolist())]
-        best.sort(key=lambda x: (-x[0], x[1]))
-        return best[:k]
-
-    def _scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Inner products of the examples in some blocks, 0 for all others."""
-        cells = (terms[:, None] * self.blocks + blocks).ravel()
-        low = self.starts[cells]
-        sizes = self.starts[cells + 1] - low
-        ends = np.cumsum(sizes)
-        postings = np.repeat(low - ends + sizes, sizes) + np.arange(ends[-1])
-        parts = np.repeat(np.repeat(weights, len(blocks)), sizes) * self.weights[postings]
-        return np.bincount(self.places[postings], parts, len(self.order))
+        return self.nearest_of_each([(terms, weights)], k, [without])[0]
+
+    def nearest_of_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """`nearest` for several vectors; blocks are read once for all that need them."""
+        if not self.n:
+            return [[] for _ in queries]
+        heavy = np.zeros((len(queries), self.most.shape[1]))
+        scores = np.zeros((len(queries), self.blocks, BLOCK))
+        for q, (terms, weights) in enumerate(queries):
+            usual = self.common[terms] >= 0
+            heavy[q, self.common[terms[usual]]] = weights[usual]
+            low = self.starts[terms[~usual]]
+            sizes = self.starts[terms[~usual] + 1] - low
+            ends = np.cumsum(sizes)
+            postings = np.repeat(low - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+            scores[q] = np.bincount(self.places[postings], np.repeat(weights[~usual], sizes) * self.weights[postings], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        # No example of a block scores more than its best by rare terms and the block's bound for common ones.
+        bounds = scores.max(axis=2) + heavy @ self.most.T
+        done = np.zeros((len(queries), self.blocks), bool)
+        kth = np.zeros(len(queries))
+        steps = np.argsort(-bounds, axis=1, kind="stable")
+        # The most promising blocks first, then all that the k-th score reached by then leaves open; slack covers rounding.
+        for open_blocks in (np.arange(self.blocks)[None, :] < 2, None):
+            want = np.zeros_like(done)
+            if open_blocks is not None:
+                np.put_along_axis(want, steps, np.broadcast_to(open_blocks, steps.shape), axis=1)
+            else:
+                want = bounds >= kth[:, None] * (1 - 1e-9)
+            want &= ~done & (bounds > 0)
+            for block in np.flatnonzero(want.any(axis=0)).tolist():
+                some = np.flatnonzero(want[:, block])
+                scores[some, block] += heavy[some] @ self.full[block]
+            done |= want
+            for q in range(len(queries)):
+                if without and without[q] >= 0:
+                    scores[q].ravel()[self.place_of[without[q]]] = 0.0
+                reached = scores[q, done[q]].ravel()
+                kth[q] = np.partition(reached, -k)[-k] if len(reached) >= k else 0.0
+        out = []
+        for q in range(len(queries)):
+            mine = np.where(done[q][:, None], scores[q], 0.0).ravel()[: self.n]
+            at = np.flatnonzero((mine > 0) & (mine >= kth[q] * (1 - 1e-9)))
+            best = sorted(((round(s, 12), i) for s, i in zip(mine[at].tolist(), self.order[at].tolist())), key=lambda x: (-x[0], x[1]))
+            out.append(best[:k])
+        return out
 
 
 @dataclass
 class Model:
-    """Terms with their IDF, labelled examples, their index and the calibration."""
+    """Hashes of the terms with their weights, labelled examples, their index and the calibration."""
 
-    terms: dict[str, int]
-    idf: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
     ids: list
     labels: np.ndarray
     index: BlockMaxIndex
@@ -140,11 +152,11 @@ class Model:
     chances: np.ndarray
     prior: float
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        return unit(counts, self.idf)
-
-    def neighbours(self, counts: dict[int, int]) -> list[tuple[float, int]]:
-        return self.index.nearest(*self.vector(counts), NEIGHBOURS)
+    def neighbours(self, texts: list[str | None], without: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """The nearest examples of each text, of which example `without` is not one."""
+        for at in range(0, len(texts), TOGETHER):
+            vectors = [vector(t, self.terms, self.weights) for t in texts[at : at + TOGETHER]]
+            yield from self.index.nearest_of_each(vectors, NEIGHBOURS, without and without[at : at + TOGETHER])
 
     def score(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -152,15 +164,38 @@ class Model:
         return float(np.interp(vote(near, self.labels), self.votes, self.chances))
 
 
-def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms ascending, and weights (1 + ln tf) * idf scaled to length 1."""
-    terms = np.array(sorted(counts), np.int64)
+def vector(text: str | None, known: np.ndarray, term_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the text's known terms, and their weights in a vector of length 1."""
+    hashes, counts = term_counts(text)
+    at = np.searchsorted(known, hashes)
+    met = at < len(known)
+    met[met] = known[at[met]] == hashes[met]
+    return unit(at[met], counts[met], term_weights)
+
+
+def unit(terms: np.ndarray | dict[int, int], counts: np.ndarray | None, term_weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Terms ascending, and weights (1 + ln tf) * weight scaled to length 1.
+
+    Terms with counts may also come as one dict, followed by the weights.
+    """
+    if isinstance(terms, dict):
+        term_weights, counts = counts, np.array([terms[t] for t in sorted(terms)], np.int64)
+        terms = np.array(sorted(terms), np.int64)
     if not len(terms):
-        return terms, np.empty(0)
-    weights = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * idf[terms]
+        return np.empty(0, np.int64), np.empty(0)
+    weights = (1 + np.log(counts)) * term_weights[terms]
     return terms, weights / np.sqrt(weights @ weights)
 
 
+def term_weights(n0: np.ndarray, n1: np.ndarray, zeros: int, ones: int) -> np.ndarray:
+    """IDF times relevance, for terms that n0 of `zeros` and n1 of `ones` examples hold.
+
+    The relevance is log2(2 + share of label 1 / share of label 0) to the power `RELEVANCE`.
+    """
+    idf = np.log((1 + zeros + ones) / (1 + n0 + n1)) + 1
+    return idf * np.log2(2 + (n1 / max(ones, 1)) / ((n0 + 1) / max(zeros, 1))) ** RELEVANCE
+
+
 def vote(near: list[tuple[float, int]], labels: np.ndarray) -> float:
     weights = np.array([1 / (max(0.0, 1 - s) + SOFT) for s, _ in near])
     return float(weights @ labels[[i for _, i in near]] / weights.sum())
@@ -201,12 +236,12 @@ def without_copies(rows: pa.Table) -> pa.Table:
     return rows.take(pa.array(kept, pa.int64()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Model:
     """Fit on labelled rows that are not held out, at most `examples` of them.
 
     Rows without a label or with a null one are left out; where labels
     disagree on an id, the greater counts. Without rows of both labels every
-    score is the share of label 1, or 0.
+    score is near the share of label 1, or 0.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id)))
     few = usable.groupBy(F.col(id).alias("__id")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(examples)
@@ -217,52 +252,51 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     split = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
     least = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("ws", i, 5))))
     keyed = chosen.select("id", "text", "y", split.alias("ws")).select(least.alias("key"), "id", "text", "y")
-    chosen = materialize(keyed.groupBy("key", "y").applyInArrow(without_copies, keyed.schema).select("id", "text", "y"), "labelled")
-    rows, ones = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    cut = keyed.groupBy("key", "y").applyInArrow(without_copies, keyed.schema).select("id", "text", "y")
+    # A repeated id could repeat its rows without bound, so the parameter bounds them again.
+    numbered = cut.withColumn("h", F.xxhash64("id", "text", "y")).orderBy(F.xxhash64("id"), "id", "h").limit(examples)
+    chosen = materialize(numbered.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("id"), "id", "h")) - 1).select("n", "id", "text", "y"), "labelled")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, by = ChunkTerms(), (Counter(), Counter())
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                by[y].update(term_counts(x.as_py(), chunks).keys())
-        names = list(by[0].keys() | by[1].keys())
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([by[0][t] for t in names], pa.int64()), pa.array([by[1][t] for t in names], pa.int64())], ["term", "n0", "n1"])
-
-    met = chosen.select("text", "y").mapInArrow(count, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    zeros = rows - ones
-    # Signed chi-square of the term against label 1.
-    df = F.col("n0") + F.col("n1")
-    lean = F.col("n1") * float(max(zeros, 1)) - F.col("n0") * float(max(ones, 1))
-    chi = F.try_divide(lean * lean * float(max(rows, 1)), df * float(max(zeros, 1)) * float(max(ones, 1)) * (float(rows) - df + 1))
-    picked = met.where((lean > 0) & (chi >= SIGNIFICANT)).orderBy(F.desc_nulls_last(chi), "term").limit(terms).collect() if ones and zeros else []
-    known = {r["term"]: i for i, r in enumerate(picked)}
-    idf = np.array([math.log((1 + rows) / (1 + r["n0"] + r["n1"])) + 1 for r in picked])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkTerms(known)
+            held = [term_counts(x.as_py()) for x in batch.column(1)]
+            packed = [pa.array([h[i].tobytes() for h in held], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *packed], ["n", "y", "terms", "counts"])
+
+    # All that is collected below is bounded by the parameter.
+    spread = chosen.repartition(min(chosen.sparkSession.sparkContext.defaultParallelism, FEW_PARTITIONS))
+    got = sorted(spread.select("n", "text", "y").mapInArrow(counts, "n int, y int, terms binary, counts binary").collect(), key=lambda r: r["n"])
+    ids = [r["id"] for r in sorted(chosen.select("n", "id").collect(), key=lambda r: r["n"])]
+    marks = np.array([r["y"] for r in got], np.int64)
+    rows, ones = len(marks), int(marks.sum())
+    held = [(np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in got]
+    del got
+    every = np.concatenate([h for h, _ in held] or [np.empty(0, np.uint64)])
+    known, at = np.unique(every, return_inverse=True)
+    positive = np.repeat(marks, [len(h) for h, _ in held])
+    n1 = np.bincount(at, positive, len(known))
+    weights = term_weights(np.bincount(at, minlength=len(known)) - n1, n1, rows - ones, ones)
+    cuts = np.cumsum([0, *(len(h) for h, _ in held)])
+    index = BlockMaxIndex([unit(at[a:b], c, weights) for a, b, (_, c) in zip(cuts[:-1].tolist(), cuts[1:].tolist(), held)], len(known))
+    model = Model(known, weights, ids, marks, index, np.array([0.0, 1.0]), np.array([0.0, 1.0]), float(ones > 0))
+    if not ones or ones == rows:
+        return model
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameter
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each example's vote by the others, null without a neighbour."""
+        m = sent.value
         for batch in batches:
-            counts = [term_counts(x.as_py(), chunks) for x in batch.column(1)]
-            packed = pa.array([[v for t in sorted(c) for v in (t, c[t])] for c in counts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), packed], ["id", "y", "packed"])
+            near = m.neighbours(batch.column(1).to_pylist(), batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([vote(n, m.labels) if n else None for n in near], pa.float64())], ["y", "vote"])
 
-    schema = chosen.select("id", "y", F.array().cast("array<bigint>").alias("packed")).schema
-    # A repeated id could repeat its rows without bound, so the parameter bounds them again.
-    got = chosen.select("id", "text", "y").mapInArrow(vectors, schema).orderBy(F.xxhash64("id"), "id", "y", "packed").limit(examples).collect()
-    counts = [dict(zip(r["packed"][::2], r["packed"][1::2])) for r in got]
-    marks = np.array([r["y"] for r in got], np.int64)
-    # Examples without a kept term have no direction; they set the prior.
-    plain = np.array([not c for c in counts], bool)
-    at = [i for i, c in enumerate(counts) if c]
-    index = BlockMaxIndex([unit(counts[i], idf) for i in at], len(known))
-    marks_at = marks[at] if at else np.empty(0, np.int64)
-    left = [index.nearest(*index.vectors[i], NEIGHBOURS, without=i) for i in range(len(at))]
-    votes = np.array([vote(n, marks_at) for n in left if n])
-    seen = np.array([marks_at[i] for i, n in enumerate(left) if n])
-    x, y = isotonic(votes, seen) if len(votes) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    n = int(plain.sum())
-    prior = float((marks[plain].sum() + (0.5 if ones else 0)) / (n + 1)) if n else (0.5 * float(y[0]) if ones and zeros else float(ones > 0))
-    return Model(known, idf, [got[i]["id"] for i in at], marks_at, index, x, y, prior)
+    votes = spread.select("n", "text", "y").mapInArrow(left_out, "y int, vote double").collect()
+    seen = [(r["vote"], r["y"]) for r in votes if r["vote"] is not None]
+    alone = [r["y"] for r in votes if r["vote"] is None]
+    x, y = isotonic(np.array([v for v, _ in seen]), np.array([m for _, m in seen])) if seen else (model.votes, model.chances)
+    # Texts without a neighbour are as toxic as the examples without one; without such, half as the least vote.
+    prior = (sum(alone) + 0.5) / (len(alone) + 1) if alone else 0.5 * float(y[0])
+    return replace(model, votes=x, chances=y, prior=prior)
 
 
 def classify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -270,21 +304,20 @@ def classify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
     Score is the calibrated chance of label 1; `evidence` lists the nearest
     examples as (id, label, similarity), nearest first. Null and empty texts
-    and texts without a kept term get the prior and no evidence. One row out
+    and texts without a known term get the prior and no evidence. One row out
     for each row in.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     cols = [F.col(f"`{c}`") for c in keep]
     schema = df.select(*cols, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast("array<struct<id:string,label:int,similarity:double>>").alias("evidence")).schema
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
+    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES
     kind = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("similarity", pa.float64())]))
     names = [*keep, "score", "predicted", "evidence"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        chunks = ChunkTerms(m.terms)
         for batch in batches:
-            near = [m.neighbours(term_counts(x.as_py(), chunks)) for x in batch.column(len(keep))]
+            near = list(m.neighbours(batch.column(len(keep)).to_pylist()))
             scores = [m.score(n) for n in near]
             shown = [[{"id": str(m.ids[i]), "label": int(m.labels[i]), "similarity": s} for s, i in n] for n in near]
             made = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(shown, kind)]
@@ -300,9 +333,8 @@ def reject(df: DataFrame, model: Model, text: str = "text", threshold: float = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        chunks = ChunkTerms(m.terms)
         for batch in batches:
-            scores = [m.score(m.neighbours(term_counts(x.as_py(), chunks))) for x in batch.column(where)]
+            scores = [m.score(n) for n in m.neighbours(batch.column(where).to_pylist())]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -1,4 +1,7 @@
+import collections
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -6,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.toxicity import EXAMPLES, BlockMaxIndex, classify, fit, held_out, isotonic, reject, unit, without_copies
+from tessera.llm.toxicity import EXAMPLES, NEIGHBOURS, RELEVANCE, BlockMaxIndex, classify, fit, held_out, isotonic, reject, unit, without_copies
 
 from .corpus import frame, text
 
@@ -103,3 +106,42 @@ def test_rows_that_share_a_passage_stay_examples(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id bigint, toxic int")
     n = labels.where(~held_out(F.col("doc_id")) & (F.col("toxic") == 1)).count()
     assert fit(docs, labels).labels.sum() == n
+
+
+def brute_scores(texts, marks, train):
+    """TF-IDF, dense cosine, votes and calibration, counted anew."""
+    words = [collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for t in texts]
+    ones, zeros = [i for i in train if marks[i]], [i for i in train if not marks[i]]
+    names = sorted({w for i in train for w in words[i]})
+    share = lambda rows, w: sum(w in words[i] for i in rows)
+    weight = []
+    for w in names:
+        a, c = share(ones, w), share(zeros, w)
+        weight.append((math.log((1 + len(train)) / (1 + a + c)) + 1) * math.log2(2 + (a / len(ones)) / ((c + 1) / len(zeros))) ** RELEVANCE)
+    rows = np.array([[(1 + math.log(c[w])) * x if c[w] else 0.0 for w, x in zip(names, weight)] for c in words])
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+    order = sorted(train, key=lambda i: i)
+
+    def vote(i, others):
+        near = sorted(((-round(float(rows[i] @ rows[j]), 12), j) for j in others if rows[i] @ rows[j] > 0))[:NEIGHBOURS]
+        w = [1 / (max(0.0, 1 + s) + 0.05) for s, _ in near]
+        return sum(x * marks[j] for x, (_, j) in zip(w, near)) / sum(w) if near else None
+
+    x, y = isotonic(np.array([vote(i, [j for j in order if j != i]) for i in order]), np.array([marks[i] for i in order]))
+    return [None if (v := vote(i, order)) is None else float(np.interp(v, x, y)) for i in range(len(texts))]
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(6)
+    texts, marks = [], []
+    for i in range(130):
+        words = text(rng, rng.randint(5, 40)).split()
+        marks.append(int(i % 4 == 0))
+        texts.append(" ".join(words + (["zwurm", "glopf"][: rng.randint(0, 2)] if marks[-1] else [])))
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id bigint, toxic int")
+    docs = frame(spark, [*texts, "0 1 2"]).select("doc_id", "text")
+    train = [i for i in range(130) if zlib.crc32(str(i).encode()) % 3 != 1]
+    got = {r.doc_id: r.score for r in classify(docs, fit(docs, labels)).collect()}
+    for i, want in enumerate(brute_scores(texts, marks, train)):
+        assert got[i] == pytest.approx(want, abs=1e-9)
+    assert got[130] < 0.5
