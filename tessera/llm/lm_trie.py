@@ -1,28 +1,34 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-A bigram model with absolute discounting, interpolated with add-one unigrams,
-is counted over every training text and asked for every text:
+A model of order n with absolute discounting, interpolated down to add-one
+unigrams, is counted over every training text and asked for every text:
 
 1. Each task turns its texts into chunks: the chunk's words sorted by hash, and
    the texts as numbers of those words. Texts are read once.
 2. Chunks send their word counts to shards by ranges of the word hash. Each
    shard answers every chunk with the totals of the words it asked about.
-3. Chunks send their distinct bigrams to shards by the context's hash; a
-   context with more than a shard's share of all tokens is split over several
-   shards by the following word. Shards answer with totals in the same order,
-   and with each context's total and number of followers.
-4. Each chunk builds the part of the trie that its texts touch, in a
-   memory-mapped file: unigram and back-off codes, monotone pointers, and for
-   each context the following words, made monotone by the end of the context
-   before; pointers and words are Elias-Fano coded, probabilities are quantised.
-   Bigrams are looked up by successor search relative to their context.
-
-Nothing grows on the driver: it sees sums, and contexts that hold more than a
-shard's share of all tokens, of which there cannot be more than shards.
+3. Chunks send their distinct training n-grams, with counts, to shards by the
+   hash of the first word; so all n-grams that begin alike meet. A prefix with
+   more than a shard's share of all tokens is split over several shards by the
+   word that follows it.
+4. Each shard's counts become its part of the trie, a table in the shared
+   folder: a level for each order holds monotone pointers and, for each
+   context, the following words, made monotone by the end of the context
+   before; both are Elias-Fano coded. Discounted probabilities and back-off
+   weights are quantised.
+5. Chunks send their distinct n-grams to the same shards, which map their part
+   of the trie into memory and find each n-gram by successor search relative
+   to its context, in the coded form. The chunks interpolate what they get.
+
+Shards are sized by tokens. Nothing grows on the driver: it sees sums, and
+prefixes that hold more than a shard's share of all tokens, of which there
+cannot be more than shards for each length.
 """
 
 from __future__ import annotations
 
+import math
+import mmap
 import os
 import tempfile
 from collections import defaultdict
@@ -36,19 +42,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
-#: Tokens after which a chunk ends; a longer text is a chunk of its own.
-CHUNK_TOKENS = 1_500_000
-MOST_SHARD_BITS = 12
-#: Words that no text has: the end of a text, and the context before its first word.
-END, START = b"\n", b"\t"
-#: Steps of a quantised log10 probability in one unit; 16 bits reach down to 10**-32.
-STEPS = 2048
-#: Contexts of the trie decoded at once.
+#: Tokens after which a chunk ends; a longer text is a chunk of its own. Tokens for each shard.
+CHUNK_TOKENS, SHARD_TOKENS = 1_500_000, 2_000_000
+#: Words that no text has: the end of a text, and what follows it in an n-gram.
+END, PAD = b"\n", b"\r"
+#: Steps of a quantised log10 probability in one unit; 16 bits reach down to 10**-32. The last code is no probability.
+STEPS, NONE = 2048, 65535
+#: Values coded at once.
 SPAN = 1 << 18
 
 
+def _start(k: int) -> bytes:
+    """The word k places before the first one of a text."""
+    return b"\t" * k
+
+
 def _pack(a: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
 
@@ -57,108 +67,219 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def _joined(arrays: list[np.ndarray]) -> bytes:
+    """Arrays in one buffer: kinds and lengths, then the arrays at multiples of 8 bytes."""
+    head = np.array([len(arrays), *(v for a in arrays for v in (int.from_bytes(a.dtype.str[1:].encode(), "little"), len(a)))], "<i8")
+    return head.tobytes() + b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)
+
+
+def _parted(buffer: np.ndarray) -> list[np.ndarray]:
+    """Views of the arrays in a buffer of bytes."""
+    n = int(buffer[:8].view("<i8")[0])
+    head, at, out = buffer[8 : 8 + 16 * n].view("<i8").tolist(), 8 + 16 * n, []
+    for kind, size in zip(head[::2], head[1::2]):
+        dtype = np.dtype("<" + kind.to_bytes(2, "little").decode())
+        out.append(buffer[at : at + size * dtype.itemsize].view(dtype))
+        at += size * dtype.itemsize + -size * dtype.itemsize % 8
+    return out
+
+
 # --- the trie --------------------------------------------------------------------
 
+_BYTES = np.arange(256, dtype=np.uint8)
+#: Place of the k-th bit that is set in a byte.
+_NTH = np.argsort(1 - np.unpackbits(_BYTES[:, None], axis=1, bitorder="little"), axis=1, kind="stable").astype(np.uint8)
+
+
+def _nth_bit(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Place of the n-th set bit, from 0, of each 64-bit word."""
+    by = words.view(np.uint8).reshape(-1, 8)
+    upto = np.cumsum(np.bitwise_count(by), axis=1, dtype=np.int8)
+    at = np.minimum((upto <= n[:, None]).sum(axis=1), 7)
+    row = np.arange(len(words))
+    before = np.where(at > 0, upto[row, at - 1], 0)
+    return 8 * at + _NTH[by[row, at], np.clip(n - before, 0, 7)]
+
 
 class EliasFano:
-    """A sorted sequence of n integers below a bound in about log2(bound / n) + 2 bits each."""
+    """A sorted sequence of n integers below a bound in about log2(bound / n) + 2 bits each.
+
+    The low bits lie side by side; the high parts are in unary, one set bit for
+    each value. Values are read and searched in this form.
+    """
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+        self.ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
+        self.zeros = 64 * np.arange(len(high) + 1) - self.ones
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         bound = int(values[-1]) + 1 if n else 1
         low_bits = max(0, (bound // max(n, 1)).bit_length() - 1)
-        v = values.astype(np.uint64)
-        lows = []
-        for some in np.array_split(v, n // SPAN + 1):
-            lows.append(((some[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel())
-        low = np.packbits(np.concatenate(lows)) if low_bits else np.empty(0, np.uint8)
-        high = np.zeros((n + (bound >> low_bits) + 8) // 8 + 1, np.uint8)
-        at = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        np.bitwise_or.at(high, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        low, high = np.zeros(n * low_bits // 64 + 2, np.uint64), np.zeros((n + (bound >> low_bits)) // 64 + 2, np.uint64)
+        for first in range(0, n, SPAN):
+            v = values[first : first + SPAN].astype(np.uint64)
+            at = np.arange(first, first + len(v))
+            if low_bits:
+                bit = at * low_bits
+                word, off = bit >> 6, (bit & 63).astype(np.uint64)
+                rest = v & np.uint64((1 << low_bits) - 1)
+                _add(low, word, rest << off)
+                _add(low, word + 1, rest >> np.uint64(1) >> (np.uint64(63) - off))
+            up = (v >> np.uint64(low_bits)).astype(np.int64) + at
+            _add(high, up >> 6, np.uint64(1) << (up & 63).astype(np.uint64))
         return cls(n, low_bits, low, high)
 
+    def arrays(self) -> list[np.ndarray]:
+        return [np.array([self.n, self.low_bits], "<i8"), self.low, self.high]
+
+    @classmethod
+    def viewed(cls, arrays: list[np.ndarray]) -> EliasFano:
+        return cls(int(arrays[0][0]), int(arrays[0][1]), arrays[1], arrays[2])
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(at), np.int64)
+        bit = at * self.low_bits
+        word, off = bit >> 6, (bit & 63).astype(np.uint64)
+        both = (self.low[word] >> off) | (self.low[word + 1] << np.uint64(1) << (np.uint64(63) - off))
+        return (both & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+
+    def read(self, at: np.ndarray) -> np.ndarray:
+        """Values at some places."""
+        word = np.searchsorted(self.ones, at, side="right") - 1
+        up = 64 * word + _nth_bit(self.high[word], at - self.ones[word]) - at
+        return (up << self.low_bits) | self._low(at)
+
     def decode(self) -> np.ndarray:
         """All values."""
-        ones = np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)
-        if not self.low_bits:
-            return ones
-        bits = np.unpackbits(self.low)[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = np.zeros(self.n, np.int64)
-        for i in range(self.low_bits):
-            low |= bits[:, i].astype(np.int64) << i
-        return (ones << self.low_bits) | low
+        return self.read(np.arange(self.n))
+
+    def _below(self, up: np.ndarray) -> np.ndarray:
+        """How many values have a high part below `up`."""
+        n = np.maximum(up - 1, 0)  # the zero that ends the part before
+        word = np.minimum(np.searchsorted(self.zeros, n, side="right") - 1, len(self.high) - 1)
+        place = 64 * word + _nth_bit(~self.high[word], n - self.zeros[word])
+        return np.where(up > 0, place - n, 0)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Place of each value, -1 where it is none of the sequence."""
+        up = values >> self.low_bits
+        inside = (up <= ((self.high.size * 64 - self.n) - 1)) & (values >= 0)
+        up = np.where(inside, up, 0)
+        lo, hi = self._below(up), np.minimum(self._below(up + 1), self.n)
+        end, rest = hi.copy(), values & ((1 << self.low_bits) - 1)
+        # The successor among the values of one high part, by halving.
+        going = np.flatnonzero(inside & (lo < hi))
+        while len(going):
+            mid = (lo[going] + hi[going]) >> 1
+            less = self._low(mid) < rest[going]
+            lo[going] = np.where(less, mid + 1, lo[going])
+            hi[going] = np.where(less, hi[going], mid)
+            going = going[lo[going] < hi[going]]
+        out = np.full(len(values), -1)
+        at = np.flatnonzero(inside & (lo < end))
+        same = at[self._low(lo[at]) == rest[at]]
+        out[same] = lo[same]
+        return out
+
+
+def _add(out: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
+    """Add bits that do not overlap to words at ascending places."""
+    if len(at):
+        new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        out[at[new]] |= np.add.reduceat(bits, new)
+
+
+class Level:
+    """The followers of every context, as context-relative monotone values, with their codes.
 
-    def parts(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.low, self.high
+    A follower is stored as word + 1 + base, where the base is the last value
+    of the context before, so the whole level is one monotone sequence.
+    """
+
+    def __init__(self, pointers: EliasFano, followers: EliasFano, codes: np.ndarray, back_off: np.ndarray) -> None:
+        self.pointers, self.followers, self.codes, self.back_off = pointers, followers, codes, back_off
+
+    @classmethod
+    def of(cls, parents: int, contexts: np.ndarray, words: np.ndarray, codes: np.ndarray, back_off: np.ndarray) -> Level:
+        pointers = np.concatenate(([0], np.cumsum(np.bincount(contexts, minlength=parents))))
+        return cls(EliasFano.of(pointers), EliasFano.of(words.astype(np.int64) + 1 + _bases(contexts, words)), codes.astype("<u2"), back_off.astype("<u2"))
+
+    def arrays(self) -> list[np.ndarray]:
+        return [*self.pointers.arrays(), *self.followers.arrays(), self.codes, self.back_off]
+
+    @classmethod
+    def viewed(cls, a: list[np.ndarray]) -> Level:
+        return cls(EliasFano.viewed(a[:3]), EliasFano.viewed(a[3:6]), a[6], a[7])
+
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Place of each (context, word), contexts ascending; -1 for those not there and for contexts or words of -1."""
+        out = np.full(len(contexts), -1)
+        asked = np.flatnonzero((contexts >= 0) & (words >= 0))
+        if not len(asked) or not self.followers.n:
+            return out
+        one = contexts[asked]
+        new = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+        lo, hi = self.pointers.read(one[new]), self.pointers.read(one[new] + 1)
+        base = np.where(lo > 0, self.followers.read(np.maximum(lo, 1) - 1), 0)
+        lo, hi, base = (np.repeat(x, np.diff(np.append(new, len(one)))) for x in (lo, hi, base))
+        at = self.followers.find(words[asked] + 1 + base)
+        met = (at >= lo) & (at < hi)
+        out[asked[met]] = at[met]
+        return out
 
 
 class Trie:
-    """Two levels in one memory-mapped file.
+    """Levels in one buffer that is mapped into memory.
 
-    Level 1 holds for each word its unigram code and back-off code, level 2 for
-    each (context, word) its code. The followers of a context are stored as
-    word + 1 + base, where the base is the last value of the context before,
-    so the whole level is one monotone sequence; it is coded in spans of contexts.
+    `words` is the number of words, `unigram` their codes. The first level holds
+    the followers of words, each further one those of the level before; each
+    comes as contexts and words, both ascending, codes, and the back-off codes
+    of its contexts.
     """
 
-    def __init__(self, folder: str, words: int, contexts: np.ndarray, followers: np.ndarray, codes: np.ndarray, unigram: np.ndarray, back_off: np.ndarray) -> None:
-        self.words = words
-        sizes = np.bincount(contexts, minlength=words)
-        pointers = np.concatenate(([0], np.cumsum(sizes)))
-        spans: list[tuple[int, int, EliasFano]] = []
-        first = 0
-        while first < words:
-            # Contexts up to about SPAN followers, one at least.
-            last = int(np.searchsorted(pointers, pointers[first] + SPAN, side="right")) - 1
-            last = min(max(last, first + 1), words)
-            lo, hi = int(pointers[first]), int(pointers[last])
-            spans.append((first, last, EliasFano.of(followers[lo:hi].astype(np.int64) + 1 + _bases(contexts[lo:hi], followers[lo:hi]))))
-            first = last
-        blobs = [unigram.astype("<u2"), back_off.astype("<u2"), codes.astype("<u2")]
-        self.pointers = EliasFano.of(pointers)
-        for ef in [self.pointers, *(s[2] for s in spans)]:
-            blobs += ef.parts()
-        handle, self.path = tempfile.mkstemp(prefix="trie-", dir=folder)
-        places = []
-        with os.fdopen(handle, "wb") as f:
-            for b in blobs:
-                places.append((f.tell(), len(b), b.dtype))
-                f.write(b.tobytes() or b"")
-            f.write(b"\0")
-        self.map = np.memmap(self.path, np.uint8, "r")
-        view = [self.map[at : at + n * kind.itemsize].view(kind) for at, n, kind in places]
-        self.unigram, self.back_off, self.codes = view[:3]
-        self.pointers.low, self.pointers.high = view[3:5]
-        self.spans = []
-        for i, (first, last, ef) in enumerate(spans):
-            ef.low, ef.high = view[5 + 2 * i : 7 + 2 * i]
-            self.spans.append((first, last, ef))
+    def __init__(self, folder: str | None, words: int, contexts: np.ndarray, followers: np.ndarray, codes: np.ndarray, unigram: np.ndarray, back_off: np.ndarray, deeper: tuple = ()) -> None:
+        levels, parents = [], words
+        for c, f, k, b in [(contexts, followers, codes, back_off), *deeper]:
+            levels.append(Level.of(parents, c, f, k, b))
+            parents = len(c)
+        self._map(folder, _joined([unigram.astype("<u8"), *(a for x in levels for a in x.arrays())]))
+
+    @classmethod
+    def opened(cls, blob: bytes, folder: str | None = None) -> Trie:
+        trie = cls.__new__(cls)
+        trie._map(folder, blob)
+        return trie
+
+    def _map(self, folder: str | None, blob: bytes) -> None:
+        """Map the buffer from a file of `folder`, or from memory that has no file."""
+        self.path = None
+        if folder is None:
+            memory = mmap.mmap(-1, len(blob))
+            memory.write(blob)
+            whole = np.frombuffer(memory, np.uint8)
+        else:
+            handle, self.path = tempfile.mkstemp(prefix="trie-", dir=folder)
+            with os.fdopen(handle, "wb") as f:
+                f.write(blob)
+            whole = np.memmap(self.path, np.uint8, "r")
+        arrays = _parted(whole)
+        self.unigram, self.levels, self.blob = arrays[0], [Level.viewed(arrays[i : i + 8]) for i in range(1, len(arrays), 8)], whole
 
     def close(self) -> None:
-        self.unigram = self.back_off = self.codes = self.map = None
-        os.unlink(self.path)
+        self.unigram = self.levels = self.blob = None
+        if self.path:
+            os.unlink(self.path)
 
     def look_up(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Codes of bigrams sorted by (context, word): their own where the trie
         has them, else back-off and unigram together."""
-        out = self.back_off[contexts].astype(np.int64) + self.unigram[words]
-        starts = self.pointers.decode()
-        for first, last, ef in self.spans:
-            a, b = np.searchsorted(contexts, (first, last))
-            if a == b or not ef.n:
-                continue
-            values = ef.decode()
-            lo, hi = starts[contexts[a:b]] - starts[first], starts[contexts[a:b] + 1] - starts[first]
-            base = np.where(lo > 0, values[np.maximum(lo, 1) - 1], 0)
-            wanted = words[a:b] + 1 + base
-            at = np.searchsorted(values, wanted)  # the successor in the context's own range, if it has one
-            found = (at < hi) & (values[np.minimum(at, ef.n - 1)] == wanted)
-            out[a:b][found] = self.codes[starts[first] + at[found]]
-        return out
+        level = self.levels[0]
+        at = level.find(contexts, words)
+        return np.where(at >= 0, level.codes[np.maximum(at, 0)] if len(level.codes) else 0, level.back_off[contexts].astype(np.int64) + self.unigram[words].astype(np.int64))
 
 
 def _bases(contexts: np.ndarray, followers: np.ndarray) -> np.ndarray:
@@ -180,13 +301,14 @@ class _Words(defaultdict):
         super().__init__(counter().__next__)
 
 
-def _chunks(df: DataFrame, text: str, keep: list[str], train: Column) -> DataFrame:
+def _chunks(df: DataFrame, text: str, keep: list[str], train: Column, order: int) -> DataFrame:
     """One row for each chunk: its words' hashes ascending, their training
     counts, and its texts as word numbers with lengths, training marks and kept columns."""
     cols = [F.col(f"`{c}`") for c in keep]
     wanted = df.select(F.col(f"`{text}`").alias("__text"), F.coalesce(train, F.lit(False)).alias("__train"), *cols)
-    schema = "chunk bigint, n_train bigint, hashes binary, counts binary, ids binary, lengths binary, train binary, kept binary"
-    names = ["chunk", "n_train", "hashes", "counts", "ids", "lengths", "train", "kept"]
+    schema = "chunk bigint, n_all bigint, n_train bigint, n_texts bigint, hashes binary, counts binary, ids binary, lengths binary, train binary, kept binary"
+    names = ["chunk", "n_all", "n_train", "n_texts", "hashes", "counts", "ids", "lengths", "train", "kept"]
+    marks_of_texts = [PAD, END, *map(_start, range(1, order))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -194,6 +316,12 @@ def _chunks(df: DataFrame, text: str, keep: list[str], train: Column) -> DataFra
         part = TaskContext.get().partitionId() << 24
         made = 0
 
+        def begin() -> tuple:
+            words = _Words()
+            for w in marks_of_texts:
+                words[w]
+            return words, [], [], [], [], 0
+
         def close(words: _Words, ids: list[np.ndarray], lengths: list[int], marks: list[bool], kept: list[pa.RecordBatch]) -> pa.RecordBatch:
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
             order = np.argsort(hashes)
@@ -206,17 +334,16 @@ def _chunks(df: DataFrame, text: str, keep: list[str], train: Column) -> DataFra
             with pa.ipc.new_stream(sink, kept[0].schema) as writer:
                 for k in kept:
                     writer.write_batch(k)
-            row = [part + made, int(counts.sum()), hashes[order].tobytes(), _pack(counts), _pack(every), _pack(np.array(lengths, np.uint32)), _pack(np.array(marks, np.uint8)), zstandard.compress(sink.getvalue().to_pybytes(), 1)]
-            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(row)], names)
+            row = [part + made, len(every), int(counts.sum()), sum(marks), hashes[order].tobytes(), _pack(counts), _pack(every), _pack(np.array(lengths, np.uint32)), _pack(np.array(marks, np.uint8)), zstandard.compress(sink.getvalue().to_pybytes(), 1)]
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 4 else pa.binary()) for i, v in enumerate(row)], names)
 
-        words, ids, lengths, marks, kept, held = _Words(), [], [], [], [], 0
-        start, end = words[START], words[END]
+        words, ids, lengths, marks, kept, held = begin()
+        end = np.array([words[END]], np.uint32)
         for batch in batches:
             first = 0
             for i, (x, mark) in enumerate(zip(batch.column(0), batch.column(1).to_pylist())):
                 got = (x.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                one = np.fromiter(map(words.__getitem__, got), np.uint32, len(got))
-                ids += [one, np.array([end], np.uint32)]
+                ids += [np.fromiter(map(words.__getitem__, got), np.uint32, len(got)), end]
                 lengths.append(len(got) + 1)
                 marks.append(mark)
                 held += len(got) + 1
@@ -224,8 +351,7 @@ def _chunks(df: DataFrame, text: str, keep: list[str], train: Column) -> DataFra
                     kept.append(pa.RecordBatch.from_arrays(batch.columns[2:], schema=pa.schema(list(batch.schema)[2:])).slice(first, i + 1 - first))
                     yield close(words, ids, lengths, marks, kept)
                     made, first = made + 1, i + 1
-                    words, ids, lengths, marks, kept, held = _Words(), [], [], [], [], 0
-                    start, end = words[START], words[END]
+                    words, ids, lengths, marks, kept, held = begin()
             if first < batch.num_rows:
                 kept.append(pa.RecordBatch.from_arrays(batch.columns[2:], schema=pa.schema(list(batch.schema)[2:])).slice(first))
         if lengths:
@@ -234,58 +360,121 @@ def _chunks(df: DataFrame, text: str, keep: list[str], train: Column) -> DataFra
     return wanted.mapInArrow(run, schema)
 
 
-def _bigrams(hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's (context << 32 | word), the distinct ones ascending, and their training counts."""
-    start = int(np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(START))))
-    before = np.empty(len(ids), np.uint64)
-    before[1:] = ids[:-1]
-    begins = np.cumsum(lengths.astype(np.int64)) - lengths
-    before[begins] = start
-    pairs = (before << np.uint64(32)) | ids
-    marked = (pairs << np.uint64(1)) | np.repeat(train, lengths)  # word numbers stay below 2**31
-    marked.sort()
-    sorted_pairs = marked >> np.uint64(1)
-    new = np.flatnonzero(np.append(True, sorted_pairs[1:] != sorted_pairs[:-1])) if len(ids) else np.empty(0, np.int64)
-    counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), new) if len(new) else np.empty(0, np.int64)
-    return pairs, sorted_pairs[new], counts
-
-
-def _shard_bits(df: DataFrame) -> int:
-    """Shards, as a power of two, follow the number of input partitions."""
-    parts = max(1, df.rdd.getNumPartitions())
-    return min(MOST_SHARD_BITS, (2 * parts - 1).bit_length())
-
-
-def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-
-
-def _shards_of(pairs: np.ndarray, hashes: np.ndarray, bits: int, hot: dict[int, int]) -> np.ndarray:
-    """The shard of each bigram: by its context, for split contexts also by its word."""
-    contexts, words = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    out = _top(hashes, bits)[contexts]
-    for h, split_bits in hot.items():
-        at = int(np.searchsorted(hashes, np.uint64(h)))
-        if at < len(hashes) and int(hashes[at]) == h:
-            lo, hi = np.searchsorted(contexts, (at, at + 1))
-            out[lo:hi] = (out[lo:hi] + _top(hashes, split_bits)[words[lo:hi]]) & ((1 << bits) - 1)
-    return out
+def _number(hashes: np.ndarray, word: bytes) -> int:
+    return int(np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(word))))
+
+
+class _Texts:
+    """A chunk's texts as sequences of word numbers, with the marks before and after each."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, order: int) -> None:
+        self.order, self.lengths = order, lengths.astype(np.int64)
+        before = [_number(hashes, _start(k)) for k in range(order - 1, 0, -1)]
+        spans = self.lengths + 2 * order - 3
+        begins = np.cumsum(spans) - spans
+        self.words = np.full(int(spans.sum()), _number(hashes, PAD), np.uint32)
+        for k, w in enumerate(before):
+            self.words[begins + k] = w
+        #: Place of every token, and of every n-gram's first word; n-grams begin at all places up to the last word before the end.
+        self.tokens = _runs(begins + order - 1, self.lengths)
+        self.grams = self.lengths + order - 2
+        self.begins = _runs(begins, self.grams)
+        self.words[self.tokens] = ids
+
+    def gram_at(self) -> np.ndarray:
+        """For each token the number of the n-gram of full length that ends with it."""
+        return _runs(np.cumsum(self.grams) - self.grams, self.lengths)
+
+    def nodes(self, only: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length from 2: prefix and last word of the distinct n-grams, ascending,
+        and the number of each n-gram among them. A prefix is a number of the length before."""
+        begins = self.begins if only is None else self.begins[only]
+        above, out = self.words[begins].astype(np.int64), []
+        for k in range(1, self.order):
+            found, above = np.unique(above << 32 | self.words[begins + k].astype(np.int64), return_inverse=True)
+            out.append((found >> 32, found & 0xFFFFFFFF, above))
+        return out
+
+
+def _runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for sizes[i] values each."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _leaves(nodes: list) -> list[np.ndarray]:
+    """The words of the distinct n-grams, column by column."""
+    columns, at = [], np.arange(len(nodes[-1][0]))
+    for prefix, last, _ in reversed(nodes):
+        columns.append(last[at])
+        at = prefix[at]
+    return [at, *reversed(columns)]
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a prefix with one word more."""
+    x = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _top(hashes: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    """The upper bits of hashes; none of them for 0 bits."""
+    return (hashes >> np.uint64(1) >> (np.uint64(63) - np.asarray(bits).astype(np.uint64))).astype(np.int64)
 
 
-# --- shards ------------------------------------------------------------------------
+class _Hot:
+    """Prefixes of one length that hold more than a shard's share: hash, bits to split by, tokens."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]) -> None:
+        rows = sorted(rows)
+        self.hashes = np.array([r[0] for r in rows], np.uint64)
+        self.bits = np.array([r[1] for r in rows], np.int64)
+        self.total = np.array([r[2] for r in rows], np.int64)
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash among the hot ones, -1 for the others."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+
+def _shards(columns: list[np.ndarray], bits: int, hot: list[_Hot]) -> np.ndarray:
+    """The shard of n-grams given as columns of word hashes."""
+    prefix = columns[0]
+    out = _top(prefix, bits)
+    for known, word in zip(hot, columns[1:]):
+        at = known.place(prefix)
+        split = np.flatnonzero(at >= 0)
+        out[split] += _top(word[split], known.bits[at[split]])
+        prefix = _mix(prefix, word)
+    return out & ((1 << bits) - 1)
+
+
+def _texts_of(row: dict, order: int) -> tuple[np.ndarray, _Texts]:
+    hashes = np.frombuffer(row["hashes"], np.uint64)
+    return hashes, _Texts(hashes, _unpack(row["ids"], "<u4"), _unpack(row["lengths"], "<u4"), order)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+
+
+# --- shards of words ---------------------------------------------------------------
 
 
 def _word_requests(chunks: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                hashes, counts = np.frombuffer(row["hashes"], np.uint64), _unpack(row["counts"], "<u4")
-                edges = np.searchsorted(_top(hashes, bits), np.arange((1 << bits) + 1))
-                parts = [(s, a, b) for s, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if a < b]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s for s, _, _ in parts], pa.int32()), pa.array([row["chunk"]] * len(parts), pa.int64()), pa.array([hashes[a:b].tobytes() for _, a, b in parts]), pa.array([_pack(counts[a:b]) for _, a, b in parts])],
-                    ["shard", "chunk", "hashes", "counts"],
-                )
+        for row in _rows(batches):
+            hashes, counts = np.frombuffer(row["hashes"], np.uint64), _unpack(row["counts"], "<u4")
+            edges = np.searchsorted(_top(hashes, bits), np.arange((1 << bits) + 1))
+            parts = [(s, a, b) for s, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if a < b]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _, _ in parts], pa.int32()), pa.array([row["chunk"]] * len(parts), pa.int64()), pa.array([hashes[a:b].tobytes() for _, a, b in parts]), pa.array([_pack(counts[a:b]) for _, a, b in parts])],
+                ["shard", "chunk", "hashes", "counts"],
+            )
 
     return chunks.select("chunk", "hashes", "counts").mapInArrow(run, "shard int, chunk bigint, hashes binary, counts binary")
 
@@ -313,183 +502,313 @@ def _word_totals(requests: DataFrame, most: float) -> DataFrame:
     return requests.groupBy("shard").applyInArrow(run, "chunk bigint, shard int, totals binary, words binary, n bigint")
 
 
-def _bigram_requests(chunks: DataFrame, bits: int, hot: dict[int, int]) -> DataFrame:
+def _hot_prefixes(chunks: DataFrame, hot: list[_Hot], most: float, bits: int, n: int, order: int) -> _Hot:
+    """Prefixes one word longer than the last of `hot` with over `most` training tokens; their own prefixes are hot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                hashes = np.frombuffer(row["hashes"], np.uint64)
-                _, pairs, counts = _bigrams(hashes, _unpack(row["ids"], "<u4"), _unpack(row["lengths"], "<u4"), _unpack(row["train"], "u1"))
-                shards = _shards_of(pairs, hashes, bits, hot)
-                order = np.argsort(shards, kind="stable")
-                edges = np.searchsorted(shards[order], np.arange((1 << bits) + 1))
-                for s in np.flatnonzero(np.diff(edges)).tolist():
-                    some = order[edges[s] : edges[s + 1]]
-                    contexts = (pairs[some] >> np.uint64(32)).astype(np.int64)
-                    new = np.flatnonzero(np.append(True, np.diff(contexts) != 0))
-                    followers = hashes[(pairs[some] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-                    # The upper 48 bits of a follower's hash tell it from the others of its context.
-                    planes = followers.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([v], k) for v, k in ((s, pa.int32()), (row["chunk"], pa.int64()), (hashes[contexts[new]].tobytes(), pa.binary()), (_pack(np.diff(np.append(new, len(some))).astype(np.uint32)), pa.binary()), (planes, pa.binary()), (_pack(counts[some].astype(np.uint32)), pa.binary()))],
-                        ["shard", "chunk", "contexts", "sizes", "followers", "counts"],
-                    )
-
-    return chunks.select("chunk", "hashes", "ids", "lengths", "train").mapInArrow(run, "shard int, chunk bigint, contexts binary, sizes binary, followers binary, counts binary")
-
-
-def _bigram_totals(requests: DataFrame) -> DataFrame:
-    """Answers by chunk and shard: totals of its bigrams, totals and follower
-    counts of its contexts. Rows of chunk -1 tell how many bigrams occurred
-    once and twice, and what the shard knows of each context, for split ones."""
+        for row in _rows(batches):
+            hashes, texts = _texts_of(row, order)
+            begins = texts.begins[np.repeat(_unpack(row["train"], "u1").astype(bool), texts.grams)]
+            prefix = hashes[texts.words[begins]]
+            for k, known in enumerate(hot, 1):
+                on = known.place(prefix) >= 0
+                begins, prefix = begins[on], prefix[on]
+                prefix = _mix(prefix, hashes[texts.words[begins + k]])
+            found, counts = np.unique(prefix, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "c"])
 
-    def run(table: pa.Table) -> pa.Table:
-        chunk, shard = table.column("chunk").to_pylist(), table.column("shard")[0].as_py()
-        contexts = [np.frombuffer(b, np.uint64) for b in table.column("contexts").to_pylist()]
-        sizes = [_unpack(b, "<u4").astype(np.int64) for b in table.column("sizes").to_pylist()]
-        planes = np.frombuffer(b"".join(table.column("followers").to_pylist()), np.uint8).reshape(-1, 6)
-        followers = np.zeros((len(planes), 8), np.uint8)
-        followers[:, 2:] = planes
-        followers = followers.view(np.uint64).ravel()
-        counts = np.concatenate([_unpack(b, "<u4") for b in table.column("counts").to_pylist()]).astype(np.int64)
-        distinct, inverse = np.unique(np.concatenate(contexts), return_inverse=True)
-        of = np.repeat(inverse, np.concatenate(sizes))
-        order = np.lexsort((followers, of))
-        f, o = followers[order], of[order]
-        new = np.append(True, (f[1:] != f[:-1]) | (o[1:] != o[:-1]))
-        group = np.cumsum(new) - 1
-        totals = np.bincount(group, counts[order], int(group[-1]) + 1).astype(np.int64)
-        back = np.empty(len(order), np.int64)
-        back[order] = totals[group]
-        owner = o[new]
-        c = np.bincount(owner, totals, len(distinct)).astype(np.int64)
-        t = np.bincount(owner[totals > 0], minlength=len(distinct)).astype(np.int64)
-        cuts = np.cumsum([int(s.sum()) for s in sizes])[:-1]
-        at = np.split(inverse, np.cumsum([len(x) for x in contexts])[:-1])
-        none = [None] * len(chunk)
-        return pa.table({
-            "chunk": pa.array([*chunk, -1], pa.int64()),
-            "shard": pa.array([shard] * (len(chunk) + 1), pa.int32()),
-            "totals": pa.array([*map(_pack, np.split(back, cuts)), None], pa.binary()),
-            "context_totals": pa.array([*[_pack(c[i]) for i in at], None], pa.binary()),
-            "context_kinds": pa.array([*[_pack(t[i]) for i in at], None], pa.binary()),
-            "n1": pa.array([*[0] * len(chunk), int((totals == 1).sum())], pa.int64()),
-            "n2": pa.array([*[0] * len(chunk), int((totals == 2).sum())], pa.int64()),
-            "contexts": pa.array([*none, distinct.tobytes()], pa.binary()),
-            "c": pa.array([*none, _pack(c)], pa.binary()),
-            "t": pa.array([*none, _pack(t)], pa.binary()),
-        })
+    met = chunks.select("hashes", "ids", "lengths", "train").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > most).collect()
+    return _Hot([(int(np.int64(h).view(np.uint64)), _split_bits(c, n, bits), c) for h, c in met])
 
-    return requests.groupBy("shard").applyInArrow(run, "chunk bigint, shard int, totals binary, context_totals binary, context_kinds binary, n1 bigint, n2 bigint, contexts binary, c binary, t binary")
 
+def _split_bits(c: int, n: int, bits: int) -> int:
+    return min(bits, math.ceil(math.log2(max(2.0, 2 * c * (1 << bits) / max(n, 1)))))
 
-def _split_sums(answers: DataFrame, hot: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """Total and follower count of each split context over all shards."""
-    if not hot:
-        return {}
-    wanted = np.array(sorted(hot), np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                contexts = np.frombuffer(row["contexts"], np.uint64)
-                at = np.flatnonzero(np.isin(contexts, wanted))
-                yield pa.RecordBatch.from_arrays([pa.array(contexts[at].view(np.int64)), pa.array(_unpack(row["c"], "<i8")[at]), pa.array(_unpack(row["t"], "<i8")[at])], ["h", "c", "t"])
+# --- shards of n-grams -------------------------------------------------------------
 
-    sums = answers.where("chunk = -1").select("contexts", "c", "t").mapInArrow(run, "h bigint, c bigint, t bigint").groupBy("h").agg(F.sum("c"), F.sum("t")).collect()
-    return {int(np.int64(h).view(np.uint64)): (int(c), int(t)) for h, c, t in sums}
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """Small numbers byte by byte, which compress better apart."""
+    a = a.astype("<u2" if not len(a) or int(a.max()) < 1 << 16 else "<u4")
+    return a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.ravel()
 
-# --- scores ------------------------------------------------------------------------
 
+def _from_planes(p: np.ndarray, n: int) -> np.ndarray:
+    size = len(p) // max(n, 1)
+    return np.ascontiguousarray(p.reshape(size, n).T).view(f"<u{size}").ravel().astype(np.int64) if n else np.empty(0, np.int64)
 
-def _codes(log10: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(-log10 * STEPS), 65535).astype(np.uint16)
 
+def _requests(chunks: DataFrame, bits: int, hot: list[_Hot], order: int, training: bool) -> DataFrame:
+    """(shard, chunk, blob): distinct n-grams of each chunk; for training with
+    their counts, and only those of training texts."""
 
-def model_codes(n: int, v: int, discount: float, c_word: np.ndarray, context: np.ndarray, word: np.ndarray, c_pair: np.ndarray, c_context: np.ndarray, t_context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Quantised -log10 of unigram, back-off and interpolated bigram chances.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            hashes, texts = _texts_of(row, order)
+            only = np.repeat(_unpack(row["train"], "u1").astype(bool), texts.grams) if training else None
+            nodes = texts.nodes(only)
+            columns = _leaves(nodes)
+            counts = np.bincount(nodes[-1][2], minlength=len(columns[0])) if training else None
+            shards = _shards([hashes[c] for c in columns], bits, hot)
+            by = np.argsort(shards, kind="stable")
+            edges = np.searchsorted(shards[by], np.arange((1 << bits) + 1))
+            for s in np.flatnonzero(np.diff(edges)).tolist():
+                some = by[edges[s] : edges[s + 1]]
+                words, inverse = np.unique(np.concatenate([c[some] for c in columns]), return_inverse=True)
+                blob = zstandard.compress(_joined([hashes[words], np.array([len(some)], "<i8"), *map(_planes, inverse.reshape(order, -1)), *([_planes(counts[some])] if training else [])]), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((s, pa.int32()), (row["chunk"], pa.int64()), (blob, pa.binary()))], ["shard", "chunk", "blob"])
+
+    return chunks.select("chunk", "hashes", "ids", "lengths", "train").mapInArrow(run, "shard int, chunk bigint, blob binary")
+
+
+def _opened(blob: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray | None]:
+    """Word hashes, columns of word numbers, and counts of a request."""
+    hashes, n, *planes = _parted(np.frombuffer(zstandard.decompress(blob), np.uint8))
+    found = [_from_planes(p, int(n[0])) for p in planes]
+    return hashes, found[:order], found[order] if len(found) > order else None
+
+
+def _levels(columns: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Like `_Texts.nodes`, for n-grams given as columns of word numbers."""
+    above, out = columns[0], []
+    for c in columns[1:]:
+        found, above = np.unique(above << 32 | c, return_inverse=True)
+        out.append((found >> 32, found & 0xFFFFFFFF, above))
+    return out
+
+
+def _places(hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Numbers, among ascending hashes, of those words that are there."""
+    wanted = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    return np.flatnonzero(np.isin(hashes, wanted))
 
-    unigram p(w) = (c(w) + 1) / (n + v + 1); a context u seen c(u) times with
-    t(u) followers backs off with b(u) = discount * t(u) / c(u), an unseen one
-    with 1; p(w | u) = (c(uw) - discount) / c(u) + b(u) p(w).
+
+def _counted(requests: DataFrame, order: int, hot: list[_Hot]) -> DataFrame:
+    """One row for each shard: its words and n-grams with totals; how many n-grams
+    of each length occurred once and twice; and the followers its part of each hot prefix has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_opened(b, order) for b in table.column("blob").to_pylist()]
+        words, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        firsts = np.cumsum([0, *(len(p[0]) for p in parts)])[:-1]
+        columns = [np.concatenate([number[a + p[1][k]] for a, p in zip(firsts.tolist(), parts)]) for k in range(order)]
+        counts = np.concatenate([p[2] for p in parts])
+        del parts
+        levels = _levels(columns)
+        marks, pad = _places(words, [PAD, *map(_start, range(1, order))]), _places(words, [PAD])
+        totals = [np.bincount(inverse, counts, len(last)).astype(np.int64) for _, last, inverse in levels]
+        once, twice, told = [], [], []
+        prefix = words
+        for k, (above, last, _) in enumerate(levels):
+            here = _mix(prefix[above], words[last])
+            usual = ~np.isin(last, marks)
+            split = hot[k + 1].place(here) >= 0 if k + 1 < len(hot) else np.zeros(len(here), bool)
+            once.append(int((usual & ~split & (totals[k] == 1)).sum()))
+            twice.append(int((usual & ~split & (totals[k] == 2)).sum()))
+            # Followers of hot prefixes; those that are split themselves are in several shards and counted on the driver.
+            at = hot[k].place(prefix)
+            kinds = np.bincount(at[above][(at[above] >= 0) & ~np.isin(last, pad) & ~split], minlength=len(hot[k].hashes))
+            told.append(kinds.astype("<i8"))
+            # Each split follower is told by all shards that have it, as its hash and its prefix.
+            both = np.flatnonzero(split)
+            told += [here[both], at[above[both]].astype("<i8")]
+            prefix = here
+        blob = zstandard.compress(_joined([words, *(x.astype("<u4") for above, last, _ in levels for x in (above, last)), totals[-1].astype("<u8")]), 1)
+        return pa.table({"shard": table.column("shard")[:1], "blob": pa.array([blob]), "once": pa.array([once], pa.list_(pa.int64())), "twice": pa.array([twice], pa.list_(pa.int64())), "told": pa.array([zstandard.compress(_joined(told), 1)])})
+
+    return requests.groupBy("shard").applyInArrow(run, "shard int, blob binary, once array<bigint>, twice array<bigint>, told binary")
+
+
+def _kinds(counted: DataFrame, hot: list[_Hot]) -> list[np.ndarray]:
+    """Number of followers of each hot prefix over all shards; one short row for each shard that has any."""
+    kinds = [np.zeros(len(h.hashes), np.int64) for h in hot]
+    if not any(len(h.hashes) for h in hot):
+        return kinds
+    split: list[set] = [set() for _ in hot]
+    for (blob,) in counted.select("told").toLocalIterator():
+        told = _parted(np.frombuffer(zstandard.decompress(blob), np.uint8))
+        for k, known in enumerate(kinds):
+            known += told[3 * k]
+            split[k].update(zip(told[3 * k + 1].tolist(), told[3 * k + 2].tolist()))
+    for k, met in enumerate(split):
+        for _, at in met:
+            kinds[k][at] += 1
+    return kinds
+
+
+def _codes(chance: np.ndarray) -> np.ndarray:
+    """Quantised -log10."""
+    return np.minimum(np.rint(-np.log10(np.maximum(chance, 1e-31)) * STEPS), NONE - 1).astype(np.uint16)
+
+
+def _tries(counted: DataFrame, order: int, hot: list[_Hot], kinds: list[np.ndarray], discounts: list[float]) -> DataFrame:
+    """(shard, blob): each shard's part of the trie.
+
+    An n-gram seen c times, in a context seen C times with t followers, has the
+    code of (c - discount) / C, and the context that of its back-off weight
+    discount * t / C.
     """
-    uni = (c_word + 1) / (n + v + 1)
-    seen = np.maximum(c_context, 1)
-    back = np.where(c_context > 0, discount * t_context / seen, 1.0)
-    pair = (c_pair - discount) / seen[context] + back[context] * uni[word]
-    return _codes(np.log10(uni)), _codes(np.log10(np.maximum(back, 1e-30))), _codes(np.log10(np.maximum(pair, 1e-31)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, *arrays = _parted(np.frombuffer(zstandard.decompress(row["blob"]), np.uint8))
+            levels = [(arrays[2 * k].astype(np.int64), arrays[2 * k + 1].astype(np.int64)) for k in range(order - 1)]
+            totals, pad = [arrays[-1].astype(np.int64)], _places(words, [PAD])
+            for above, _ in levels[:0:-1]:
+                totals.insert(0, np.bincount(above, totals[0]).astype(np.int64))
+            prefix, made, place = words, [], np.arange(len(words))
+            for k, (above, last) in enumerate(levels):
+                here, c = _mix(prefix[above], words[last]), totals[k]
+                inner = ~np.isin(last, pad)
+                sums = np.bincount(above[inner], c[inner], len(prefix)).astype(np.int64)
+                t = np.bincount(above[inner], minlength=len(prefix)).astype(np.int64)
+                at = hot[k].place(prefix)
+                sums, t = np.where(at >= 0, np.append(hot[k].total, 0)[at], sums), np.where(at >= 0, np.append(kinds[k], 0)[at], t)
+                if k + 1 < len(hot):  # an n-gram that is split has its total from the driver
+                    at = hot[k + 1].place(here)
+                    c = np.where(at >= 0, np.append(hot[k + 1].total, 0)[at], c)
+                # An n-gram that ends with what follows a text is none; its place closes up.
+                new = np.cumsum(inner) - 1
+                back = np.where(sums > 0, _codes(discounts[k] * t / np.maximum(sums, 1)), 0)
+                made.append((place[above[inner]], last[inner], _codes((c - discounts[k])[inner] / np.maximum(sums[above[inner]], 1)), back[place >= 0]))
+                prefix, place = here, np.where(inner, new, -1)
+            first = made[0]
+            trie = Trie(None, len(words), *first[:3], words, first[3], tuple(made[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([trie.blob.tobytes()], pa.binary())], ["shard", "blob"])
+
+    return counted.select("shard", "blob").mapInArrow(run, "shard int, blob binary")
+
+
+def _answers(requests: DataFrame, tries: DataFrame, order: int) -> DataFrame:
+    """(chunk, shard, blob): the back-off codes of a request's first words; then for
+    each length the codes of its n-grams, and their own back-off codes as contexts."""
+    asked = requests.unionByName(tries.select("shard", F.lit(-1).cast("bigint").alias("chunk"), "blob"))
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk, blobs = table.column("chunk").to_pylist(), table.column("blob")
+        model = [i for i, c in enumerate(chunk) if c < 0]
+        trie = Trie.opened(blobs[model[0]].as_py()) if model else None
+        out = []
+        for i, c in enumerate(chunk):
+            if c < 0:
+                continue
+            hashes, columns, _ = _opened(blobs[i].as_py(), order)
+            levels = _levels(columns)
+            if trie is None:
+                out.append(zstandard.compress(_joined([np.zeros(len(hashes), "<u2"), *(x for _, last, _ in levels for x in (np.full(len(last), NONE, "<u2"), np.zeros(len(last), "<u2")))]), 1))
+                continue
+            at = np.minimum(np.searchsorted(trie.unigram, hashes), max(len(trie.unigram) - 1, 0))
+            number = np.where(trie.unigram[at] == hashes, at, -1)
+            codes, above = [_coded(trie.levels[0].back_off, number, 0)], number
+            for k, (prefix, last, _) in enumerate(levels):
+                level = trie.levels[k]
+                # Contexts ascend here as they do in the trie, since hashes and numbers do.
+                found = level.find(above[prefix], number[last])
+                codes += [_coded(level.codes, found, NONE), _coded(trie.levels[k + 1].back_off, found, 0) if k + 1 < len(trie.levels) else np.zeros(0, "<u2")]
+                above = found
+            out.append(zstandard.compress(_joined(codes), 1))
+        if trie is not None:
+            trie.close()
+        asks = [c for c in chunk if c >= 0]
+        return pa.table({"chunk": pa.array(asks, pa.int64()), "shard": pa.array([table.column("shard")[0].as_py()] * len(asks), pa.int32()), "blob": pa.array(out, pa.binary())})
+
+    return asked.groupBy("shard").applyInArrow(run, "chunk bigint, shard int, blob binary")
+
+
+def _coded(codes: np.ndarray, at: np.ndarray, other: int) -> np.ndarray:
+    return np.where(at >= 0, codes[np.maximum(at, 0)] if len(codes) else other, other).astype("<u2")
+
+
+# --- the model and its scores ------------------------------------------------------
 
-def score(df: DataFrame, train: Column, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+
+def _chance(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes == NONE, 0.0, 10.0 ** (codes / -STEPS))
+
+
+def score(df: DataFrame, train: Column, text: str = "text", keep: list[str] | None = None, order: int = 2) -> DataFrame:
     """The columns of `keep` with n_tokens, n_known, train_tokens, base_score and score.
 
     The model learns from the rows where `train` is true; a null counts as
     false. Words lie between ASCII white space, A-Z lower-cased; an end token
     closes each text, so null and empty texts are scored on that token alone.
-    base_score uses add-one unigrams. One row out for each row in; repeated
-    rows count as often as they stand there. Without training rows every token
-    is unknown. Word numbers of a chunk are 31 bits wide; a task holds one
-    chunk, so a single text must fit into a worker's memory about ten times.
+    base_score uses add-one unigrams, score n-grams of length `order`, 2 or
+    more. One row out for each row in; repeated rows count as often as they
+    stand there. Without training rows every token is unknown. Kept columns
+    must not be named like the outputs. Word numbers of a chunk are 31 bits
+    wide; a task holds one chunk, so a single text must fit into a worker's
+    memory about ten times.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     zero, real = F.lit(0).cast("bigint"), F.lit(0.0)
     schema = df.select(*[F.col(f"`{c}`") for c in keep], zero.alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), real.alias("base_score"), real.alias("score")).schema
-    bits = _shard_bits(df)
-    chunks = materialize(_chunks(df, text, keep, train), "lm-chunks")
-    n = int(chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0])
-    words = materialize(_word_totals(_word_requests(chunks, bits), max(1.0, n / (1 << bits))), "lm-words")
+    chunks = materialize(_chunks(df, text, keep, train, order), "lm-chunks")
+    sums = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_all", "n_train", "n_texts")]).first()
+    n_all, n, n_texts = map(int, sums)
+    bits = max(0, math.ceil(math.log2(max(1, n_all) / SHARD_TOKENS)))
+    most = max(1.0, n / (1 << bits))
+    words = materialize(_word_totals(_word_requests(chunks, bits), most), "lm-words")
     told = words.where("chunk = -1").select("words", "totals", "n").collect()  # a row for each shard, fewer hot words than shards
     v = sum(r["n"] for r in told)
-    hot: dict[int, int] = {}
-    for r in told:
-        for h, c in zip(np.frombuffer(r["words"], np.uint64).tolist(), np.frombuffer(r["totals"], np.int64).tolist()):
-            hot[h] = min(bits, int(np.ceil(np.log2(max(2.0, 2 * c * (1 << bits) / n)))))
-    pairs = materialize(_bigram_totals(_bigram_requests(chunks, bits, hot)), "lm-bigrams")
-    n1, n2 = pairs.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
-    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    split = _split_sums(pairs, hot)
+    heavy = [(h, c) for r in told for h, c in zip(np.frombuffer(r["words"], np.uint64).tolist(), np.frombuffer(r["totals"], np.int64).tolist())]
+    heavy += [(xxhash.xxh64_intdigest(_start(k)), n_texts) for k in range(1, order) if n_texts > most]
+    hot = [_Hot([(h, _split_bits(c, n, bits), c) for h, c in heavy] if bits else [])]
+    for _ in range(2, order):
+        hot.append(_hot_prefixes(chunks, hot, most, bits, n, order) if len(hot[-1].hashes) else _Hot([]))
+    counted = materialize(_counted(_requests(chunks, bits, hot, order, True), order, hot), "lm-counts")
+    ends = counted.select(*[F.sum(F.col(c)[k]) for c in ("once", "twice") for k in range(order - 1)]).first()
+    discounts = [a / (a + 2 * b) if a and b else 0.5 for a, b in zip(ends[: order - 1], ends[order - 1 :])]
+    tries = materialize(_tries(counted, order, hot, _kinds(counted, hot), discounts), "lm-trie")
+    release(counted)
+    answers = materialize(_answers(_requests(chunks, bits, hot, order, False), tries, order), "lm-answers")
     none = F.lit(None).cast("binary")
     parts = (
-        chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("shard"), F.col("hashes").alias("a"), F.col("ids").alias("b"), F.col("lengths").alias("c"), F.col("train").alias("d"), F.col("kept").alias("e"))
-        .unionByName(words.where("chunk >= 0").select("chunk", F.lit(1).alias("kind"), "shard", F.col("totals").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"), none.alias("e")))
-        .unionByName(pairs.where("chunk >= 0").select("chunk", F.lit(2).alias("kind"), "shard", F.col("totals").alias("a"), F.col("context_totals").alias("b"), F.col("context_kinds").alias("c"), none.alias("d"), none.alias("e")))
+        chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("shard"), F.col("hashes").alias("a"), F.col("ids").alias("b"), F.col("lengths").alias("c"), F.col("kept").alias("d"))
+        .unionByName(words.where("chunk >= 0").select("chunk", F.lit(1).alias("kind"), "shard", F.col("totals").alias("a"), none.alias("b"), none.alias("c"), none.alias("d")))
+        .unionByName(answers.select("chunk", F.lit(2).alias("kind"), "shard", F.col("blob").alias("a"), none.alias("b"), none.alias("c"), none.alias("d")))
     )
     names = schema.names
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["kind", "shard", "a", "b", "c", "d", "e"]).to_pylist(), key=lambda r: (r["kind"], r["shard"]))
+        rows = sorted(table.select(["kind", "shard", "a", "b", "c", "d"]).to_pylist(), key=lambda r: (r["kind"], r["shard"]))
         own = rows[0]
-        hashes, ids, lengths, marks = np.frombuffer(own["a"], np.uint64), _unpack(own["b"], "<u4"), _unpack(own["c"], "<u4"), _unpack(own["d"], "u1")
+        hashes, ids, lengths = np.frombuffer(own["a"], np.uint64), _unpack(own["b"], "<u4"), _unpack(own["c"], "<u4")
         c_word = np.concatenate([_unpack(r["a"], "<i8") for r in rows if r["kind"] == 1])
-        every, distinct, _ = _bigrams(hashes, ids, lengths, marks)
-        contexts, followers = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        order = np.argsort(_shards_of(distinct, hashes, bits, hot), kind="stable")
-        answers = [r for r in rows if r["kind"] == 2]
-        c_pair = np.empty(len(distinct), np.int64)
-        c_pair[order] = np.concatenate([_unpack(r["a"], "<i8") for r in answers])
-        shards = _shards_of(distinct, hashes, bits, hot)[order]
-        firsts = order[np.append(True, (np.diff(contexts[order]) != 0) | (np.diff(shards) != 0))]
-        c_context, t_context = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        c_context[contexts[firsts]] = np.concatenate([_unpack(r["b"], "<i8") for r in answers])
-        t_context[contexts[firsts]] = np.concatenate([_unpack(r["c"], "<i8") for r in answers])
-        for h, (c, t) in split.items():
-            at = int(np.searchsorted(hashes, np.uint64(h)))
-            if at < len(hashes) and int(hashes[at]) == h:
-                c_context[at], t_context[at] = c, t
-        known = c_pair > 0
-        unigram, back_off, codes = model_codes(n, v, discount, c_word, contexts[known], followers[known], c_pair[known], c_context, t_context)
-        trie = Trie(tempfile.gettempdir(), len(hashes), contexts[known], followers[known], codes, unigram, back_off)
-        try:
-            found = trie.look_up(contexts, followers)
-        finally:
-            trie.close()
+        texts = _Texts(hashes, ids, lengths, order)
+        nodes = texts.nodes()
+        columns = _leaves(nodes)
+        shards = _shards([hashes[c] for c in columns], bits, hot)
+        codes = [np.full(len(last), NONE, np.uint16) for _, last, _ in nodes]
+        backs = [np.zeros(len(hashes), np.uint16), *(np.zeros(len(last), np.uint16) for _, last, _ in nodes[:-1])]
+        by = np.argsort(shards, kind="stable")
+        for r in rows:
+            if r["kind"] < 2:
+                continue
+            some = by[np.searchsorted(shards[by], r["shard"]) : np.searchsorted(shards[by], r["shard"], side="right")]
+            got = _parted(np.frombuffer(zstandard.decompress(r["a"]), np.uint8))
+            asked = np.unique(np.concatenate([c[some] for c in columns]))
+            first = np.isin(asked, columns[0][some])
+            backs[0][asked[first]] = got[0][first]
+            at, held = some, [some]
+            for prefix, _, _ in nodes[:0:-1]:
+                at = np.unique(prefix[at])
+                held.insert(0, at)
+            for k, at in enumerate(held):
+                codes[k][at] = got[1 + 2 * k]
+                if k + 1 < len(backs):
+                    backs[k + 1][at] = got[2 + 2 * k]
+        uni = (c_word + 1) / (n + v + 1)
+        grams, chance = texts.gram_at(), uni[ids]
+        for k in range(order - 1):
+            # The n-gram of k + 2 words that ends with a token begins later than that of full length.
+            node = nodes[k][2][grams + order - 2 - k]
+            chance = _chance(codes[k][node]) + 10.0 ** (backs[k][nodes[k][0][node]] / -STEPS) * chance
         begins = np.cumsum(lengths.astype(np.int64)) - lengths
-        cost = np.add.reduceat(found[np.searchsorted(distinct, every)], begins)
-        base = np.add.reduceat(np.log10((c_word + 1) / (n + v + 1))[ids], begins)
+        base = np.add.reduceat(np.log10(uni)[ids], begins)
         seen = np.add.reduceat((c_word > 0).astype(np.int64)[ids], begins)
-        kept = pa.ipc.open_stream(zstandard.decompress(own["e"])).read_all()
-        made = [pa.array(lengths.astype(np.int64)), pa.array(seen), pa.array(np.full(len(lengths), n)), pa.array(base), pa.array(-cost / STEPS)]
+        kept = pa.ipc.open_stream(zstandard.decompress(own["d"])).read_all()
+        made = [pa.array(lengths.astype(np.int64)), pa.array(seen), pa.array(np.full(len(lengths), n)), pa.array(base), pa.array(np.add.reduceat(np.log10(chance), begins))]
         return pa.Table.from_arrays([*kept.columns, *made], names=names)
 
     return parts.groupBy("chunk").applyInArrow(run, schema)

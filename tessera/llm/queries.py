@@ -73,7 +73,7 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = held_out(F.col("doc_id"), 7, 2)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", out.alias("held_out"))
-    scored = score(spread(docs), ~F.col("held_out"), keep=["doc_id", "held_out"])
+    scored = score(spread(docs), ~F.col("held_out"), keep=["doc_id", "held_out"], order=3)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
