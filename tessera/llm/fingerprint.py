@@ -1,11 +1,12 @@
 """Document fingerprints from improbable features.
 
-Every window of 64 bytes gets a rank by its entropy: the more of its byte
-values are distinct, the rarer the window, the lower the rank; windows of
-little entropy are common and have no rank. The window that is rarest among 64
-neighbours often enough is a feature. Features fill a chain of Bloom filters
-of 2048 bits, 160 features each; two chains are compared by the overlap of
-their bits, normalised between what chance gives and what is possible.
+Every window of 8 bytes gets a rank by the rarity of its entropy: how few
+windows of the corpus have that entropy. Windows of little entropy say little
+and come last. The window that ranks rarest in some run of 8 windows is a
+feature; texts of every length follow this one rule. Distinct features, in
+order, fill a chain of Bloom filters of 2048 bits, 160 features each; two
+chains are compared by the overlap of their bits, normalised between what
+chance gives and what is possible.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 64
-#: Texts of fewer bytes have too few windows: all their windows of 8 bytes are features too.
-SHORT, SMALL_WINDOW = 1024, 8
-#: Times a window must be the rarest of the 64 windows around it.
-POPULARITY = 16
+#: Bytes of a window, and windows of a run, the rarest of which is a feature.
+WINDOW, RUN = 8, 8
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
-#: Entropy in thousandths of its greatest value below which a window has no rank.
-COMMON = 200
+#: Entropy, in thousandths of its greatest value, below which a window has no rank: none has none.
+COMMON = 0
+#: Entropy, in the same unit, below which windows rank behind all others.
+WEAK = 400
+#: Share of the range between chance and a full match that scattered overlaps are given before they count.
+MARGIN = 0.3
 #: Bytes handled at once; a longer text is taken in overlapping pieces.
 PIECE = 1 << 18
 #: Rows whose texts are held at once, and ranges of ids for each shuffle partition.
@@ -35,37 +37,68 @@ ROWS, RANGES = 128, 4
 _UNRANKED = 1 << 12
 
 
-def _entropy_ranks(data: np.ndarray) -> np.ndarray:
-    """Rank of the window starting at each place: 0 the rarest, _UNRANKED none.
+def _entropy_ranks(data: np.ndarray, window: int = 64) -> np.ndarray:
+    """Rank by falling entropy of the window starting at each place: 0 the greatest, _UNRANKED none.
 
     The sum of c * log2(c) over the window's byte counts moves with each step
     by what the byte that comes in and the byte that goes out change, and those
-    depend on how often each byte occurs in the 63 places before or after it.
+    depend on how often each byte occurs in the other places before or after it.
     """
     n = len(data)
     order = np.argsort(data, kind="stable")
-    # Equal bytes are neighbours in `order`; 64 more between values keeps them apart.
-    key = order + data[order].astype(np.int64) * (n + WINDOW)
+    # Equal bytes are neighbours in `order`; a window more between values keeps them apart.
+    key = order + data[order].astype(np.int64) * (n + window)
     before, after = np.zeros(n, np.int16), np.zeros(n, np.int16)
     close = np.arange(n)
-    for d in range(1, WINDOW):
+    for d in range(1, window):
         close = close[close >= d]
-        close = close[key[close] - key[close - d] < WINDOW]
+        close = close[key[close] - key[close - d] < window]
         if not len(close):
             break
         before[order[close]] += 1
         after[order[close - d]] += 1
-    c = np.arange(WINDOW + 1, dtype=np.float64)
+    c = np.arange(window + 1, dtype=np.float64)
     f = c * np.log2(np.maximum(c, 1))
     step = np.rint((f[1:] - f[:-1]) * (1 << 20)).astype(np.int64)
-    first = np.bincount(data[:WINDOW], minlength=256)
+    first = np.bincount(data[:window], minlength=256)
     start = int(np.rint(f[first] * (1 << 20)).astype(np.int64).sum())
-    moved = np.cumsum(step[before[WINDOW:]] - step[after[: n - WINDOW]])
+    moved = np.cumsum(step[before[window:]] - step[after[: n - window]])
     total = np.concatenate(([start], start + moved)) / (1 << 20)
-    entropy = np.rint(1000 * (1 - total / (WINDOW * np.log2(WINDOW)))).astype(np.int64)
+    entropy = np.rint(1000 * (1 - total / (window * np.log2(window)))).astype(np.int64)
     return np.where(entropy < COMMON, _UNRANKED, 1000 - entropy)
 
 
+def rarity(counts: np.ndarray | None = None) -> np.ndarray:
+    """Rank of each entropy in thousandths, the rarest first, given how many windows have it.
+
+    Without counts greater entropy counts as rarer. Entropies below `WEAK` come last.
+    """
+    entropy = np.arange(1001)
+    counts = np.zeros(1001, np.int64) if counts is None else counts
+    ranks = np.empty(1001, np.int64)
+    ranks[np.lexsort((-entropy, counts, entropy < WEAK))] = entropy
+    return ranks
+
+
+def measured_rarity(df: DataFrame, text: str = "text") -> np.ndarray:
+    """Ranks from the entropies of all windows of all texts; 1,001 sums reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1001, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                data = np.frombuffer((x.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
+                for at in range(0, len(data) - WINDOW + 1, PIECE):
+                    counts += np.bincount(1000 - _entropy_ranks(data[at : at + PIECE + WINDOW - 1], WINDOW), minlength=1001)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts)), pa.array(counts[counts > 0])], ["entropy", "n"])
+
+    sums = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "entropy bigint, n bigint").groupBy("entropy").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(1001, np.int64)
+    for entropy, n in sums:
+        counts[entropy] = n
+    return rarity(counts)
+
+
 def _rarest(ranks: np.ndarray, run: int) -> np.ndarray:
     """For each run of `run` windows, the place of its lowest rank, leftmost first."""
     n = len(ranks)
@@ -79,91 +112,91 @@ def _rarest(ranks: np.ndarray, run: int) -> np.ndarray:
     return low & 0xFFFFFFFF
 
 
-def _chosen(ranks: np.ndarray, places: np.ndarray, enough: int) -> np.ndarray:
-    found, times = np.unique(places, return_counts=True)
-    return found[(ranks[found] < _UNRANKED) & (times >= enough)]
+def _hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the windows at some places: their bytes, mixed."""
+    x = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[places].copy().view("<u8").ravel()
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _hashes(data: bytes, places: list[int]) -> list[int]:
-    digest = xxhash.xxh64_intdigest
-    return [digest(data[p : p + WINDOW]) for p in places]
+def _places(ranks: np.ndarray) -> np.ndarray:
+    """Places of the windows that are the rarest of a run; fewer windows than a run are one run."""
+    return np.unique(_rarest(ranks, min(RUN, len(ranks))))
 
 
-def _long_features(data: bytes) -> list[int]:
+def _long_features(data: np.ndarray, ranked: np.ndarray) -> list[np.ndarray]:
     """Features of a long text, in pieces that overlap by what a place needs to see."""
-    view, margin, out = np.frombuffer(data, np.uint8), 3 * WINDOW, []
+    margin, out = 2 * RUN + WINDOW, []
     for at in range(0, len(data), PIECE):
         lo, hi = max(0, at - margin), min(len(data), at + PIECE + margin)
-        if hi - lo >= 2 * WINDOW:
-            ranks = _entropy_ranks(view[lo:hi])
-            places = _chosen(ranks, _rarest(ranks, WINDOW), POPULARITY) + lo
-            out += _hashes(data, places[(places >= at) & (places < at + PIECE)].tolist())
+        if hi - lo >= WINDOW:
+            places = _places(ranked[1000 - _entropy_ranks(data[lo:hi], WINDOW)]) + lo
+            # The outermost places of a piece saw only part of their runs.
+            out.append(_hashes(data, places[(places >= at) & (places < at + PIECE)]))
     return out
 
 
-def _joint_features(texts: list[bytes]) -> list[list[int]]:
-    """Features of texts laid end to end; what straddles two of them is left out."""
-    data = b"".join(texts)
+def _joint_features(texts: list[bytes], ranked: np.ndarray) -> list[np.ndarray]:
+    """Features of texts laid end to end; runs that straddle two of them are left out."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     begins = ends - [len(t) for t in texts]
-    out: list[list[int]] = [[] for _ in texts]
+    out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
     if len(data) < WINDOW:
         return out
-    ranks = _entropy_ranks(np.frombuffer(data, np.uint8))
-    whole = np.zeros(len(data) + 1, np.int64)  # runs of 64 windows that lie in one text
+    ranks = ranked[1000 - _entropy_ranks(data, WINDOW)]
+    runs = np.zeros(len(ranks) + 1, np.int64)  # whole runs in one text
+    short = []
     for i, (lo, hi) in enumerate(zip(begins.tolist(), ends.tolist())):
         n = hi - lo - WINDOW + 1
-        if n >= WINDOW:
-            whole[lo] += 1
-            whole[lo + n - WINDOW + 1] -= 1
-        elif n > 0:  # fewer windows than a run: all of them are one run, as popular as can be
-            out[i] = _hashes(data, _chosen(ranks, _rarest(ranks[lo : lo + n], n) + lo, 1).tolist())
-    if len(ranks) >= WINDOW:
-        places = _rarest(ranks, WINDOW)
-        places = _chosen(ranks, places[np.cumsum(whole)[: len(places)] > 0], POPULARITY)
-        owner = np.searchsorted(ends, places, side="right")
-        for i, h in zip(owner.tolist(), _hashes(data, places.tolist())):
-            out[i].append(h)
+        if n >= RUN:
+            runs[lo] += 1
+            runs[lo + n - RUN + 1] -= 1
+        elif n > 0:
+            short.append(lo + int(_places(ranks[lo : lo + n])[0]))
+    places = np.empty(0, np.int64)
+    if len(ranks) >= RUN:
+        places = _rarest(ranks, RUN)
+        places = places[np.cumsum(runs)[: len(places)] > 0]
+    places = np.unique(np.concatenate((places, np.array(short, np.int64))))
+    hashes = _hashes(data, places)
+    cuts = np.searchsorted(places, ends)
+    for i, (a, b) in enumerate(zip([0, *cuts[:-1].tolist()], cuts.tolist())):
+        out[i] = hashes[a:b]
     return out
 
 
-def _small_features(data: bytes) -> list[int]:
-    """Every distinct small window of a short text that varies at all; a tiny text is one feature."""
-    if len(data) < SMALL_WINDOW:
-        return [xxhash.xxh64_intdigest(data)] if data else []
-    small = dict.fromkeys(data[i : i + SMALL_WINDOW] for i in range(len(data) - SMALL_WINDOW + 1))
-    varied = [w for w in small if len(set(w)) > 1] or list(small)
-    return [xxhash.xxh64_intdigest(w) for w in varied]
-
-
-def features(texts: list[bytes]) -> list[list[int]]:
-    """Hashes of each text's selected windows, in order, after the small windows of a short text."""
-    return [(_small_features(t) if len(t) < SHORT else []) + h for t, h in zip(texts, _window_features(texts))]
-
-
-def _window_features(texts: list[bytes]) -> list[list[int]]:
-    out: list[list[int]] = []
+def features(texts: list[bytes], ranked: np.ndarray | None = None) -> list[np.ndarray]:
+    """Hashes of each text's distinct features in order; a text shorter than a window is one feature, an empty one has none."""
+    ranked = rarity() if ranked is None else ranked
+    out: list[np.ndarray] = []
     group: list[bytes] = []
     held = 0
     for t in texts:
-        if len(t) > PIECE:
-            out += _joint_features(group) if group else []
-            out.append(_long_features(t))
+        if held + len(t) > PIECE and group:
+            out += _joint_features(group, ranked)
             group, held = [], 0
+        if len(t) > PIECE:
+            out.append(np.concatenate(_long_features(np.frombuffer(t, np.uint8), ranked)))
             continue
-        if held + len(t) > PIECE:
-            out += _joint_features(group)
-            group, held = [], 0
         group.append(t)
         held += len(t)
-    return out + (_joint_features(group) if group else [])
+    out += _joint_features(group, ranked) if group else []
+    for i, t in enumerate(texts):
+        if 0 < len(t) < WINDOW:
+            out[i] = np.array([xxhash.xxh64_intdigest(t)], np.uint64)
+        else:
+            _, first = np.unique(out[i], return_index=True)
+            out[i] = out[i][np.sort(first)]
+    return out
 
 
-def chain(hashes: list[int]) -> np.ndarray:
+def chain(hashes: np.ndarray | list[int]) -> np.ndarray:
     """Bloom filters as rows of 256 bytes, 160 features each."""
-    if not hashes:
+    if not len(hashes):
         return np.empty((0, FILTER_BITS // 8), np.uint8)
-    h = np.array(hashes, np.uint64)
+    h = np.asarray(hashes, np.uint64)
     rows = np.arange(len(h)) // FILTER_FEATURES
     bits = np.zeros((int(rows[-1]) + 1, FILTER_BITS), bool)
     for i in range(HASHES):
@@ -176,7 +209,7 @@ class Digest:
 
     __slots__ = ("chain", "n", "ones")
 
-    def __init__(self, hashes: list[int]) -> None:
+    def __init__(self, hashes: np.ndarray | list[int]) -> None:
         self.n = len(hashes)
         self.chain = chain(hashes)
         self.ones = np.bitwise_count(self.chain).sum(axis=1, dtype=np.int64)
@@ -185,17 +218,17 @@ class Digest:
         return f"{self.n}:{self.chain.tobytes().hex()}"
 
 
-def digests(texts: list[str | None]) -> list[Digest]:
+def digests(texts: list[str | None], ranked: np.ndarray | None = None) -> list[Digest]:
     """Fingerprints of whole texts; null counts as empty."""
-    return [Digest(h) for h in features([(t or "").encode("utf-8", "surrogatepass") for t in texts])]
+    return [Digest(h) for h in features([(t or "").encode("utf-8", "surrogatepass") for t in texts], ranked)]
 
 
 def likeness(a: Digest, b: Digest) -> float:
     """0 to 1: for each filter of the shorter chain its best match in the other, averaged by bits.
 
-    An overlap counts from what two filters of their sizes share by chance up
-    to all bits of the smaller. Two digests without features are alike, one
-    with and one without are not.
+    An overlap counts from what two filters of their sizes share by chance,
+    and `MARGIN` of the way on, up to all bits of the smaller. Only empty texts
+    have no features: two of them are alike, one and another text are not.
     """
     if not a.n or not b.n:
         return float(a.n == b.n)
@@ -203,20 +236,23 @@ def likeness(a: Digest, b: Digest) -> float:
         return 1.0
     short, long = (a, b) if (len(a.chain), a.n) <= (len(b.chain), b.n) else (b, a)
     total = weight = 0.0
-    for row, ones in zip(short.chain, short.ones):
-        shared = np.bitwise_count(long.chain & row).sum(axis=1, dtype=np.int64)
+    words = long.chain.view("<u8")
+    for row, ones in zip(short.chain.view("<u8"), short.ones):
+        shared = np.bitwise_count(words & row).sum(axis=1, dtype=np.int64)
         most = np.minimum(long.ones, ones)
         chance = long.ones * ones / FILTER_BITS
-        # Chance overlaps scatter; a margin of 30 % of the range is not counted.
-        floor = chance + 0.3 * (most - chance)
+        floor = chance + MARGIN * (most - chance)
         score = np.clip((shared - floor) / np.maximum(most - floor, 1e-9), 0, 1)
         total += float(score.max()) * float(ones)
         weight += float(ones)
     return min(1.0, total / weight) if weight else 0.0
 
 
-def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` and `fingerprint`; null counts as empty. One row out for each row in."""
+def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None, ranked: np.ndarray | None = None) -> DataFrame:
+    """The columns of `keep` and `fingerprint`; null counts as empty. One row out for each row in.
+
+    Kept columns must not be named like the output.
+    """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     cols = [F.col(f"`{c}`") for c in keep]
 
@@ -224,7 +260,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = Non
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                made = [d.text() for d in digests(part.column(len(keep)).to_pylist())]
+                made = [d.text() for d in digests(part.column(len(keep)).to_pylist(), ranked)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(made, pa.string())], [*keep, "fingerprint"])
 
     schema = df.select(*cols, F.lit("").alias("fingerprint")).schema
@@ -287,13 +323,14 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
 
 
-def compare_neighbours(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def compare_neighbours(df: DataFrame, id: str = "doc_id", text: str = "text", ranked: np.ndarray | None = None) -> DataFrame:
     """For each row, in ascending order of id: id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited and near_next.
 
     The next row of the last is the first; a single row follows itself. Null
     texts are empty, empty texts have no features, a null id comes first, and
     rows that repeat an id follow each other by the hash of their texts.
+    `ranked` holds the ranks of `measured_rarity`, else those of `rarity`.
     """
     schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -306,7 +343,7 @@ def compare_neighbours(df: DataFrame, id: str = "doc_id", text: str = "text") ->
                 part = batch.slice(start, ROWS)
                 ranges, keys, values, guests = (part.column(i).to_pylist() for i in range(4))
                 pairs = []
-                for at, key, value, is_guest, own in zip(ranges, keys, values, guests, digests(values)):
+                for at, key, value, is_guest, own in zip(ranges, keys, values, guests, digests(values, ranked)):
                     if is_guest and met_guest == at:
                         continue  # of rows that repeat the first id, the first one follows
                     now = (at, key, value, own)
@@ -315,7 +352,7 @@ def compare_neighbours(df: DataFrame, id: str = "doc_id", text: str = "text") ->
                     last = None if is_guest else now
                     met_guest = at if is_guest else met_guest
                 changed = [edited(one[2], after[2]) for one, after in pairs]
-                others = digests(changed)
+                others = digests(changed, ranked)
                 rows = [
                     (one[1], len(one[2]), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), one[3].text(), other.text(), likeness(one[3], other), likeness(one[3], after[3]))
                     for (one, after), text, other in zip(pairs, changed, others)

@@ -26,9 +26,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, compared with its edited text and with the next document."""
-    from .fingerprint import compare_neighbours
+    from .fingerprint import compare_neighbours, measured_rarity
 
-    return compare_neighbours(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return compare_neighbours(docs, ranked=measured_rarity(spread(docs.select("text"))))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,69 @@ def test_few_rows_ties_and_nulls(spark):
     one = fp.compare_neighbours(df.limit(1)).first()
     assert one.near_next == 1.0 and fp.compare_neighbours(df.limit(0)).count() == 0
     assert fp.fingerprints(df, keep=["doc_id"]).count() == 4
+
+
+def brute_features(data, ranked):
+    """Every run looked at on its own."""
+    windows = [data[i : i + 8] for i in range(len(data) - 7)]
+    entropy = lambda w: -sum(w.count(x) / 8 * math.log2(w.count(x) / 8) for x in set(w)) / 3
+    ranks = [int(ranked[round(1000 * entropy(w))]) for w in windows]
+    places = set()
+    for i in range(max(1, len(windows) - 7)) if windows else []:
+        places.add(min(range(i, min(i + 8, len(windows))), key=lambda j: (ranks[j], j)))
+    return list(dict.fromkeys(windows[i] for i in sorted(places)))
+
+
+def test_features_bits_and_likeness_against_brute_force():
+    rng = random.Random(11)
+    ranked = fp.rarity(np.array([rng.randint(0, 9) for _ in range(1001)]))
+    texts = [text(rng, n).encode() for n in (1, 2, 3, 4, 9, 30, 200, 700)] + [b"abcdefgh", b"abcdefghi", b"a" * 40, b"ab" * 2000]
+    for t, hashes in zip(texts, fp.features(texts, ranked)):
+        if len(t) < 8:
+            assert len(hashes) == 1
+            continue
+        windows = brute_features(t, ranked)
+        assert hashes.tolist() == [int(fp._hashes(np.frombuffer(w, np.uint8), np.array([0]))[0]) for w in windows]
+        d = fp.Digest(hashes)
+        for i in range(0, len(hashes), 160):
+            want = {int(h) >> 11 * k & 2047 for h in hashes[i : i + 160].tolist() for k in range(5)}
+            assert set(np.flatnonzero(np.unpackbits(d.chain[i // 160])).tolist()) == want
+    a, b = fp.digests([texts[7].decode(), texts[7][:2000].decode(errors="ignore") + " other end of it"])
+    sets = [[set(np.flatnonzero(np.unpackbits(r)).tolist()) for r in d.chain] for d in sorted((a, b), key=lambda d: (len(d.chain), d.n))]
+    total = 0.0
+    for x in sets[0]:
+        best = 0.0
+        for y in sets[1]:
+            chance, most = len(x) * len(y) / 2048, min(len(x), len(y))
+            floor = chance + 0.3 * (most - chance)
+            best = max(best, min(1.0, max(0.0, (len(x & y) - floor) / max(most - floor, 1e-9))))
+        total += best * len(x)
+    assert abs(fp.likeness(a, b) - total / sum(map(len, sets[0]))) < 1e-12
+
+
+def test_one_rule_for_all_lengths():
+    rng = random.Random(12)
+    whole = text(rng, 900)
+    sizes = [len(f) for f in fp.features([whole.encode()[:n] for n in range(900, 1200)])]
+    assert max(abs(a - b) for a, b in zip(sizes, sizes[1:])) <= 2
+
+
+def test_low_entropy_texts_are_told_apart():
+    ab, cd, blank = fp.digests(["ab" * 2000, "cd" * 2000, ""])
+    assert ab.n and fp.likeness(ab, cd) == 0.0 and fp.likeness(ab, blank) == 0.0
+    longer = fp.digests(["ab" * 3000])[0]
+    assert fp.likeness(ab, longer) == 1.0
+
+
+def test_rarity_is_measured_on_all_windows(spark, monkeypatch):
+    texts = documents(40) + ["aaaaaaaaaaaaaaaa"]
+    counts = np.zeros(1001, np.int64)
+    for t in texts:
+        data = (t or "").encode()
+        for i in range(len(data) - 7):
+            w = data[i : i + 8]
+            counts[round(-1000 * sum(w.count(x) / 8 * math.log2(w.count(x) / 8) for x in set(w)) / 3)] += 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert fp.measured_rarity(df).tolist() == fp.rarity(counts).tolist()
+    ranks = fp.rarity(counts)
+    assert sorted(ranks.tolist()) == list(range(1001)) and ranks[: fp.WEAK].min() > ranks[fp.WEAK :].max()
