@@ -7,9 +7,12 @@
    program gives the partitions unequal thresholds t_i with
    sum(t_i) = radius - partitions + 1, at the least estimated cost. Two
    fingerprints within the radius then agree to t_i bits in some partition i.
-4. Each fingerprint is entered under every signature within t_i of its own
-   value in partition i. Inside a signature's bucket, distances are verified,
-   and each task gives out a spanning forest of the links it found, not pairs.
+4. Each fingerprint is entered under every signature within half of t_i,
+   rounded up, of its own value in partition i: two values t_i bits apart meet
+   half-way. Inside a signature's bucket, distances are verified, and each
+   task gives out a spanning forest of the links it found, not pairs. Buckets
+   too large for a task are dealt into blocks of bits, as a close pair agrees
+   in one of radius + 1 blocks.
 5. Components come from alternating star contraction of that forest.
 
 The estimates only steer cost. No bucket is cut short.
@@ -35,8 +38,12 @@ SEED = 42
 BITS = 64
 #: Relative cost of entering one signature and of verifying one candidate.
 PROBE_COST, CANDIDATE_COST = 1.0, 0.05
-#: Buckets beyond this many fingerprints are split again by plain pigeonhole.
-WIDE_BUCKET = 4096
+#: Buckets beyond this many fingerprints are split again by plain pigeonhole, beyond `HOT_BUCKET` over tasks.
+WIDE_BUCKET, HOT_BUCKET = 4096, 1 << 20
+#: Fingerprints whose pairs estimate how often values of a partition are close; steers cost only.
+SAMPLE = 2048
+#: Parts into which the rows of one component are dealt when it is named.
+SALTS = 16
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -144,12 +151,28 @@ def _within(differ: np.ndarray, most: int) -> list[float]:
     return np.cumsum(chance).tolist()
 
 
-def allocate(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+def _close(group: list[int], most: int, sample: np.ndarray) -> list[float]:
+    """Share of the sample's pairs that differ in at most 0, 1, ... `most` bits of the group."""
+    own = sample & np.uint64(sum(1 << b for b in group))
+    found = np.zeros(most + 1)
+    for i in range(1, len(own)):
+        found += np.bincount(np.minimum(np.bitwise_count(own[i:] ^ own[:-i]), most + 1), minlength=most + 2)[: most + 1]
+    return (np.cumsum(found) / max(1, len(own) * (len(own) - 1) // 2)).tolist()
+
+
+def meeting(t: int) -> int:
+    """Bits flipped on either side so that values t bits apart have a signature in common."""
+    return -(-t // 2)
+
+
+def allocate(n: int, both: np.ndarray, radius: int = RADIUS, sample: np.ndarray | None = None) -> list[tuple[list[int], int]]:
     """Partitions with their thresholds, at the least estimated cost.
 
     A threshold of -1 leaves a partition out. The cost of threshold t in a
-    partition of b bits is its signatures, C(b, 0) + ... + C(b, t) for each
-    fingerprint, and the entries that those are expected to meet in their buckets.
+    partition of b bits is its signatures, C(b, 0) + ... + C(b, r) with r half
+    of t, rounded up, for each fingerprint, and the candidates: pairs whose
+    values differ in at most 2 r bits. Their share is estimated from the bits'
+    frequencies and, since bits of a partition are correlated, from the pairs of a sample.
     """
     ones = np.diag(both) / max(n, 1)
     differ = 2 * ones * (1 - ones)
@@ -159,10 +182,13 @@ def allocate(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[
         groups = correlated_groups(n, both, parts)
         cost: dict[tuple[int, int], float] = {}
         for i, group in enumerate(groups):
-            near = _within(differ[group], radius)
+            near = _within(differ[group], radius + 1)
+            if sample is not None and len(sample) > 1:
+                near = np.maximum(near, _close(group, radius + 1, sample)).tolist()
             for t in range(0, radius + 1):
-                probes = sum(math.comb(len(group), j) for j in range(t + 1))
-                cost[i, t] = probes * PROBE_COST + probes * probes * n * near[0] / 2 * CANDIDATE_COST
+                r = meeting(t)
+                probes = sum(math.comb(len(group), j) for j in range(r + 1))
+                cost[i, t] = probes * PROBE_COST + n * near[min(2 * r, radius + 1)] / 2 * CANDIDATE_COST
             cost[i, -1] = 0.0
         # table[s] is the least cost of the partitions so far with thresholds summing to s.
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -184,10 +210,10 @@ def allocate(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[
 
 
 def signatures(distinct: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, sig, fp) for each signature within a partition's threshold."""
+    """(part, sig, fp) for each signature within half of a partition's threshold; none where it is -1."""
     flips = []
     for part, (group, t) in enumerate(plan):
-        masks = [sum(1 << group[j] for j in chosen) for r in range(t + 1) for chosen in itertools.combinations(range(len(group)), r)]
+        masks = [sum(1 << group[j] for j in chosen) for r in range(meeting(t) + 1 if t >= 0 else 0) for chosen in itertools.combinations(range(len(group)), r)]
         flips.append((part, sum(1 << b for b in group), np.array(masks, np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +299,6 @@ def links(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        parts, keys, fps = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.uint64)
 
         def settle(parts: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> None:
             """Rows of whole buckets."""
@@ -290,18 +315,27 @@ def links(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
             for i in np.flatnonzero(sizes > 64).tolist():
                 link_bucket(np.unique(fps[starts[i] : starts[i + 1]]), forest, radius)
 
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # the bucket that may go on, in pieces
+
+        def flush() -> None:
+            if held:
+                settle(*(np.concatenate(x) for x in zip(*held)))
+                held.clear()
+
         for batch in batches:
-            parts = np.concatenate((parts, batch.column(0).to_numpy(zero_copy_only=False)))
-            keys = np.concatenate((keys, batch.column(1).to_numpy(zero_copy_only=False)))
-            fps = np.concatenate((fps, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)))
-            # The last bucket may go on in the next batch.
-            other = np.flatnonzero((keys != keys[-1]) | (parts != parts[-1])) if len(keys) else []
+            now = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)) + (batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64),)
+            if not len(now[0]):
+                continue
+            if held and (held[-1][0][-1] != now[0][0] or held[-1][1][-1] != now[1][0]):
+                flush()
+            # Rows of the last bucket wait for the next batch.
+            other = np.flatnonzero((now[1] != now[1][-1]) | (now[0] != now[0][-1]))
             whole = int(other[-1]) + 1 if len(other) else 0
-            if whole > 0:
-                settle(parts[:whole], keys[:whole], fps[:whole])
-                parts, keys, fps = parts[whole:], keys[whole:], fps[whole:]
-        if len(keys):
-            settle(parts, keys, fps)
+            if whole:
+                held.append(tuple(x[:whole] for x in now))
+                flush()
+            held.append(tuple(x[whole:] for x in now))
+        flush()
         a, b = forest.edges()
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -310,6 +344,24 @@ def links(sigs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def spread_hot(sigs: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFrame:
+    """Buckets of over `hot` entries dealt into smaller ones, each under a part and signature of its own.
+
+    Every fingerprint of such a bucket is entered once for each of radius + 1
+    blocks of its bits; a pair within the radius agrees in one block.
+    """
+    large = sigs.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(F.col("part").alias("h_part"), F.col("sig").alias("h_sig"))
+    met = sigs.join(large, (F.col("part") == F.col("h_part")) & (F.col("sig") == F.col("h_sig")), "left")
+    cuts = np.linspace(0, BITS, radius + 2).astype(int).tolist()
+    blocks = [F.struct(F.xxhash64("part", F.lit(i)).alias("part"), F.xxhash64("sig", F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(((1 << hi) - 1) ^ ((1 << lo) - 1))))).alias("sig")) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:]))]
+    own = F.struct(F.col("part").cast("bigint").alias("part"), F.col("sig").alias("sig"))
+    return met.select("fp", F.explode(F.when(F.col("h_part").isNull(), F.array(own)).otherwise(F.array(*blocks))).alias("k")).select("k.part", "k.sig", "fp")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components by alternating star contraction.
 
@@ -350,11 +402,17 @@ def _grouped(df: DataFrame, id: str, text: str, k: int, radius: int, seed: int)
     narrow = df.select(F.col(f"`{id}`").alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").alias("text"))
     own = materialize(fingerprints(narrow, "text", ["id", "h"], k, seed), "fingerprints")
     distinct = own.groupBy("fp").agg(F.min("id").alias("rep"))
-    plan = allocate(*bit_counts(distinct), radius)
-    forest = components(links(signatures(distinct, plan), radius))
+    n, both = bit_counts(distinct)
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    plan = allocate(n, both, radius, np.array([r["fp"] for r in sample], np.int64).view(np.uint64))
+    sigs = signatures(distinct, plan)
+    # With fewer fingerprints no bucket can be too large.
+    forest = components(links(spread_hot(sigs, radius) if n > HOT_BUCKET else sigs, radius))
     linked = distinct.join(forest, distinct["fp"] == forest["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     low = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = linked.join(low, "root").select(F.col("fp").alias("k_fp"), "root", "component_id")
+    # A large component is named part by part.
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(low, ["root", "salt"]).select(F.col("fp").alias("k_fp"), "root", "component_id")
     return own.join(named, own["fp"] == named["k_fp"]).drop("k_fp")
 
 

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import xxhash
 from hypothesis import given, settings
@@ -85,3 +87,41 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert got == [(2, long), (7, ""), (9, "other words here now")]
     assert simhash.deduplicate(df).columns == df.columns
     assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_signatures_meet_half_way(spark):
+    df = spark.createDataFrame([(5,), (-9,)], "fp bigint")
+    for t, each in ((-1, 0), (0, 1), (1, 33), (2, 33), (3, 33 + 496), (4, 33 + 496)):
+        plan = [(list(range(32)), t), (list(range(32, 64)), -1)]
+        assert simhash.signatures(df, plan).count() == 2 * each
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.integers(1, 4), st.randoms())
+def test_values_within_a_threshold_share_a_signature(x, t, rng):
+    y = x
+    for b in rng.sample(range(32), t):
+        y ^= 1 << b
+    ball = lambda v: {v ^ sum(1 << b for b in c) for r in range(simhash.meeting(t) + 1) for c in itertools.combinations(range(32), r)}
+    assert ball(x) & ball(y)
+
+
+def test_hot_buckets_are_dealt_out(spark):
+    rng = np.random.default_rng(9)
+    fps = rng.integers(-(1 << 62), 1 << 62, 200)
+    near = fps[:60] ^ (1 << rng.integers(0, 60, 60))
+    every = np.unique(np.concatenate((fps, near))).tolist()
+    sigs = spark.createDataFrame([(0, 1, f) for f in every] + [(1, 2, f) for f in every[:3]], "part int, sig bigint, fp bigint")
+    dealt = simhash.spread_hot(sigs, hot=50)
+    assert dealt.where("part = 1").count() == 3 and dealt.count() == 3 + 5 * len(every)
+    assert dealt.groupBy("part", "sig").count().agg({"count": "max"}).first()[0] < 30
+    forest = {r.node: r.root for r in simhash.components(simhash.links(dealt)).collect()}
+    assert all(forest.get(int(a), int(a)) == forest.get(int(b), int(b)) for a, b in zip(fps[:60], near))
+
+
+def test_correlated_bits_cost_more():
+    rng = np.random.default_rng(4)
+    sample = rng.integers(0, 1 << 62, 500).astype(np.uint64)
+    low = sample & np.uint64(0xFF)
+    same = sum(int(a) == int(b) for a, b in itertools.combinations(low.tolist(), 2)) / (500 * 499 / 2)
+    assert abs(simhash._close(list(range(8)), 2, sample)[0] - same) < 1e-12
