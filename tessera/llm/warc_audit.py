@@ -3,8 +3,10 @@
 Pages are laid out as records of WARC files; a record's offset follows from
 the records before it in its file. Each file gets a tree: leaves hash single
 records, a node hashes the concatenated hashes of up to `FANOUT` neighbours
-and covers their ordered offset range, the root covers the file. To compare
-replicas, roots are joined first; below a root that agrees nothing is read,
+and covers their ordered offset range, the root covers the file. A record's
+slot in its file follows from its id, not from the records before it, so one
+missing record changes one node of each level. To compare replicas, roots are
+joined first; below a root that agrees nothing is read,
 and every further level joins only the children of nodes that differ.
 
 Only DataFrame functions are used. Files hold a bounded number of records, so
@@ -44,13 +46,15 @@ def serialize(url: Column, html: Column) -> Column:
 
 
 def records(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
-    """(file, place, page_id, copies, hash, begin, end): one leaf for each distinct record of `pages`.
+    """(file, place, slot, page_id, copies, hash, begin, end): one leaf for each distinct record of `pages`.
 
     File = id div `file_records`, so a file holds the records of one id range
     in order of id; null ids have a file of their own. Rows that repeat a
     record are one leaf with their number in `copies`, which the offsets and
     the tree count. Where different records of repeated ids overfill a file,
-    they spread by hash over parts of it.
+    they spread by hash over parts of it. `place` is a leaf's number in its
+    file; `slot` the id's offset in its range, in parts and for null ids a
+    remainder of the record's hash. Leaves may share a slot, and slots may be empty.
     """
     body = serialize(F.col(f"`{url}`"), F.col(f"`{html}`"))
     leaf = pages.select(F.col(f"`{id}`").cast("bigint").alias("page_id"), F.sha2(body.cast("binary"), 256).alias("hash"), F.octet_length(body).cast("bigint").alias("size"))
@@ -65,11 +69,13 @@ def records(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     bytes_of = F.col("size") * F.col("copies")
     before = F.coalesce(F.sum(bytes_of).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
     placed = spread.withColumn("place", (F.row_number().over(by) - 1).cast("bigint")).withColumn("begin", before)
-    return placed.select("file", "place", "page_id", "copies", "hash", "begin", (F.col("begin") + bytes_of).alias("end"))
+    by_hash = F.pmod(F.xxhash64("hash"), F.lit(file_records)).cast("bigint")
+    placed = placed.withColumn("slot", F.when(F.col("page_id").isNull() | F.col("parts").isNotNull(), by_hash).otherwise(F.col("page_id") - F.col("range") * file_records))
+    return placed.select("file", "place", "slot", "page_id", "copies", "hash", "begin", (F.col("begin") + bytes_of).alias("end"))
 
 
 def tree(leaves: DataFrame, file_records: int = FILE_RECORDS, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels of (file, place, hash, begin, end) from the leaves up to the roots.
+    """Levels of (file, slot, hash, begin, end) from the leaves up to the roots.
 
     A file that spreading by hash left a little overfull has a root with more children.
     """
@@ -77,13 +83,14 @@ def tree(leaves: DataFrame, file_records: int = FILE_RECORDS, fanout: int = FANO
     height = levels(file_records, fanout)
     for level in range(1, height + 1):
         # At the top all that is left of a file joins in one node.
-        up = F.lit(0).cast("bigint") if level == height else F.floor(F.col("place") / fanout).cast("bigint")
+        up = F.lit(0).cast("bigint") if level == height else F.floor(F.col("slot") / fanout).cast("bigint")
         mark = F.concat_ws(":", "hash", F.col("copies").cast("string")) if level == 1 else F.col("hash")
-        child = F.struct(F.col("place"), mark.alias("hash"))
+        child = F.struct(F.col("slot"), F.col("page_id" if level == 1 else "slot").alias("id"), mark.alias("hash"))
         node = out[-1].select("file", up.alias("up"), child.alias("child"), "begin", "end").groupBy("file", "up")
-        hashed = F.sha2(F.array_join(F.transform(F.array_sort("children"), lambda c: c["hash"]), ""), 256)
+        # The slot is hashed as well, so that a node tells where its children lie.
+        hashed = F.sha2(F.array_join(F.transform(F.array_sort("children"), lambda c: F.concat_ws(":", c["slot"].cast("string"), c["hash"])), ","), 256)
         grown = node.agg(F.collect_list("child").alias("children"), F.min("begin").alias("begin"), F.max("end").alias("end"))
-        out.append(grown.select("file", F.col("up").alias("place"), hashed.alias("hash"), "begin", "end"))
+        out.append(grown.select("file", F.col("up").alias("slot"), hashed.alias("hash"), "begin", "end"))
     return out
 
 
@@ -112,24 +119,25 @@ def audit(left: list[DataFrame], right: list[DataFrame], fanout: int = FANOUT) -
         a, b = left[level], right[level]
         if differing is not None:
             # Children of a differing node only; the children of the root are all that is left of the file.
-            up = F.lit(0).cast("bigint") if level == top - 1 else F.floor(F.col("place") / fanout).cast("bigint")
-            keys = differing.select(F.col("file").alias("d_file"), F.col("place").alias("d_place"))
-            met = (F.col("file") == F.col("d_file")) & (up == F.col("d_place"))
+            up = F.lit(0).cast("bigint") if level == top - 1 else F.floor(F.col("slot") / fanout).cast("bigint")
+            keys = differing.select(F.col("file").alias("d_file"), F.col("slot").alias("d_slot"))
+            met = (F.col("file") == F.col("d_file")) & (up == F.col("d_slot"))
             a, b = a.join(keys, met, "left_semi"), b.join(keys, met, "left_semi")
         if level == 0:
             break
-        x = a.select("file", "place", F.col("hash").alias("x"))
-        y = b.select(F.col("file").alias("r_file"), F.col("place").alias("r_place"), F.col("hash").alias("y"))
-        both = x.join(y, (F.col("file") == F.col("r_file")) & (F.col("place") == F.col("r_place")), "full")
-        differing = materialize(both.where(~F.col("x").eqNullSafe(F.col("y"))).select(F.coalesce("file", "r_file").alias("file"), F.coalesce("place", "r_place").alias("place")), f"warc-{level}")
+        x = a.select("file", "slot", F.col("hash").alias("x"))
+        y = b.select(F.col("file").alias("r_file"), F.col("slot").alias("r_slot"), F.col("hash").alias("y"))
+        both = x.join(y, (F.col("file") == F.col("r_file")) & (F.col("slot") == F.col("r_slot")), "full")
+        differing = materialize(both.where(~F.col("x").eqNullSafe(F.col("y"))).select(F.coalesce("file", "r_file").alias("file"), F.coalesce("slot", "r_slot").alias("slot")), f"warc-{level}")
     # Inside the leaf ranges left, records that both replicas hold cancel out; of
     # the others those of one id are paired in order.
     mark = F.concat_ws(":", "hash", F.col("copies").cast("string"))
     x, y = (d.withColumn("hash", mark) for d in (a, b))
 
     def only(one: DataFrame, other: DataFrame) -> DataFrame:
-        held = other.select(F.col("file").alias("o_file"), F.col("page_id").alias("o_id"), F.col("hash").alias("o_hash"))
-        met = (F.col("file") == F.col("o_file")) & F.col("page_id").eqNullSafe(F.col("o_id")) & (F.col("hash") == F.col("o_hash"))
+        # Not by file: an overfull range may have another number of parts in the other replica.
+        held = other.select(F.col("page_id").alias("o_id"), F.col("hash").alias("o_hash"))
+        met = F.col("page_id").eqNullSafe(F.col("o_id")) & (F.col("hash") == F.col("o_hash"))
         return one.join(held, met, "left_anti").withColumn("turn", F.row_number().over(Window.partitionBy("file", "page_id").orderBy("place")))
 
     x, y = only(x, y), only(y, x).select(*[F.col(c).alias(f"r_{c}") for c in ("file", "place", "page_id", "hash", "begin", "end")], F.col("turn").alias("r_turn"))

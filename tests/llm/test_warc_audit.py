@@ -49,3 +49,12 @@ def test_overfull_files_are_split(spark):
     files = records(hot).groupBy("file").count().collect()
     assert len(files) > 3 and max(r["count"] for r in files) < FILE_RECORDS
     assert audit(tree(records(hot)), tree(records(hot.where("html != '9'")))).count() == 1
+
+
+def test_one_missing_record_changes_one_node_a_level(spark):
+    left = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>", "own") for i in range(2 * FILE_RECORDS)], SCHEMA)
+    a, b = tree(records(left)), tree(records(left.where("page_id != 3")))
+    for level in range(1, len(a)):
+        rows = [{(r.file, r.slot): r.hash for r in side[level].collect()} for side in (a, b)]
+        assert len([k for k in rows[0].keys() | rows[1].keys() if rows[0].get(k) != rows[1].get(k)]) == 1
+    assert [(r.page_id, r.place, r.state) for r in audit(a, b).collect()] == [(3, 3, "missing")]
