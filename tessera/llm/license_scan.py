@@ -1,11 +1,12 @@
 """License scans by the Dice coefficient over word bigrams.
 
-A text's blocks - the whole text, its paragraphs and its lines - are
-normalised to words and compared with licence templates: twice the shared
-bigrams over all bigrams of both. A block of n bigrams can reach the least
-score only against templates of a size close to n, so templates are kept by
-size and only those within the bounds are compared, and of them only those
-that share a bigram.
+A text's blocks - the whole text, its paragraphs and its lines - and all its
+windows of a template's size are normalised to words and compared with licence
+templates: twice the shared bigrams over all bigrams of both. A block of n
+bigrams can reach the least score only against templates of a size close to n,
+so templates are kept by size and only those within the bounds are compared,
+and of them only those that share a bigram. Windows are tried only where a text
+holds enough of a template's bigrams, and begin where it holds one.
 """
 
 from __future__ import annotations
@@ -33,14 +34,23 @@ TEMPLATES = {
         "Released under the MIT License.",
         "This project is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -51,12 +61,15 @@ TEMPLATES = {
 }
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.'-][a-z0-9]+)*")
+_COPYRIGHT = re.compile(r"(?:copyright\s+(?:\(c\)|\u00a9|\d{4})|(?:\(c\)|\u00a9)\s*\d{4})[^\n]*?(?=all rights reserved|\n|\Z)")
 _PARAGRAPH = re.compile(r"\n[\x20\t\r]*\n")
 
 
 def normalise(text: str) -> list[str]:
-    """Lower-case words; copyright lines and layout do not count."""
-    return _WORD.findall(text.lower())
+    """Lower-case words; copyright statements with a sign or a year, up to the
+    end of their line or to a reservation of rights, and layout do not count."""
+    low = text.lower()
+    return _WORD.findall(_COPYRIGHT.sub(" ", low) if "copyright" in low or "(c)" in low or "\u00a9" in low else low)
 
 
 def bigrams(words: list[str]) -> Counter:
@@ -75,6 +88,8 @@ class Templates:
 
     texts: dict[str, list[str]] = field(default_factory=lambda: TEMPLATES)
     least: float = LEAST
+    #: Whether windows of the templates' sizes are compared besides blocks.
+    windows: bool = False
 
     def __post_init__(self) -> None:
         entries = sorted(((sum((g := bigrams(normalise(t))).values()), name, g) for name, ts in self.texts.items() for t in ts), key=lambda e: e[:2])
@@ -117,15 +132,44 @@ class Templates:
             words = self._words_within(block)
             if words is not None and (hit := self.best(words)):
                 found[hit[1]] = max(found.get(hit[1], 0.0), hit[0])
+        if self.windows:
+            for name, score in self._in_windows(normalise(text)):
+                found[name] = max(found.get(name, 0.0), score)
         return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
+    def _in_windows(self, words: list[str]) -> Iterator[tuple[str, float]]:
+        """Each template's best score over the windows of its size that reach the least score."""
+        met: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+        for at, gram in enumerate(zip(words, words[1:])):
+            for i in self.holding.get(gram, ()):
+                met.setdefault(i, []).append((at, gram))
+        for i, hits in met.items():
+            size, name, grams = self.entries[i]
+            # Windows at the end of a text may be shorter than the template.
+            if len(hits) < math.ceil(size * self.ratio - 1e-9):
+                continue
+            best, shared, held, end = 0.0, 0, Counter(), 0
+            for at, gram in hits:
+                while end < len(hits) and hits[end][0] < at + size:
+                    held[hits[end][1]] += 1
+                    shared += held[hits[end][1]] <= grams[hits[end][1]]
+                    end += 1
+                best = max(best, 2 * shared / (size + min(size, len(words) - 1 - at)))
+                shared -= held[gram] <= grams[gram]
+                held[gram] -= 1
+            if best >= self.least - 1e-12:
+                yield name, best
+
     def _words_within(self, block: str) -> list[str] | None:
         """Words of a block, or None as soon as it is known to be too long or too strange."""
         words, strange = [], 0
         # Each word that no template has spoils a bigram, and a match of n bigrams
         # leaves at most n * (1 - least * (1 + ratio) / 2) of them unshared.
         allowed = (1 - self.least * (1 + self.ratio) / 2) * self.longest + 1e-9
-        for m in _WORD.finditer(block.lower()):
+        low = block.lower()
+        if "copyright" in low or "(c)" in low or "\u00a9" in low:
+            low = _COPYRIGHT.sub(" ", low)
+        for m in _WORD.finditer(low):
             words.append(m[0])
             strange += m[0] not in self.words
             if len(words) > self.longest + 1 or strange > allowed:
@@ -138,11 +182,12 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, templ
 
     `license` and `score` name the best match, null where none reaches the
     least score; `licenses` lists all as name=score. Null and empty texts have
-    none. One row out for each row in.
+    none. One row out for each row in; kept columns must not be named like the
+    outputs.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     cols = [F.col(f"`{c}`") for c in keep]
-    known = templates or Templates()
+    known = templates or Templates(windows=True)
     schema = df.select(*cols, F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("score"), F.lit(0).cast("bigint").alias("n_licenses"), F.lit("").alias("licenses")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
