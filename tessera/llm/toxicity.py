@@ -296,6 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     x, y = isotonic(np.array([v for v, _ in seen]), np.array([m for _, m in seen])) if seen else (model.votes, model.chances)
     # Texts without a neighbour are as toxic as the examples without one; without such, half as the least vote.
     prior = (sum(alone) + 0.5) / (len(alone) + 1) if alone else 0.5 * float(y[0])
+    if not seen:  # nothing tells what a vote is worth
+        y = np.full(2, prior)
     return replace(model, votes=x, chances=y, prior=prior)
 
 
