@@ -15,15 +15,18 @@ smallest by hash of the id. Scoring covers every row.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,26 +141,54 @@ class BlockMaxIndex:
         return out
 
 
+class Examples:
+    """The labelled examples: hashes of their terms with weights, and the terms of each.
+
+    Counts are what is sent to the workers, compressed; weights and the index
+    are made of them where they are first asked for.
+    """
+
+    def __init__(self, terms: np.ndarray, n0: np.ndarray, n1: np.ndarray, ids: list, labels: np.ndarray, numbers: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> None:
+        self.terms, self.n0, self.n1, self.ids, self.labels = terms, n0, n1, ids, labels
+        self.numbers, self.counts, self.sizes = numbers, counts, sizes
+
+    def __reduce__(self) -> tuple:
+        small = [a.astype(np.min_scalar_type(int(a.max(initial=0)))) for a in (self.n0, self.n1, self.labels, self.numbers, self.counts, self.sizes)]
+        return _examples, (zstandard.compress(pickle.dumps((self.terms, *small[:2], self.ids, *small[2:])), 3),)
+
+    @cached_property
+    def weights(self) -> np.ndarray:
+        ones = int(self.labels.sum())
+        return term_weights(self.n0, self.n1, len(self.labels) - ones, ones)
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        cuts = np.cumsum([0, *self.sizes.tolist()]).tolist()
+        return BlockMaxIndex([unit(self.numbers[a:b], self.counts[a:b], self.weights) for a, b in zip(cuts[:-1], cuts[1:])], len(self.terms))
+
+    def neighbours(self, texts: list[str | None], without: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """The nearest examples of each text, of which example `without` is not one."""
+        for at in range(0, len(texts), TOGETHER):
+            vectors = [vector(t, self.terms, self.weights) for t in texts[at : at + TOGETHER]]
+            yield from self.index.nearest_of_each(vectors, NEIGHBOURS, without and without[at : at + TOGETHER])
+
+
+def _examples(packed: bytes) -> Examples:
+    terms, n0, n1, ids, *rest = pickle.loads(zstandard.decompress(packed))
+    return Examples(terms, n0.astype(np.int64), n1.astype(np.int64), ids, *(a.astype(np.int64) for a in rest))
+
+
 @dataclass
 class Model:
-    """Hashes of the terms with their weights, labelled examples, their index and the calibration."""
+    """Labelled examples, sent to the workers once, and the calibration."""
 
-    terms: np.ndarray
-    weights: np.ndarray
-    ids: list
+    sent: Broadcast
     labels: np.ndarray
-    index: BlockMaxIndex
     #: Votes and the chances they stand for, both ascending; without a neighbour, `prior`.
     votes: np.ndarray
     chances: np.ndarray
     prior: float
 
-    def neighbours(self, texts: list[str | None], without: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
-        """The nearest examples of each text, of which example `without` is not one."""
-        for at in range(0, len(texts), TOGETHER):
-            vectors = [vector(t, self.terms, self.weights) for t in texts[at : at + TOGETHER]]
-            yield from self.index.nearest_of_each(vectors, NEIGHBOURS, without and without[at : at + TOGETHER])
-
     def score(self, near: list[tuple[float, int]]) -> float:
         if not near:
             return self.prior
@@ -272,16 +303,16 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     held = [(np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in got]
     del got
     every = np.concatenate([h for h, _ in held] or [np.empty(0, np.uint64)])
+    counted = np.concatenate([c for _, c in held] or [np.empty(0, np.int64)])
+    sizes = np.array([len(h) for h, _ in held], np.int64)
+    del held
     known, at = np.unique(every, return_inverse=True)
-    positive = np.repeat(marks, [len(h) for h, _ in held])
-    n1 = np.bincount(at, positive, len(known))
-    weights = term_weights(np.bincount(at, minlength=len(known)) - n1, n1, rows - ones, ones)
-    cuts = np.cumsum([0, *(len(h) for h, _ in held)])
-    index = BlockMaxIndex([unit(at[a:b], c, weights) for a, b, (_, c) in zip(cuts[:-1].tolist(), cuts[1:].tolist(), held)], len(known))
-    model = Model(known, weights, ids, marks, index, np.array([0.0, 1.0]), np.array([0.0, 1.0]), float(ones > 0))
+    n1 = np.bincount(at, np.repeat(marks, sizes), len(known)).astype(np.int64)
+    examples = Examples(known, np.bincount(at, minlength=len(known)) - n1, n1, ids, marks, at, counted, sizes)
+    sent = docs.sparkSession.sparkContext.broadcast(examples)  # bounded by the parameter
+    model = Model(sent, marks, np.array([0.0, 1.0]), np.array([0.0, 1.0]), float(ones > 0))
     if not ones or ones == rows:
         return model
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameter
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each example's vote by the others, null without a neighbour."""
@@ -312,15 +343,14 @@ def classify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
     keep = [c for c in df.columns if c != text] if keep is None else keep
     cols = [F.col(f"`{c}`") for c in keep]
     schema = df.select(*cols, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast("array<struct<id:string,label:int,similarity:double>>").alias("evidence")).schema
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES
     kind = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("similarity", pa.float64())]))
     names = [*keep, "score", "predicted", "evidence"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = model.sent.value
         for batch in batches:
             near = list(m.neighbours(batch.column(len(keep)).to_pylist()))
-            scores = [m.score(n) for n in near]
+            scores = [model.score(n) for n in near]
             shown = [[{"id": str(m.ids[i]), "label": int(m.labels[i]), "similarity": s} for s, i in n] for n in near]
             made = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(shown, kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names)
@@ -331,12 +361,11 @@ def classify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
 def reject(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """`df` without the rows predicted toxic; the others pass unchanged."""
     where = df.columns.index(text)
-    sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = model.sent.value
         for batch in batches:
-            scores = [m.score(n) for n in m.neighbours(batch.column(where).to_pylist())]
+            scores = [model.score(n) for n in m.neighbours(batch.column(where).to_pylist())]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
