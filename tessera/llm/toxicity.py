@@ -64,12 +64,23 @@ class BlockMaxIndex:
     n_terms: int
 
     def __post_init__(self) -> None:
-        n, self.n = self.n_terms, len(self.vectors)
         sizes = np.array([len(t) for t, _ in self.vectors], np.int64)
         terms = np.concatenate([t for t, _ in self.vectors] or [np.empty(0, np.int64)])
         weights = np.concatenate([w for _, w in self.vectors] or [np.empty(0)])
         self.vectors = []
-        rows = np.repeat(np.arange(self.n), sizes)
+        self._build(sizes, terms, weights)
+
+    @classmethod
+    def of(cls, n_terms: int, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> BlockMaxIndex:
+        """The index of vectors laid end to end."""
+        index = cls.__new__(cls)
+        index.vectors, index.n_terms = [], n_terms
+        index._build(sizes, terms, weights)
+        return index
+
+    def _build(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        n, self.n = self.n_terms, len(sizes)
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         held = np.bincount(terms, minlength=n)
         # Examples whose heaviest common term is the same share blocks, which keeps bounds tight.
         usual = held[terms] * COMMON > self.n
@@ -163,8 +174,14 @@ class Examples:
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        cuts = np.cumsum([0, *self.sizes.tolist()]).tolist()
-        return BlockMaxIndex([unit(self.numbers[a:b], self.counts[a:b], self.weights) for a, b in zip(cuts[:-1], cuts[1:])], len(self.terms))
+        weights = (1 + np.log(self.counts, dtype=np.float64)) * self.weights[self.numbers]
+        # The length of each vector; an example without terms has none.
+        ends = np.cumsum(self.sizes)
+        full = self.sizes > 0
+        norms = np.ones(len(self.sizes))
+        norms[full] = np.sqrt(np.add.reduceat(weights * weights, (ends - self.sizes)[full])) if full.any() else 1.0
+        weights /= np.repeat(norms, self.sizes)
+        return BlockMaxIndex.of(len(self.terms), self.sizes, self.numbers, weights)
 
     def neighbours(self, texts: list[str | None], without: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
         """The nearest examples of each text, of which example `without` is not one."""
@@ -174,8 +191,9 @@ class Examples:
 
 
 def _examples(packed: bytes) -> Examples:
-    terms, n0, n1, ids, *rest = pickle.loads(zstandard.decompress(packed))
-    return Examples(terms, n0.astype(np.int64), n1.astype(np.int64), ids, *(a.astype(np.int64) for a in rest))
+    terms, n0, n1, ids, labels, numbers, counts, sizes = pickle.loads(zstandard.decompress(packed))
+    # The long arrays stay as narrow as they came.
+    return Examples(terms, n0.astype(np.int64), n1.astype(np.int64), ids, labels.astype(np.int64), numbers.astype(np.int32), counts, sizes.astype(np.int64))
 
 
 @dataclass
