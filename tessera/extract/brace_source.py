@@ -45,6 +45,45 @@ def listed(m: re.Match[str]) -> tuple[str, Names, bool]:
     return m["source"], names, False
 
 
+_TREE = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+(?P<tree>[^;]*\{[^;]*)", re.MULTILINE)
+
+
+def use_trees(source: str) -> list[tuple[int, str, Names, bool]]:
+    """(line, source, names, whole) of Rust use statements with braces: one import
+    for each path that leaves stand under, in the order in which these are met."""
+    found = []
+    for m in _TREE.finditer(source):
+        line = source.count("\n", 0, m.start("tree")) + 1
+        text = re.sub(r"//[^\n]*|/\*.*?\*/", " ", m["tree"], flags=re.DOTALL)
+        groups: dict[str, Names] = {}
+        _leaves(re.findall(r"[\w*]+|::|[{},]", text), 0, [], groups)
+        found += [(line, path, names, [n for n, _ in names] == ["*"]) for path, names in groups.items()]
+    return found
+
+
+def _leaves(parts: list[str], i: int, prefix: list[str], groups: dict[str, Names]) -> int:
+    """Read the items of one list of a use tree from place i; returns the place after it."""
+    path: list[str] = []
+    alias = None
+    while True:
+        part = parts[i] if i < len(parts) else "}"
+        if part in (",", "}"):
+            if path:
+                groups.setdefault("::".join([*prefix, *path[:-1]]), []).append((path[-1], alias))
+            path, alias = [], None
+            if part == "}":
+                return i + 1
+        elif part == "{":
+            i = _leaves(parts, i + 1, [*prefix, *path], groups)
+            path = []
+            continue
+        elif part == "as" and path and i + 1 < len(parts):
+            alias, i = parts[i + 1], i + 1
+        elif part != "::":
+            path.append(part)
+        i += 1
+
+
 @dataclass(frozen=True)
 class Language:
     imports: tuple[tuple[str, Callable], ...]
@@ -57,7 +96,7 @@ class Language:
 CLASSES = {"class": "Class", "interface": "Interface", "enum": "Class", "struct": "Struct"}
 LANGUAGES = {
     "Rust": Language(
-        ((r"^\s*(?:pub\s+)?use\s+(?P<source>[\w:]+)::\{(?P<names>[^}]*)\}", listed), (r"^\s*(?:pub\s+)?use\s+(?P<source>[\w:]+(?:::\*)?)(?:\s+as\s+(?P<alias>\w+))?\s*;", last_part("::")), (r"^\s*(?:pub\s+)?mod\s+(?P<source>\w+)\s*;", whole)),
+        ((r"^\s*(?:pub\s+)?use\s+(?P<source>[\w:]+(?:::\*)?)(?:\s+as\s+(?P<alias>\w+))?\s*;", last_part("::")), (r"^\s*(?:pub\s+)?mod\s+(?P<source>\w+)\s*;", whole)),
         {"struct": "Struct", "enum": "Class", "trait": "Interface", "union": "Struct", "type": "TypeAlias"}, ("fn",), False, ("const", "static"),
     ),
     "Java": Language(((r"^\s*import\s+(?:static\s+)?(?P<source>[\w.]+(?:\.\*)?)\s*;", last_part(".")),), {"class": "Class", "interface": "Interface", "enum": "Class", "record": "Class"}, (), True),
@@ -79,6 +118,9 @@ def extract(language: str, source: str) -> Facts:
     rules, facts = LANGUAGES[language], Facts()
     found = []
     taken: set[int] = set()
+    if language == "Rust":
+        found = use_trees(source)
+        taken = {line for line, *_ in found}
     for pattern, build in rules.imports:
         for m in re.finditer(pattern, source, re.MULTILINE):
             line = source.count("\n", 0, m.start("source")) + 1

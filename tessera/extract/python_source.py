@@ -1,4 +1,4 @@
-"""Facts of Python files by the standard library's parser."""
+"""Facts of Python files by the standard library's parser, around lines that it rejects."""
 
 from __future__ import annotations
 
@@ -60,9 +60,32 @@ def _define(facts: Facts, body: list[ast.stmt], inside_class: bool = False) -> N
             _define(facts, node.body, True)
 
 
+def _parsed(source: str) -> tuple[ast.Module, str]:
+    """The tree of a source, and the source it is of: lines that the grammar
+    rejects give way to `pass`. Raises the first error where nothing else is left."""
+    lines, first, changed = source.split("\n"), None, set()
+    while True:
+        text = "\n".join(lines)
+        try:
+            tree = ast.parse(text)
+        except SyntaxError as e:
+            first = first or e
+            at = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
+            while at >= 0 and (at in changed or not lines[at].strip()):
+                at -= 1
+            if at < 0:
+                raise first from None
+            changed.add(at)
+            lines[at] = lines[at][: len(lines[at]) - len(lines[at].lstrip())] + "pass"
+            continue
+        if first and all(isinstance(n, ast.Pass) for n in tree.body):
+            raise first
+        return tree, text
+
+
 def extract(source: str) -> Facts:
     facts = Facts()
-    tree = ast.parse(source)
+    tree, source = _parsed(source)
     _define(facts, tree.body)
     for node in tree.body:
         if isinstance(node, ast.Import):

@@ -75,3 +75,22 @@ def test_brace_languages(language):
     assert [i["source"] for i in f["imports"]] == imports
     assert [(d["name"], d["kind"]) for d in f["definitions"]] == definitions
     assert [(c["callee"], c["containing_function"]) for c in f["calls"]] == calls
+
+
+def test_rust_use_trees():
+    source = "use std::{collections::HashMap, fmt::{self, Debug}};\nuse a::{b, c::{d as e, f::*}, g::h,};\npub(crate) use crate::{\n  x, // one, two\n  y::z,\n};\nuse k::l;\n"
+    found = [(i["source"], [(n["name"], n["alias"]) for n in i["names"]], i["line"]) for i in brace_source.extract("Rust", source).rows["imports"]]
+    assert found == [
+        ("std::collections", [("HashMap", None)], 1), ("std::fmt", [("self", None), ("Debug", None)], 1),
+        ("a", [("b", None)], 2), ("a::c", [("d", "e")], 2), ("a::c::f", [("*", None)], 2), ("a::g", [("h", None)], 2),
+        ("crate", [("x", None)], 3), ("crate::y", [("z", None)], 3), ("k::l", [("l", None)], 7),
+    ]
+
+
+def test_python_recovers_around_bad_lines():
+    f = python_source.extract("import os\nprint 'old'\ndef get(id):\n    print 'x', id\n    u = load(id)\n    exec 'y'\n    return u\nclass C(B):\n    pass\n").rows
+    assert [i["source"] for i in f["imports"]] == ["os"]
+    assert [(d["name"], d["start_line"]) for d in f["definitions"]] == [("get", 3), ("C", 8)]
+    assert [(c["callee"], c["containing_function"]) for c in f["calls"]] == [("load", "get")]
+    with pytest.raises(SyntaxError):
+        python_source.extract("def (")
