@@ -17,7 +17,40 @@ FRAMEWORKS = {
     "graphql": "GraphQL", "@apollo/server": "Apollo", "@apollo/client": "Apollo", "tailwindcss": "Tailwind CSS", "redux": "Redux",
     "@reduxjs/toolkit": "Redux", "zustand": "Zustand", "zod": "Zod", "vitest": "Vitest", "jest": "Jest", "@effect/vitest": "Effect.ts",
     "fastapi": "FastAPI", "flask": "Flask", "django": "Django", "sqlalchemy": "SQLAlchemy", "pydantic": "Pydantic", "celery": "Celery",
-    "pytest": "pytest", "alembic": "Alembic", "io.getquill": "Quill", "sttp": "sttp", "tapir": "Tapir",
+    "pytest": "pytest", "alembic": "Alembic", "tortoise": "Tortoise ORM", "starlette": "Starlette", "aiohttp": "aiohttp",
+    "httpx": "httpx", "uvicorn": "Uvicorn", "net/http": "Go net/http", "github.com/gin-gonic/gin": "Gin", "github.com/labstack/echo": "Echo",
+    "github.com/go-chi/chi": "Chi", "github.com/gofiber/fiber": "Fiber", "github.com/gorilla/mux": "Gorilla Mux",
+    "google.golang.org/grpc": "gRPC", "github.com/spf13/cobra": "Cobra", "github.com/spf13/viper": "Viper", "gorm.io/gorm": "GORM",
+    "github.com/jmoiron/sqlx": "sqlx", "database/sql": "Go database/sql", "github.com/go-playground/validator": "Go Validator",
+    "github.com/stretchr/testify": "Testify", "actix_web": "Actix-web", "actix-web": "Actix-web", "axum": "Axum", "rocket": "Rocket",
+    "warp": "Warp", "hyper": "Hyper", "tokio": "Tokio", "diesel": "Diesel", "sqlx": "SQLx", "sea_orm": "SeaORM", "sea-orm": "SeaORM",
+    "clap": "Clap", "tauri": "Tauri", "serde": "Serde", "tower": "Tower", "tonic": "Tonic", "tracing": "Tracing",
+    "org.springframework.boot": "Spring Boot", "org.springframework.web": "Spring MVC", "org.springframework.data": "Spring Data",
+    "org.springframework.security": "Spring Security", "org.springframework": "Spring Boot", "jakarta.persistence": "JPA",
+    "javax.persistence": "JPA", "jakarta.ws.rs": "JAX-RS", "javax.ws.rs": "JAX-RS", "jakarta.servlet": "Servlet", "javax.servlet": "Servlet",
+    "org.hibernate": "Hibernate", "org.junit": "JUnit", "org.junit.jupiter": "JUnit 5", "org.mockito": "Mockito",
+    "com.google.inject": "Guice", "io.micronaut": "Micronaut", "io.quarkus": "Quarkus", "org.apache.maven": "Maven",
+    "Microsoft.AspNetCore": "ASP.NET Core", "Microsoft.AspNetCore.Mvc": "ASP.NET Core MVC", "Microsoft.AspNetCore.Identity": "ASP.NET Identity",
+    "Microsoft.AspNetCore.SignalR": "SignalR", "Microsoft.EntityFrameworkCore": "Entity Framework Core",
+    "Microsoft.Extensions.DependencyInjection": "ASP.NET Core", "Microsoft.Extensions.Logging": "ASP.NET Core",
+    "Microsoft.Extensions.Configuration": "ASP.NET Core", "System.Linq": "LINQ", "Xunit": "xUnit", "NUnit": "NUnit",
+    "Microsoft.VisualStudio.TestTools": "MSTest", "Moq": "Moq", "FluentAssertions": "FluentAssertions", "MediatR": "MediatR",
+    "AutoMapper": "AutoMapper", "Newtonsoft.Json": "Newtonsoft.Json", "System.Text.Json": "System.Text.Json", "Dapper": "Dapper",
+    "Microsoft.AspNetCore.Components": "Blazor", "Illuminate": "Laravel", "Illuminate\\Database": "Laravel Eloquent",
+    "Illuminate\\Queue": "Laravel Queue", "Illuminate\\Console": "Laravel Artisan", "Laravel": "Laravel", "Symfony": "Symfony",
+    "Symfony\\Component\\Console": "Symfony Console", "Doctrine\\ORM": "Doctrine ORM", "Doctrine\\DBAL": "Doctrine DBAL", "Slim": "Slim",
+    "GuzzleHttp": "Guzzle", "Monolog": "Monolog", "PHPUnit": "PHPUnit", "Livewire": "Livewire", "Inertia": "Inertia", "rails": "Rails",
+    "action_controller": "Rails", "active_record": "Rails ActiveRecord", "active_support": "Rails", "active_job": "Rails ActiveJob",
+    "action_cable": "Rails ActionCable", "sinatra": "Sinatra", "rack": "Rack", "grape": "Grape", "hanami": "Hanami", "rspec": "RSpec",
+    "minitest": "Minitest", "sidekiq": "Sidekiq", "devise": "Devise", "pundit": "Pundit", "sequel": "Sequel", "mongoid": "Mongoid",
+    "puma": "Puma", "faraday": "Faraday", "httparty": "HTTParty", "factory_bot": "FactoryBot", "io.ktor": "Ktor",
+    "io.ktor.client": "Ktor Client", "org.jetbrains.exposed": "Exposed", "androidx.compose": "Jetpack Compose",
+    "kotlinx.coroutines": "Kotlin Coroutines", "kotlinx.serialization": "Kotlin Serialization", "kotlin.test": "Kotlin Test",
+    "io.kotest": "Kotest", "io.mockk": "MockK", "org.koin": "Koin", "SwiftUI": "SwiftUI", "UIKit": "UIKit", "Vapor": "Vapor",
+    "XCTest": "XCTest", "Combine": "Combine", "Alamofire": "Alamofire", "play.api.mvc": "Play Framework", "akka.actor": "Akka",
+    "akka.stream": "Akka Streams", "akka.http": "Akka HTTP", "org.scalatest": "ScalaTest", "slick": "Slick", "doobie": "Doobie",
+    "circe": "Circe", "org.http4s": "http4s", "cats": "Cats", "cats.effect": "Cats Effect", "zio": "ZIO", "io.getquill": "Quill",
+    "sttp": "sttp", "tapir": "Tapir",
 }
 # File names of one framework's routing convention.
 NEXT_ENDS = ("page.tsx", "page.ts", "page.jsx", "page.js", "route.ts", "route.js", "layout.tsx", "layout.ts")

@@ -83,6 +83,8 @@ ORACLES = {
       CASE i WHEN 0 THEN 'a' ELSE 'x' END AS arguments FROM documents, (VALUES (0), (1)) v(i)""",
     "renumbered_groups": f"""WITH {PATHS_SQL}, g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS d, min(path) AS first_file FROM paths GROUP BY 1)
       SELECT 'group_' || CAST(row_number() OVER (ORDER BY first_file) AS VARCHAR) AS group_id, split_part(d, '/', -1) || ' (directory)' AS name, first_file FROM g""",
+    "text_names": r"""SELECT doc_id, sha256(name) AS name_sha256, length(name) AS name_chars FROM
+      (SELECT doc_id, regexp_replace(lower(trim(coalesce(text, ''))), '\s+', ' ', 'g') AS name FROM documents)""",
     "global_order": "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders",
     "expected_coherence": f"""WITH {PATHS_SQL}, {_ONE}, e(eid, piece, must) AS (VALUES (1, 'auth/user.service.ts', true), (1, 'auth/README.md', true), (1, 'docs/index', false),
         (2, 'scripts/build.sh', true), (2, 'nowhere', true), (3, 'Dockerfile', true), (3, 'zz', false)),

@@ -197,12 +197,18 @@ def global_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.in_order(o, [F.desc("o_totalprice"), F.asc("o_orderkey")], "place").select("o_orderkey", "place")
 
 
+def text_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a normalised name: its digest and its code points."""
+    name = scores.normalized_name(F.coalesce("text", F.lit("")))
+    return ad.table(spark, sf_dir, "documents").select("doc_id", F.sha2(name, 256).alias("name_sha256"), F.length(name).cast("bigint").alias("name_chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         framework_detection, topic_affinity, test_subject_groups, exact_directory_groups, consolidated_groups, infrastructure_groups,
         threshold_scores, job_states, streamed_job_states, job_timeline, job_activity_by_hour, exported_comments, manifest_import, manifest_export,
         repaired_references, review_order, expected_coherence, constraint_results, symbol_bindings, group_diagrams, source_facts,
-        entrypoint_detection, renumbered_groups, global_order,
+        entrypoint_detection, renumbered_groups, global_order, text_names,
     )
 }

@@ -168,3 +168,10 @@ def test_mermaid(spark):
 def test_eviction_keeps_the_newest(spark):
     entries = frame(spark, "cache int, entry int, modified int, size int", (1, 1, 1, 5), (1, 2, 2, 5), (1, 3, 3, 5), (2, 9, 1, 100))
     assert {r.entry for r in ranking.evict_oldest(entries, 10, ["cache"]).collect()} == {2, 3}
+
+
+def test_frameworks_of_many_languages(spark):
+    sources = ["github.com/gin-gonic/gin", "axum::Router", "org.springframework.boot.SpringApplication", "Illuminate\\\\Database\\\\Eloquent", "rails/all", "io.ktor.server", "SwiftUI", "cats.effect.IO", "Microsoft.AspNetCore.Mvc", "axumish"]
+    imports = spark.createDataFrame([(s.replace("\\\\", "\\"),) for s in sources], "source string")
+    found = {r.framework for r in dataflow.frameworks(imports, spark.createDataFrame([("a.go",)], "path string")).collect()}
+    assert found == {"Gin", "Axum", "Spring Boot", "Laravel", "Laravel Eloquent", "Rails", "Ktor", "SwiftUI", "Cats", "Cats Effect", "ASP.NET Core", "ASP.NET Core MVC"}
