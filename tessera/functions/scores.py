@@ -72,6 +72,31 @@ def threshold_score(actual: Column, limit: Column) -> Column:
     return F.when(actual <= limit, 1.0).otherwise(clamp(F.lit(1.0) - (actual - limit) / span))
 
 
+# Weights of a repository's scores, by whether a limit on the
+# density of groups is given and whether there are expectations to check.
+REPOSITORY_WEIGHTS = {
+    (False, False): {"group_count": 0.35, "infra_ratio": 0.25, "singleton_ratio": 0.20, "file_accounting": 0.20},
+    (False, True): {"group_count": 0.20, "infra_ratio": 0.15, "singleton_ratio": 0.15, "file_accounting": 0.10, "golden": 0.40},
+    (True, False): {"group_count": 0.20, "group_density": 0.20, "infra_ratio": 0.20, "singleton_ratio": 0.20, "file_accounting": 0.20},
+    (True, True): {"group_count": 0.15, "group_density": 0.15, "infra_ratio": 0.10, "singleton_ratio": 0.10, "file_accounting": 0.10, "golden": 0.40},
+}
+
+
+def repository_overall(limited: Column, checked: Column) -> Column:
+    """Weighted sum of the score columns of one row, by the profile that applies."""
+    out = F.lit(None).cast("double")
+    for (dense, golden), weights in REPOSITORY_WEIGHTS.items():
+        total = sum((F.lit(w) * F.col(c) for c, w in weights.items()), F.lit(0.0))
+        out = F.when((limited == F.lit(dense)) & (checked == F.lit(golden)), total).otherwise(out)
+    return out
+
+
+def file_accounting(total: Column, expected: Column, placed: Column, groups: Column, least: Column, most: Column) -> Column:
+    """1 less a half for each wrong count of files - expected, or placed in groups and infrastructure - and a quarter for too few or many groups."""
+    lost = F.when(total != expected, 0.5).otherwise(0.0) + F.when(placed != total, 0.5).otherwise(0.0) + F.when(groups.between(least, most), 0.0).otherwise(0.25)
+    return F.greatest(F.lit(0.0), F.lit(1.0) - lost)
+
+
 def overall(criteria: Mapping[str, Column]) -> Column:
     return sum((F.lit(w) * criteria[c] for c, w in CRITERIA.items()), F.lit(0.0))
 

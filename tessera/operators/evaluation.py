@@ -101,3 +101,33 @@ def constraint_results(sets: DataFrame, locations: DataFrame) -> DataFrame:
 def judged(scores_by_criterion: DataFrame) -> DataFrame:
     """(target, mean): judge scores from 1 to 5 brought to 0 to 1."""
     return scores_by_criterion.groupBy("target").agg(F.avg((F.col("score") - 1) / 4.0).alias("mean"))
+
+
+def repository_scores(metrics: DataFrame) -> DataFrame:
+    """`metrics` with a score for each measure and their weighted sum `overall`.
+
+    Reads groups, groups_per_1000, infra_ratio, singleton_ratio, accounted,
+    golden_checks and golden, and the limits max_groups, max_groups_per_1000
+    (null where there is none), max_infra_ratio and max_singleton_ratio.
+    Without checks the golden score has no weight.
+    """
+    limited = F.col("max_groups_per_1000").isNotNull()
+    made = metrics.select(
+        *[F.col(c).alias(c) for c in metrics.columns if c not in ("infra_ratio", "singleton_ratio")],
+        F.when(F.col("groups") <= F.col("max_groups"), 1.0).otherwise(scores.clamp(scores.ratio(F.col("max_groups"), F.col("groups")))).alias("group_count"),
+        F.when(limited, scores.threshold_score(F.col("groups_per_1000"), F.col("max_groups_per_1000"))).alias("group_density"),
+        scores.threshold_score(F.col("infra_ratio"), F.col("max_infra_ratio")).alias("infra_ratio"),
+        scores.threshold_score(F.col("singleton_ratio"), F.col("max_singleton_ratio")).alias("singleton_ratio"),
+        F.when(F.col("accounted"), 1.0).otherwise(0.0).alias("file_accounting"),
+    )
+    return made.withColumn("overall", scores.repository_overall(limited, F.col("golden_checks") > 0))
+
+
+def entrypoint_accuracy(expected: DataFrame, detected: DataFrame) -> DataFrame:
+    """One row with the share of `expected` (piece, type) that some detected entrypoint
+    (file, type) has: the same type, and a file whose path holds the piece. 1 where nothing is expected."""
+    wanted = expected.select(F.col("piece").alias("w_piece"), F.col("type").alias("w_type"), F.monotonically_increasing_id().alias("w"))
+    known = detected.select("file", "type").distinct()
+    met = wanted.join(known, (F.col("w_type") == F.col("type")) & F.col("file").contains(F.col("w_piece"))).select("w").distinct().agg(F.count(F.lit(1)).alias("met"))
+    total = expected.agg(F.count(F.lit(1)).alias("total"))
+    return total.join(met).select(F.when(F.col("total") == 0, 1.0).otherwise(scores.ratio(F.col("met"), F.col("total"))).alias("score"))

@@ -83,6 +83,17 @@ ORACLES = {
       CASE i WHEN 0 THEN 'a' ELSE 'x' END AS arguments FROM documents, (VALUES (0), (1)) v(i)""",
     "renumbered_groups": f"""WITH {PATHS_SQL}, g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS d, min(path) AS first_file FROM paths GROUP BY 1)
       SELECT 'group_' || CAST(row_number() OVER (ORDER BY first_file) AS VARCHAR) AS group_id, split_part(d, '/', -1) || ' (directory)' AS name, first_file FROM g""",
+    "repository_scores": """WITH m AS (SELECT s_suppkey AS repo, s_suppkey % 40 AS g, (s_suppkey % 17) / 10 AS dens, (s_suppkey % 11) / 10 AS infra, (s_suppkey % 7) / 6 AS single,
+        s_suppkey % 3 <> 0 AS acc, s_suppkey % 4 AS checks, (s_suppkey % 5) / 4 AS golden, s_suppkey % 2 = 0 AS limited FROM supplier),
+      p AS (SELECT *, CASE WHEN g <= 20 THEN 1.0 ELSE 20 / g END AS c, CASE WHEN limited THEN CASE WHEN dens <= 0.6 THEN 1.0 ELSE greatest(0, 1 - (dens - 0.6) / 0.4) END END AS d,
+        CASE WHEN infra <= 0.5 THEN 1.0 ELSE greatest(0, 1 - (infra - 0.5) / 0.5) END AS i, CASE WHEN single <= 0.4 THEN 1.0 ELSE greatest(0, 1 - (single - 0.4) / 0.6) END AS s,
+        CASE WHEN acc THEN 1.0 ELSE 0.0 END AS f FROM m)
+      SELECT repo, round(CAST(c AS DOUBLE), 9) AS group_count, round(CAST(d AS DOUBLE), 9) AS group_density, round(CAST(i AS DOUBLE), 9) AS infra_ratio,
+        round(CAST(s AS DOUBLE), 9) AS singleton_ratio, CAST(f AS DOUBLE) AS file_accounting,
+        round(CAST(CASE WHEN limited AND checks = 0 THEN 0.2 * c + 0.2 * d + 0.2 * i + 0.2 * s + 0.2 * f WHEN limited THEN 0.15 * c + 0.15 * d + 0.1 * i + 0.1 * s + 0.1 * f + 0.4 * golden
+          WHEN checks = 0 THEN 0.35 * c + 0.25 * i + 0.2 * s + 0.2 * f ELSE 0.2 * c + 0.15 * i + 0.15 * s + 0.1 * f + 0.4 * golden END AS DOUBLE), 9) AS overall FROM p""",
+    "accounting_scores": """SELECT s_suppkey AS repo, CAST(greatest(0, 1 - CASE WHEN s_suppkey % 5 <> s_suppkey % 3 THEN 0.5 ELSE 0 END - CASE WHEN s_suppkey % 2 = 1 THEN 0.5 ELSE 0 END
+      - CASE WHEN s_suppkey % 12 < 2 OR s_suppkey % 12 > 8 THEN 0.25 ELSE 0 END) AS DOUBLE) AS score FROM supplier""",
     "text_names": r"""SELECT doc_id, sha256(name) AS name_sha256, length(name) AS name_chars FROM
       (SELECT doc_id, regexp_replace(lower(trim(coalesce(text, ''))), '\s+', ' ', 'g') AS name FROM documents)""",
     "global_order": "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders",

@@ -203,12 +203,33 @@ def text_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.table(spark, sf_dir, "documents").select("doc_id", F.sha2(name, 256).alias("name_sha256"), F.length(name).cast("bigint").alias("name_chars"))
 
 
+def repository_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of one set of measures for each supplier."""
+    k = F.col("s_suppkey")
+    metrics = ad.table(spark, sf_dir, "supplier").select(
+        k.alias("repo"), (k % 40).alias("groups"), ((k % 17) / 10).alias("groups_per_1000"), ((k % 11) / 10).alias("infra_ratio"),
+        ((k % 7) / 6).alias("singleton_ratio"), (k % 3 != 0).alias("accounted"), (k % 4).alias("golden_checks"), ((k % 5) / 4).alias("golden"),
+        F.lit(20).alias("max_groups"), F.when(k % 2 == 0, F.lit(0.6)).alias("max_groups_per_1000"),
+        F.lit(0.5).alias("max_infra_ratio"), F.lit(0.4).alias("max_singleton_ratio"),
+    )
+    shown = ("group_count", "group_density", "infra_ratio", "singleton_ratio", "file_accounting", "overall")
+    return evaluation.repository_scores(metrics).select("repo", *[F.round(c, 9).alias(c) for c in shown])
+
+
+def accounting_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File accounting of one grouping for each supplier."""
+    k = F.col("s_suppkey")
+    score = scores.file_accounting(k % 5 + 10, k % 3 + 10, k % 5 + 10 - k % 2, k % 12, F.lit(2), F.lit(8))
+    return ad.table(spark, sf_dir, "supplier").select(k.alias("repo"), score.alias("score"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         framework_detection, topic_affinity, test_subject_groups, exact_directory_groups, consolidated_groups, infrastructure_groups,
         threshold_scores, job_states, streamed_job_states, job_timeline, job_activity_by_hour, exported_comments, manifest_import, manifest_export,
         repaired_references, review_order, expected_coherence, constraint_results, symbol_bindings, group_diagrams, source_facts,
-        entrypoint_detection, renumbered_groups, global_order, text_names,
+        entrypoint_detection, renumbered_groups, global_order, text_names, repository_scores,
+        accounting_scores,
     )
 }

@@ -175,3 +175,12 @@ def test_frameworks_of_many_languages(spark):
     imports = spark.createDataFrame([(s.replace("\\\\", "\\"),) for s in sources], "source string")
     found = {r.framework for r in dataflow.frameworks(imports, spark.createDataFrame([("a.go",)], "path string")).collect()}
     assert found == {"Gin", "Axum", "Spring Boot", "Laravel", "Laravel Eloquent", "Rails", "Ktor", "SwiftUI", "Cats", "Cats Effect", "ASP.NET Core", "ASP.NET Core MVC"}
+
+
+def test_entrypoint_accuracy(spark):
+    detected = spark.createDataFrame([("src/api/users.ts", "HttpRoute"), ("src/cli.ts", "CliCommand")], "file string, type string")
+    expected = [("api/users", "HttpRoute"), ("cli", "HttpRoute"), ("users", "HttpRoute"), ("none", "CliCommand")]
+    rows = lambda some: spark.createDataFrame(some, "piece string, type string")
+    assert evaluation.entrypoint_accuracy(rows(expected), detected).first().score == 0.5
+    assert evaluation.entrypoint_accuracy(rows([]), detected).first().score == 1.0
+    assert evaluation.entrypoint_accuracy(rows(expected), detected.limit(0)).first().score == 0.0
