@@ -49,14 +49,25 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
 
 
 def _row_windows(hashes: Column, length: int) -> Column:
-    """Hash and place of every window of `length` words, given the words' hashes.
+    """Hash of every window of `length` words in order, given the words' hashes.
 
     Hashing one value after the other is what hashing their array does.
     """
     last = F.size(hashes) - (length - 1)
-    window = lambda i: F.xxhash64(*[F.get(hashes, i + (k - 1)) for k in range(length)])
-    hashed = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(window(i).alias("hash"), i.alias("at"), F.lit(length).alias("length")))
-    return F.when(last >= 1, hashed).otherwise(F.array().cast("array<struct<hash:bigint,at:int,length:int>>"))
+    window = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(length)])
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), window)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _placed(place: Column, words: Column, lengths: list[int]) -> Column:
+    """Length and 1-based start of the window at a place of the windows of all lengths laid end to end."""
+    out = F.struct(F.lit(0).alias("length"), F.lit(0).alias("at"))
+    before = [F.lit(0)]
+    for k in lengths:
+        before.append(before[-1] + F.greatest(F.size(words) - (k - 1), F.lit(0)))
+    for i in reversed(range(len(lengths))):
+        own = F.struct(F.lit(lengths[i]).alias("length"), (place - before[i] + 1).alias("at"))
+        out = own if i == len(lengths) - 1 else F.when(place < before[i + 1], own).otherwise(out)
+    return out
 
 
 def _key(text: Column) -> Column:
@@ -79,13 +90,15 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[s
     body = F.col(f"`{text}`")
     # Rows of one text have the same hits, so its digest is the key that hits travel by.
     base = docs.select(_key(body).alias("key"), words(body).alias("ws")).withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
-    every = F.concat(*[_row_windows(F.col("hs"), k) for k in sorted(lengths)]) if lengths else F.array().cast("array<struct<hash:bigint,at:int,length:int>>")
-    each = base.select("key", "ws", F.explode(every).alias("w")).select("key", "ws", "w.*")
+    sizes = sorted(lengths)
+    every = F.concat(*[_row_windows(F.col("hs"), k) for k in sizes]) if sizes else F.array().cast("array<bigint>")
+    each = base.select("key", "ws", F.posexplode(every).alias("place", "hash"))
     against = known.select(F.col("hash").alias("k_hash"), F.col("window").alias("k_window"), "items")
     against = F.broadcast(against) if sum(lengths.values()) <= broadcast_windows else against
     # Only the hash is a key of the join; words are compared where it is met.
+    met = each.join(against, F.col("hash") == F.col("k_hash")).withColumn("w", _placed(F.col("place"), F.col("ws"), sizes)).select("key", "ws", "k_window", "items", "w.*")
     same = F.forall(F.zip_with(F.slice("ws", F.col("at"), F.col("length")), "k_window", lambda a, b: a.eqNullSafe(b)), lambda x: x)
-    met = each.join(against, F.col("hash") == F.col("k_hash")).where(same)
+    met = met.where((F.col("length") > 0) & same)
     span = F.struct((F.col("at") - 1).alias("from"), (F.col("at") - 1 + F.col("length")).alias("to"))
     hits = materialize(met.select("key", span.alias("span"), "items").groupBy("key").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items")), "hits")
     hits = F.broadcast(hits) if hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS else hits
