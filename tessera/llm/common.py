@@ -42,12 +42,17 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 _REGISTERED = False
 
 
+#: Whether Spark deletes a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation beyond the
     tasks that were running on it. The table goes when the driver ends, or
-    with `clear`.
+    with `clear`. Shuffle files behind a written table serve nothing more, so
+    Spark deletes them with the end of the write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
@@ -56,7 +61,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         atexit.register(clear)
         _REGISTERED = True
     _WRITTEN.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,9 +6,11 @@ unigrams, is counted over every training text and asked for every text:
 1. Each task turns its texts into chunks: the chunk's words sorted by hash, and
    the texts as numbers of those words. Texts are read once.
 2. Chunks send their word counts to shards by ranges of the word hash. Each
-   shard answers every chunk with the totals of the words it asked about.
+   shard answers every chunk with the totals and the numbers of the words it
+   asked about. From then on a word is its number, which takes far fewer bytes
+   than its hash.
 3. Chunks send their distinct training n-grams, with counts, to shards by the
-   hash of the first word; so all n-grams that begin alike meet. A prefix with
+   first word; so all n-grams that begin alike meet. A prefix with
    more than a shard's share of all tokens is split over several shards by the
    word that follows it.
 4. Each shard's counts become its part of the trie, a table in the shared
@@ -18,7 +20,9 @@ unigrams, is counted over every training text and asked for every text:
    weights are quantised.
 5. Chunks send their distinct n-grams to the same shards, which map their part
    of the trie into memory and find each n-gram by successor search relative
-   to its context, in the coded form. The chunks interpolate what they get.
+   to its context, in the coded form. This takes rounds of some shards each, so
+   that requests and trie are never under way as a whole. The chunks
+   interpolate what they get.
 
 Shards are sized by tokens. Nothing grows on the driver: it sees sums, and
 prefixes that hold more than a shard's share of all tokens, of which there
@@ -46,6 +50,8 @@ from .common import materialize, release
 
 #: Tokens after which a chunk ends; a longer text is a chunk of its own. Tokens for each shard.
 CHUNK_TOKENS, SHARD_TOKENS = 1_500_000, 2_000_000
+#: Rounds in which the shards answer.
+ROUNDS = 2
 #: Words that no text has: the end of a text, and what follows it in an n-gram.
 END, PAD = b"\n", b"\r"
 #: Steps of a quantised log10 probability in one unit; 16 bits reach down to 10**-32. The last code is no probability.
@@ -84,6 +90,26 @@ def _parted(buffer: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """Numbers byte by byte, as many bytes as the greatest needs; bytes of one place compress better together."""
+    a = a.astype(np.min_scalar_type(int(a.max(initial=0))))
+    return a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.ravel()
+
+
+def _from_planes(p: np.ndarray, n: int) -> np.ndarray:
+    size = len(p) // max(n, 1)
+    return np.ascontiguousarray(p.reshape(size, n).T).view(f"<u{size}").ravel().astype(np.int64) if n else np.empty(0, np.int64)
+
+
+def _ascending(a: np.ndarray) -> np.ndarray:
+    """Ascending numbers as the steps between them."""
+    return _planes(np.diff(a, prepend=0))
+
+
+def _from_ascending(p: np.ndarray, n: int) -> np.ndarray:
+    return np.cumsum(_from_planes(p, n))
+
+
 # --- the trie --------------------------------------------------------------------
 
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -249,12 +275,12 @@ class Trie:
         self._map(folder, _joined([unigram.astype("<u8"), *(a for x in levels for a in x.arrays())]))
 
     @classmethod
-    def opened(cls, blob: bytes, folder: str | None = None) -> Trie:
+    def opened(cls, blob: bytes | np.ndarray, folder: str | None = None) -> Trie:
         trie = cls.__new__(cls)
         trie._map(folder, blob)
         return trie
 
-    def _map(self, folder: str | None, blob: bytes) -> None:
+    def _map(self, folder: str | None, blob: bytes | np.ndarray) -> None:
         """Map the buffer from a file of `folder`, or from memory that has no file."""
         self.path = None
         if folder is None:
@@ -360,19 +386,15 @@ def _chunks(df: DataFrame, text: str, keep: list[str], train: Column, order: int
     return wanted.mapInArrow(run, schema)
 
 
-def _number(hashes: np.ndarray, word: bytes) -> int:
-    return int(np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(word))))
-
-
 class _Texts:
     """A chunk's texts as sequences of word numbers, with the marks before and after each."""
 
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, order: int) -> None:
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray, order: int, marks: np.ndarray) -> None:
         self.order, self.lengths = order, lengths.astype(np.int64)
-        before = [_number(hashes, _start(k)) for k in range(order - 1, 0, -1)]
+        pad, *before = np.searchsorted(numbers, marks[[0, *range(order - 1, 0, -1)]]).tolist()
         spans = self.lengths + 2 * order - 3
         begins = np.cumsum(spans) - spans
-        self.words = np.full(int(spans.sum()), _number(hashes, PAD), np.uint32)
+        self.words = np.full(int(spans.sum()), pad, np.uint32)
         for k, w in enumerate(before):
             self.words[begins + k] = w
         #: Place of every token, and of every n-gram's first word; n-grams begin at all places up to the last word before the end.
@@ -410,6 +432,13 @@ def _leaves(nodes: list) -> list[np.ndarray]:
     return [at, *reversed(columns)]
 
 
+def _hashes(numbers: np.ndarray) -> np.ndarray:
+    """A hash of each word number, by which n-grams are dealt; different numbers have different hashes."""
+    x = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of a prefix with one word more."""
     x = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
@@ -451,9 +480,9 @@ def _shards(columns: list[np.ndarray], bits: int, hot: list[_Hot]) -> np.ndarray
     return out & ((1 << bits) - 1)
 
 
-def _texts_of(row: dict, order: int) -> tuple[np.ndarray, _Texts]:
-    hashes = np.frombuffer(row["hashes"], np.uint64)
-    return hashes, _Texts(hashes, _unpack(row["ids"], "<u4"), _unpack(row["lengths"], "<u4"), order)
+def _texts_of(row: dict, order: int, marks: np.ndarray) -> tuple[np.ndarray, _Texts]:
+    numbers = _from_ascending(_unpack(row["numbers"], "u1"), row["words"])
+    return numbers, _Texts(numbers, _unpack(row["ids"], "<u4"), _unpack(row["lengths"], "<u4"), order, marks)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -479,9 +508,10 @@ def _word_requests(chunks: DataFrame, bits: int) -> DataFrame:
     return chunks.select("chunk", "hashes", "counts").mapInArrow(run, "shard int, chunk bigint, hashes binary, counts binary")
 
 
-def _word_totals(requests: DataFrame, most: float) -> DataFrame:
-    """Answers by chunk and shard; rows of chunk -1 tell a shard's number of
-    trained words and the words with over `most` training tokens."""
+def _word_totals(requests: DataFrame, most: float, marks: list[bytes]) -> DataFrame:
+    """Answers by chunk and shard: the words' training totals, and their places among
+    the shard's words. Rows of chunk -1 tell how many words a shard has, how many of
+    them are trained, and the places of the words with over `most` training tokens and of `marks`."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk, shard = table.column("chunk").to_pylist(), table.column("shard")[0].as_py()
@@ -489,25 +519,50 @@ def _word_totals(requests: DataFrame, most: float) -> DataFrame:
         counts = np.concatenate([_unpack(b, "<u4") for b in table.column("counts").to_pylist()]).astype(np.int64)
         distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         totals = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
-        answers = np.split(totals[inverse], np.cumsum([len(h) for h in hashes])[:-1])
-        hot = totals > most
+        sizes = [len(h) for h in hashes]
+        places = np.split(inverse, np.cumsum(sizes)[:-1])
+        hot = np.flatnonzero(totals > most)
+        wanted = np.array([xxhash.xxh64_intdigest(w) for w in marks], np.uint64)
+        at = np.minimum(np.searchsorted(distinct, wanted), len(distinct) - 1)
+        told = _joined([hot.astype("<i8"), totals[hot].astype("<i8"), np.where(distinct[at] == wanted, at, -1).astype("<i8")])
         return pa.table({
             "chunk": pa.array([*chunk, -1], pa.int64()),
             "shard": pa.array([shard] * (len(chunk) + 1), pa.int32()),
-            "totals": pa.array([*map(_pack, answers), totals[hot].tobytes()]),
-            "words": pa.array([*[None] * len(chunk), distinct[hot].tobytes()], pa.binary()),
-            "n": pa.array([*[0] * len(chunk), int((totals > 0).sum())], pa.int64()),
+            "words": pa.array([*sizes, len(distinct)], pa.int64()),
+            "trained": pa.array([*[0] * len(chunk), int((totals > 0).sum())], pa.int64()),
+            "totals": pa.array([*(_pack(_planes(totals[p])) for p in places), told], pa.binary()),
+            "places": pa.array([*(_pack(_ascending(p)) for p in places), None], pa.binary()),
         })
 
-    return requests.groupBy("shard").applyInArrow(run, "chunk bigint, shard int, totals binary, words binary, n bigint")
+    return requests.groupBy("shard").applyInArrow(run, "chunk bigint, shard int, words bigint, trained bigint, totals binary, places binary")
+
 
+def _numbered(chunks: DataFrame, words: DataFrame, width: int) -> DataFrame:
+    """The chunks with word numbers, ascending, instead of hashes, and with training totals.
 
-def _hot_prefixes(chunks: DataFrame, hot: list[_Hot], most: float, bits: int, n: int, order: int) -> _Hot:
+    A word's number is its place in its shard after `width` numbers for each shard before.
+    """
+    none = F.lit(None).cast("binary")
+    told = words.where("chunk >= 0").select("chunk", "shard", "words", "totals", "places", *[none.alias(c) for c in ("ids", "lengths", "train", "kept")])
+    own = chunks.select("chunk", F.lit(-1).alias("shard"), F.lit(0).cast("bigint").alias("words"), none.alias("totals"), none.alias("places"), "ids", "lengths", "train", "kept")
+
+    def run(table: pa.Table) -> pa.Table:
+        first, *rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
+        numbers = np.concatenate([r["shard"] * width + _from_ascending(_unpack(r["places"], "u1"), r["words"]) for r in rows])
+        totals = np.concatenate([_from_planes(_unpack(r["totals"], "u1"), r["words"]) for r in rows])
+        values = {"chunk": first["chunk"], "words": len(numbers), "numbers": _pack(_ascending(numbers)), "totals": _pack(_planes(totals)), **{c: first[c] for c in ("ids", "lengths", "train", "kept")}}
+        return pa.table({c: pa.array([v], pa.int64() if c in ("chunk", "words") else pa.binary()) for c, v in values.items()})
+
+    return own.unionByName(told).groupBy("chunk").applyInArrow(run, "chunk bigint, words bigint, numbers binary, totals binary, ids binary, lengths binary, train binary, kept binary")
+
+
+def _hot_prefixes(chunks: DataFrame, hot: list[_Hot], most: float, bits: int, n: int, order: int, marks: np.ndarray) -> _Hot:
     """Prefixes one word longer than the last of `hot` with over `most` training tokens; their own prefixes are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            hashes, texts = _texts_of(row, order)
+            numbers, texts = _texts_of(row, order, marks)
+            hashes = _hashes(numbers)
             begins = texts.begins[np.repeat(_unpack(row["train"], "u1").astype(bool), texts.grams)]
             prefix = hashes[texts.words[begins]]
             for k, known in enumerate(hot, 1):
@@ -517,7 +572,7 @@ def _hot_prefixes(chunks: DataFrame, hot: list[_Hot], most: float, bits: int, n:
             found, counts = np.unique(prefix, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "c"])
 
-    met = chunks.select("hashes", "ids", "lengths", "train").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > most).collect()
+    met = chunks.select("words", "numbers", "ids", "lengths", "train").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > most).collect()
     return _Hot([(int(np.int64(h).view(np.uint64)), _split_bits(c, n, bits), c) for h, c in met])
 
 
@@ -528,24 +583,15 @@ def _split_bits(c: int, n: int, bits: int) -> int:
 # --- shards of n-grams -------------------------------------------------------------
 
 
-def _planes(a: np.ndarray) -> np.ndarray:
-    """Small numbers byte by byte, which compress better apart."""
-    a = a.astype("<u2" if not len(a) or int(a.max()) < 1 << 16 else "<u4")
-    return a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.ravel()
-
-
-def _from_planes(p: np.ndarray, n: int) -> np.ndarray:
-    size = len(p) // max(n, 1)
-    return np.ascontiguousarray(p.reshape(size, n).T).view(f"<u{size}").ravel().astype(np.int64) if n else np.empty(0, np.int64)
-
-
-def _requests(chunks: DataFrame, bits: int, hot: list[_Hot], order: int, training: bool) -> DataFrame:
+def _requests(chunks: DataFrame, bits: int, hot: list[_Hot], order: int, marks: np.ndarray, training: bool, turn: int = 0, rounds: int = 1) -> DataFrame:
     """(shard, chunk, blob): distinct n-grams of each chunk; for training with
-    their counts, and only those of training texts."""
+    their counts, and only those of training texts. One round in `rounds` asks
+    the shards whose number leaves `turn`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            hashes, texts = _texts_of(row, order)
+            numbers, texts = _texts_of(row, order, marks)
+            hashes = _hashes(numbers)
             only = np.repeat(_unpack(row["train"], "u1").astype(bool), texts.grams) if training else None
             nodes = texts.nodes(only)
             columns = _leaves(nodes)
@@ -554,19 +600,23 @@ def _requests(chunks: DataFrame, bits: int, hot: list[_Hot], order: int, trainin
             by = np.argsort(shards, kind="stable")
             edges = np.searchsorted(shards[by], np.arange((1 << bits) + 1))
             for s in np.flatnonzero(np.diff(edges)).tolist():
+                if s % rounds != turn:
+                    continue
                 some = by[edges[s] : edges[s + 1]]
                 words, inverse = np.unique(np.concatenate([c[some] for c in columns]), return_inverse=True)
-                blob = zstandard.compress(_joined([hashes[words], np.array([len(some)], "<i8"), *map(_planes, inverse.reshape(order, -1)), *([_planes(counts[some])] if training else [])]), 1)
+                first, *others = inverse.reshape(order, -1)
+                blob = zstandard.compress(_joined([np.array([len(words), len(some)], "<i8"), _ascending(numbers[words]), _ascending(first), *map(_planes, others), *([_planes(counts[some])] if training else [])]), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((s, pa.int32()), (row["chunk"], pa.int64()), (blob, pa.binary()))], ["shard", "chunk", "blob"])
 
-    return chunks.select("chunk", "hashes", "ids", "lengths", "train").mapInArrow(run, "shard int, chunk bigint, blob binary")
+    return chunks.select("chunk", "words", "numbers", "ids", "lengths", "train").mapInArrow(run, "shard int, chunk bigint, blob binary")
 
 
 def _opened(blob: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray | None]:
-    """Word hashes, columns of word numbers, and counts of a request."""
-    hashes, n, *planes = _parted(np.frombuffer(zstandard.decompress(blob), np.uint8))
-    found = [_from_planes(p, int(n[0])) for p in planes]
-    return hashes, found[:order], found[order] if len(found) > order else None
+    """Numbers of a request's words, columns of their places, and counts."""
+    sizes, words, first, *planes = _parted(np.frombuffer(zstandard.decompress(blob), np.uint8))
+    words_n, n = sizes.tolist()
+    found = [_from_ascending(first, n), *(_from_planes(p, n) for p in planes)]
+    return _from_ascending(words, words_n), found[:order], found[order] if len(found) > order else None
 
 
 def _levels(columns: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -578,13 +628,21 @@ def _levels(columns: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.
     return out
 
 
-def _places(hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """Numbers, among ascending hashes, of those words that are there."""
-    wanted = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    return np.flatnonzero(np.isin(hashes, wanted))
+def _packed_levels(words: np.ndarray, levels: list, totals: np.ndarray) -> bytes:
+    """Words, the prefixes and last words of each length, and the totals of the longest n-grams."""
+    sizes = np.array([len(words), *(len(last) for _, last, *_ in levels)], "<i8")
+    arrays = [x for above, last, *_ in levels for x in (_ascending(above), _planes(last))]
+    return zstandard.compress(_joined([sizes, _ascending(words), *arrays, _planes(totals)]), 1)
+
 
+def _opened_levels(blob: bytes) -> tuple[np.ndarray, list, np.ndarray]:
+    sizes, words, *arrays, totals = _parted(np.frombuffer(zstandard.decompress(blob), np.uint8))
+    n, *lengths = sizes.tolist()
+    levels = [(_from_ascending(arrays[2 * k], m), _from_planes(arrays[2 * k + 1], m)) for k, m in enumerate(lengths)]
+    return _from_ascending(words, n), levels, _from_planes(totals, lengths[-1])
 
-def _counted(requests: DataFrame, order: int, hot: list[_Hot]) -> DataFrame:
+
+def _counted(requests: DataFrame, order: int, hot: list[_Hot], marks: np.ndarray) -> DataFrame:
     """One row for each shard: its words and n-grams with totals; how many n-grams
     of each length occurred once and twice; and the followers its part of each hot prefix has."""
 
@@ -596,13 +654,13 @@ def _counted(requests: DataFrame, order: int, hot: list[_Hot]) -> DataFrame:
         counts = np.concatenate([p[2] for p in parts])
         del parts
         levels = _levels(columns)
-        marks, pad = _places(words, [PAD, *map(_start, range(1, order))]), _places(words, [PAD])
+        outside, pad = (np.flatnonzero(np.isin(words, m)) for m in (marks, marks[:1]))
         totals = [np.bincount(inverse, counts, len(last)).astype(np.int64) for _, last, inverse in levels]
         once, twice, told = [], [], []
-        prefix = words
+        prefix = hashes = _hashes(words)
         for k, (above, last, _) in enumerate(levels):
-            here = _mix(prefix[above], words[last])
-            usual = ~np.isin(last, marks)
+            here = _mix(prefix[above], hashes[last])
+            usual = ~np.isin(last, outside)
             split = hot[k + 1].place(here) >= 0 if k + 1 < len(hot) else np.zeros(len(here), bool)
             once.append(int((usual & ~split & (totals[k] == 1)).sum()))
             twice.append(int((usual & ~split & (totals[k] == 2)).sum()))
@@ -614,8 +672,7 @@ def _counted(requests: DataFrame, order: int, hot: list[_Hot]) -> DataFrame:
             both = np.flatnonzero(split)
             told += [here[both], at[above[both]].astype("<i8")]
             prefix = here
-        blob = zstandard.compress(_joined([words, *(x.astype("<u4") for above, last, _ in levels for x in (above, last)), totals[-1].astype("<u8")]), 1)
-        return pa.table({"shard": table.column("shard")[:1], "blob": pa.array([blob]), "once": pa.array([once], pa.list_(pa.int64())), "twice": pa.array([twice], pa.list_(pa.int64())), "told": pa.array([zstandard.compress(_joined(told), 1)])})
+        return pa.table({"shard": table.column("shard")[:1], "blob": pa.array([_packed_levels(words, levels, totals[-1])]), "once": pa.array([once], pa.list_(pa.int64())), "twice": pa.array([twice], pa.list_(pa.int64())), "told": pa.array([zstandard.compress(_joined(told), 1)])})
 
     return requests.groupBy("shard").applyInArrow(run, "shard int, blob binary, once array<bigint>, twice array<bigint>, told binary")
 
@@ -642,7 +699,7 @@ def _codes(chance: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-np.log10(np.maximum(chance, 1e-31)) * STEPS), NONE - 1).astype(np.uint16)
 
 
-def _tries(counted: DataFrame, order: int, hot: list[_Hot], kinds: list[np.ndarray], discounts: list[float]) -> DataFrame:
+def _tries(counted: DataFrame, order: int, hot: list[_Hot], kinds: list[np.ndarray], discounts: list[float], marks: np.ndarray) -> DataFrame:
     """(shard, blob): each shard's part of the trie.
 
     An n-gram seen c times, in a context seen C times with t followers, has the
@@ -652,14 +709,14 @@ def _tries(counted: DataFrame, order: int, hot: list[_Hot], kinds: list[np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            words, *arrays = _parted(np.frombuffer(zstandard.decompress(row["blob"]), np.uint8))
-            levels = [(arrays[2 * k].astype(np.int64), arrays[2 * k + 1].astype(np.int64)) for k in range(order - 1)]
-            totals, pad = [arrays[-1].astype(np.int64)], _places(words, [PAD])
+            words, levels, longest = _opened_levels(row["blob"])
+            totals, pad = [longest], np.flatnonzero(np.isin(words, marks[:1]))
             for above, _ in levels[:0:-1]:
                 totals.insert(0, np.bincount(above, totals[0]).astype(np.int64))
-            prefix, made, place = words, [], np.arange(len(words))
+            hashes = _hashes(words)
+            prefix, made, place = hashes, [], np.arange(len(words))
             for k, (above, last) in enumerate(levels):
-                here, c = _mix(prefix[above], words[last]), totals[k]
+                here, c = _mix(prefix[above], hashes[last]), totals[k]
                 inner = ~np.isin(last, pad)
                 sums = np.bincount(above[inner], c[inner], len(prefix)).astype(np.int64)
                 t = np.bincount(above[inner], minlength=len(prefix)).astype(np.int64)
@@ -674,8 +731,9 @@ def _tries(counted: DataFrame, order: int, hot: list[_Hot], kinds: list[np.ndarr
                 made.append((place[above[inner]], last[inner], _codes((c - discounts[k])[inner] / np.maximum(sums[above[inner]], 1)), back[place >= 0]))
                 prefix, place = here, np.where(inner, new, -1)
             first = made[0]
-            trie = Trie(None, len(words), *first[:3], words, first[3], tuple(made[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([trie.blob.tobytes()], pa.binary())], ["shard", "blob"])
+            trie = Trie(None, len(words), *first[:3], np.empty(0, np.int64), first[3], tuple(made[1:]))
+            blob = zstandard.compress(_joined([np.array([len(words)], "<i8"), _ascending(words), trie.blob]), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
 
     return counted.select("shard", "blob").mapInArrow(run, "shard int, blob binary")
 
@@ -688,26 +746,29 @@ def _answers(requests: DataFrame, tries: DataFrame, order: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         chunk, blobs = table.column("chunk").to_pylist(), table.column("blob")
         model = [i for i, c in enumerate(chunk) if c < 0]
-        trie = Trie.opened(blobs[model[0]].as_py()) if model else None
+        trie = None
+        if model:
+            n, packed, levels = _parted(np.frombuffer(zstandard.decompress(blobs[model[0]].as_py()), np.uint8))
+            words, trie = _from_ascending(packed, int(n[0])), Trie.opened(levels)
         out = []
         for i, c in enumerate(chunk):
             if c < 0:
                 continue
-            hashes, columns, _ = _opened(blobs[i].as_py(), order)
+            asked, columns, _ = _opened(blobs[i].as_py(), order)
             levels = _levels(columns)
             if trie is None:
-                out.append(zstandard.compress(_joined([np.zeros(len(hashes), "<u2"), *(x for _, last, _ in levels for x in (np.full(len(last), NONE, "<u2"), np.zeros(len(last), "<u2")))]), 1))
+                out.append(zstandard.compress(_joined([_planes(np.zeros(len(asked), "<u2")), *(_planes(x) for _, last, _ in levels for x in (np.full(len(last), NONE, "<u2"), np.zeros(len(last), "<u2")))]), 1))
                 continue
-            at = np.minimum(np.searchsorted(trie.unigram, hashes), max(len(trie.unigram) - 1, 0))
-            number = np.where(trie.unigram[at] == hashes, at, -1)
+            at = np.minimum(np.searchsorted(words, asked), max(len(words) - 1, 0))
+            number = np.where(words[at] == asked, at, -1)
             codes, above = [_coded(trie.levels[0].back_off, number, 0)], number
             for k, (prefix, last, _) in enumerate(levels):
                 level = trie.levels[k]
-                # Contexts ascend here as they do in the trie, since hashes and numbers do.
+                # Contexts ascend here as they do in the trie, since numbers and places do.
                 found = level.find(above[prefix], number[last])
                 codes += [_coded(level.codes, found, NONE), _coded(trie.levels[k + 1].back_off, found, 0) if k + 1 < len(trie.levels) else np.zeros(0, "<u2")]
                 above = found
-            out.append(zstandard.compress(_joined(codes), 1))
+            out.append(zstandard.compress(_joined(list(map(_planes, codes))), 1))
         if trie is not None:
             trie.close()
         asks = [c for c in chunk if c >= 0]
@@ -748,56 +809,62 @@ def score(df: DataFrame, train: Column, text: str = "text", keep: list[str] | No
     n_all, n, n_texts = map(int, sums)
     bits = max(0, math.ceil(math.log2(max(1, n_all) / SHARD_TOKENS)))
     most = max(1.0, n / (1 << bits))
-    words = materialize(_word_totals(_word_requests(chunks, bits), most), "lm-words")
-    told = words.where("chunk = -1").select("words", "totals", "n").collect()  # a row for each shard, fewer hot words than shards
-    v = sum(r["n"] for r in told)
-    heavy = [(h, c) for r in told for h, c in zip(np.frombuffer(r["words"], np.uint64).tolist(), np.frombuffer(r["totals"], np.int64).tolist())]
-    heavy += [(xxhash.xxh64_intdigest(_start(k)), n_texts) for k in range(1, order) if n_texts > most]
-    hot = [_Hot([(h, _split_bits(c, n, bits), c) for h, c in heavy] if bits else [])]
+    names_of_marks = [PAD, *map(_start, range(1, order))]
+    words = materialize(_word_totals(_word_requests(chunks, bits), most, names_of_marks), "lm-words")
+    told = words.where("chunk = -1").select("shard", "words", "trained", "totals").collect()  # a row for each shard, fewer hot words than shards
+    v, width = sum(r["trained"] for r in told), max((r["words"] for r in told), default=0)
+    marks, heavy = np.full(order, -1), []
+    for r in told:
+        hot_places, totals, places = _parted(np.frombuffer(r["totals"], np.uint8))
+        heavy += zip((r["shard"] * width + hot_places).tolist(), totals.tolist())
+        marks = np.where(places >= 0, r["shard"] * width + places, marks)
+    heavy += [(k, n_texts) for k in marks[1:].tolist() if n_texts > most]
+    numbered = materialize(_numbered(chunks, words, width), "lm-numbered")
+    release(chunks)
+    release(words)
+    hot = [_Hot([(h, _split_bits(c, n, bits), c) for h, (_, c) in zip(_hashes(np.array([k for k, _ in heavy], np.int64)).tolist(), heavy)] if bits else [])]
     for _ in range(2, order):
-        hot.append(_hot_prefixes(chunks, hot, most, bits, n, order) if len(hot[-1].hashes) else _Hot([]))
-    counted = materialize(_counted(_requests(chunks, bits, hot, order, True), order, hot), "lm-counts")
+        hot.append(_hot_prefixes(numbered, hot, most, bits, n, order, marks) if len(hot[-1].hashes) else _Hot([]))
+    counted = materialize(_counted(_requests(numbered, bits, hot, order, marks, True), order, hot, marks), "lm-counts")
     ends = counted.select(*[F.sum(F.col(c)[k]) for c in ("once", "twice") for k in range(order - 1)]).first()
     discounts = [a / (a + 2 * b) if a and b else 0.5 for a, b in zip(ends[: order - 1], ends[order - 1 :])]
-    tries = materialize(_tries(counted, order, hot, _kinds(counted, hot), discounts), "lm-trie")
+    tries = materialize(_tries(counted, order, hot, _kinds(counted, hot), discounts, marks), "lm-trie")
     release(counted)
-    answers = materialize(_answers(_requests(chunks, bits, hot, order, False), tries, order), "lm-answers")
     none = F.lit(None).cast("binary")
-    parts = (
-        chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("shard"), F.col("hashes").alias("a"), F.col("ids").alias("b"), F.col("lengths").alias("c"), F.col("kept").alias("d"))
-        .unionByName(words.where("chunk >= 0").select("chunk", F.lit(1).alias("kind"), "shard", F.col("totals").alias("a"), none.alias("b"), none.alias("c"), none.alias("d")))
-        .unionByName(answers.select("chunk", F.lit(2).alias("kind"), "shard", F.col("blob").alias("a"), none.alias("b"), none.alias("c"), none.alias("d")))
-    )
+    parts = numbered.select("chunk", F.lit(-1).alias("shard"), "words", "numbers", "totals", "ids", "lengths", "kept")
+    rounds = min(ROUNDS, 1 << bits)
+    for turn in range(rounds):
+        asked = _requests(numbered, bits, hot, order, marks, False, turn, rounds)
+        answers = materialize(_answers(asked, tries.where(F.col("shard") % rounds == turn), order), "lm-answers")
+        parts = parts.unionByName(answers.select("chunk", "shard", F.lit(0).cast("bigint").alias("words"), F.col("blob").alias("numbers"), *[none.alias(c) for c in ("totals", "ids", "lengths", "kept")]))
+    release(tries)
     names = schema.names
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["kind", "shard", "a", "b", "c", "d"]).to_pylist(), key=lambda r: (r["kind"], r["shard"]))
-        own = rows[0]
-        hashes, ids, lengths = np.frombuffer(own["a"], np.uint64), _unpack(own["b"], "<u4"), _unpack(own["c"], "<u4")
-        c_word = np.concatenate([_unpack(r["a"], "<i8") for r in rows if r["kind"] == 1])
-        texts = _Texts(hashes, ids, lengths, order)
+        own, *rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
+        numbers, texts = _texts_of(own, order, marks)
+        ids, lengths = _unpack(own["ids"], "<u4"), _unpack(own["lengths"], "<u4")
+        c_word, hashes = _from_planes(_unpack(own["totals"], "u1"), own["words"]), _hashes(numbers)
         nodes = texts.nodes()
         columns = _leaves(nodes)
         shards = _shards([hashes[c] for c in columns], bits, hot)
         codes = [np.full(len(last), NONE, np.uint16) for _, last, _ in nodes]
-        backs = [np.zeros(len(hashes), np.uint16), *(np.zeros(len(last), np.uint16) for _, last, _ in nodes[:-1])]
+        backs = [np.zeros(len(numbers), np.uint16), *(np.zeros(len(last), np.uint16) for _, last, _ in nodes[:-1])]
         by = np.argsort(shards, kind="stable")
         for r in rows:
-            if r["kind"] < 2:
-                continue
             some = by[np.searchsorted(shards[by], r["shard"]) : np.searchsorted(shards[by], r["shard"], side="right")]
-            got = _parted(np.frombuffer(zstandard.decompress(r["a"]), np.uint8))
+            got = _parted(np.frombuffer(zstandard.decompress(r["numbers"]), np.uint8))
             asked = np.unique(np.concatenate([c[some] for c in columns]))
             first = np.isin(asked, columns[0][some])
-            backs[0][asked[first]] = got[0][first]
+            backs[0][asked[first]] = _from_planes(got[0], len(asked))[first]
             at, held = some, [some]
             for prefix, _, _ in nodes[:0:-1]:
                 at = np.unique(prefix[at])
                 held.insert(0, at)
             for k, at in enumerate(held):
-                codes[k][at] = got[1 + 2 * k]
+                codes[k][at] = _from_planes(got[1 + 2 * k], len(at))
                 if k + 1 < len(backs):
-                    backs[k + 1][at] = got[2 + 2 * k]
+                    backs[k + 1][at] = _from_planes(got[2 + 2 * k], len(at))
         uni = (c_word + 1) / (n + v + 1)
         grams, chance = texts.gram_at(), uni[ids]
         for k in range(order - 1):
@@ -807,7 +874,7 @@ def score(df: DataFrame, train: Column, text: str = "text", keep: list[str] | No
         begins = np.cumsum(lengths.astype(np.int64)) - lengths
         base = np.add.reduceat(np.log10(uni)[ids], begins)
         seen = np.add.reduceat((c_word > 0).astype(np.int64)[ids], begins)
-        kept = pa.ipc.open_stream(zstandard.decompress(own["d"])).read_all()
+        kept = pa.ipc.open_stream(zstandard.decompress(own["kept"])).read_all()
         made = [pa.array(lengths.astype(np.int64)), pa.array(seen), pa.array(np.full(len(lengths), n)), pa.array(base), pa.array(np.add.reduceat(np.log10(chance), begins))]
         return pa.Table.from_arrays([*kept.columns, *made], names=names)
 
