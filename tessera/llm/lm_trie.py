@@ -115,16 +115,22 @@ def _from_ascending(p: np.ndarray, n: int) -> np.ndarray:
 _BYTES = np.arange(256, dtype=np.uint8)
 #: Place of the k-th bit that is set in a byte.
 _NTH = np.argsort(1 - np.unpackbits(_BYTES[:, None], axis=1, bitorder="little"), axis=1, kind="stable").astype(np.uint8)
+#: A 1 in every byte of a word.
+_ONES = np.uint64(0x0101010101010101)
 
 
 def _nth_bit(words: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Place of the n-th set bit, from 0, of each 64-bit word."""
-    by = words.view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(np.bitwise_count(by), axis=1, dtype=np.int8)
-    at = np.minimum((upto <= n[:, None]).sum(axis=1), 7)
-    row = np.arange(len(words))
-    before = np.where(at > 0, upto[row, at - 1], 0)
-    return 8 * at + _NTH[by[row, at], np.clip(n - before, 0, 7)]
+    n = n.astype(np.uint64)
+    # Set bits of each byte, then of all bytes up to it.
+    upto = words - (words >> np.uint64(1) & np.uint64(0x55) * _ONES)
+    upto = (upto & np.uint64(0x33) * _ONES) + (upto >> np.uint64(2) & np.uint64(0x33) * _ONES)
+    upto = (upto + (upto >> np.uint64(4)) & np.uint64(0x0F) * _ONES) * _ONES
+    # The top bit of each byte whose sum is at most n.
+    passed = (n * _ONES | np.uint64(0x80) * _ONES) - upto & np.uint64(0x80) * _ONES
+    bit = np.minimum(np.bitwise_count(passed), 7).astype(np.uint64) << np.uint64(3)
+    rest = n - (upto << np.uint64(8) >> bit & np.uint64(0xFF))
+    return bit.astype(np.int64) + _NTH[words >> bit & np.uint64(0xFF), np.minimum(rest, np.uint64(7))]
 
 
 class EliasFano:
@@ -408,14 +414,41 @@ class _Texts:
         return _runs(np.cumsum(self.grams) - self.grams, self.lengths)
 
     def nodes(self, only: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length from 2: prefix and last word of the distinct n-grams, ascending,
-        and the number of each n-gram among them. A prefix is a number of the length before."""
+        """`_levels` of the n-grams that begin at all places, or at some."""
         begins = self.begins if only is None else self.begins[only]
-        above, out = self.words[begins].astype(np.int64), []
-        for k in range(1, self.order):
-            found, above = np.unique(above << 32 | self.words[begins + k].astype(np.int64), return_inverse=True)
+        return _levels([self.words[begins + k].astype(np.int64) for k in range(self.order)])
+
+
+def _levels(columns: list[np.ndarray], ascending: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 2: prefix and last word of the distinct n-grams, ascending,
+    and the number of each n-gram among them. A prefix is a number of the length before.
+
+    The n-grams come column by column; `ascending` tells that they are sorted.
+    """
+    bits = max(max(int(c.max(initial=0)) for c in columns).bit_length(), 1)
+    above, out = columns[0], []
+    if bits * len(columns) > 63:  # too wide for one sort of whole n-grams
+        for c in columns[1:]:
+            found, above = np.unique(above << 32 | c, return_inverse=True)
             out.append((found >> 32, found & 0xFFFFFFFF, above))
         return out
+    key = above
+    for c in columns[1:]:
+        key = key << bits | c
+    by = None if ascending else np.argsort(key)
+    key = key if ascending else key[by]
+    above = key >> bits * (len(columns) - 1)
+    for k in range(len(columns) - 2, -1, -1):
+        here = key >> bits * k
+        new = np.ones(len(here), bool)
+        new[1:] = here[1:] != here[:-1]
+        prefix, last, above = above[new], here[new] & ((1 << bits) - 1), np.cumsum(new) - 1
+        number = above
+        if by is not None:
+            number = np.empty(len(by), np.int64)
+            number[by] = above
+        out.append((prefix, last, number))
+    return out
 
 
 def _runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -451,6 +484,12 @@ def _top(hashes: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
     return (hashes >> np.uint64(1) >> (np.uint64(63) - np.asarray(bits).astype(np.uint64))).astype(np.int64)
 
 
+def _by_shard(shards: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams by shard, in their order within each, and where each shard begins among them and ends."""
+    by = np.argsort(shards.astype(np.min_scalar_type((1 << bits) - 1)), kind="stable")
+    return by, np.concatenate(([0], np.cumsum(np.bincount(shards, minlength=1 << bits))))
+
+
 class _Hot:
     """Prefixes of one length that hold more than a shard's share: hash, bits to split by, tokens."""
 
@@ -597,14 +636,18 @@ def _requests(chunks: DataFrame, bits: int, hot: list[_Hot], order: int, marks:
             columns = _leaves(nodes)
             counts = np.bincount(nodes[-1][2], minlength=len(columns[0])) if training else None
             shards = _shards([hashes[c] for c in columns], bits, hot)
-            by = np.argsort(shards, kind="stable")
-            edges = np.searchsorted(shards[by], np.arange((1 << bits) + 1))
+            by, edges = _by_shard(shards, bits)
+            place, met = np.empty(len(numbers), np.int64), np.zeros(len(numbers), bool)
             for s in np.flatnonzero(np.diff(edges)).tolist():
                 if s % rounds != turn:
                     continue
                 some = by[edges[s] : edges[s + 1]]
-                words, inverse = np.unique(np.concatenate([c[some] for c in columns]), return_inverse=True)
-                first, *others = inverse.reshape(order, -1)
+                own = [c[some] for c in columns]
+                for c in own:
+                    met[c] = True
+                words = np.flatnonzero(met)
+                met[words], place[words] = False, np.arange(len(words))
+                first, *others = [place[c] for c in own]
                 blob = zstandard.compress(_joined([np.array([len(words), len(some)], "<i8"), _ascending(numbers[words]), _ascending(first), *map(_planes, others), *([_planes(counts[some])] if training else [])]), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((s, pa.int32()), (row["chunk"], pa.int64()), (blob, pa.binary()))], ["shard", "chunk", "blob"])
 
@@ -619,15 +662,6 @@ def _opened(blob: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray], np.n
     return _from_ascending(words, words_n), found[:order], found[order] if len(found) > order else None
 
 
-def _levels(columns: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Like `_Texts.nodes`, for n-grams given as columns of word numbers."""
-    above, out = columns[0], []
-    for c in columns[1:]:
-        found, above = np.unique(above << 32 | c, return_inverse=True)
-        out.append((found >> 32, found & 0xFFFFFFFF, above))
-    return out
-
-
 def _packed_levels(words: np.ndarray, levels: list, totals: np.ndarray) -> bytes:
     """Words, the prefixes and last words of each length, and the totals of the longest n-grams."""
     sizes = np.array([len(words), *(len(last) for _, last, *_ in levels)], "<i8")
@@ -755,7 +789,7 @@ def _answers(requests: DataFrame, tries: DataFrame, order: int) -> DataFrame:
             if c < 0:
                 continue
             asked, columns, _ = _opened(blobs[i].as_py(), order)
-            levels = _levels(columns)
+            levels = _levels(columns, ascending=True)
             if trie is None:
                 out.append(zstandard.compress(_joined([_planes(np.zeros(len(asked), "<u2")), *(_planes(x) for _, last, _ in levels for x in (np.full(len(last), NONE, "<u2"), np.zeros(len(last), "<u2")))]), 1))
                 continue
@@ -850,16 +884,22 @@ def score(df: DataFrame, train: Column, text: str = "text", keep: list[str] | No
         shards = _shards([hashes[c] for c in columns], bits, hot)
         codes = [np.full(len(last), NONE, np.uint16) for _, last, _ in nodes]
         backs = [np.zeros(len(numbers), np.uint16), *(np.zeros(len(last), np.uint16) for _, last, _ in nodes[:-1])]
-        by = np.argsort(shards, kind="stable")
+        by, edges = _by_shard(shards, bits)
+        met, leads = np.zeros(len(numbers), bool), np.zeros(len(numbers), bool)
         for r in rows:
-            some = by[np.searchsorted(shards[by], r["shard"]) : np.searchsorted(shards[by], r["shard"], side="right")]
+            some = by[edges[r["shard"]] : edges[r["shard"] + 1]]
             got = _parted(np.frombuffer(zstandard.decompress(r["numbers"]), np.uint8))
-            asked = np.unique(np.concatenate([c[some] for c in columns]))
-            first = np.isin(asked, columns[0][some])
+            for c in columns:
+                met[c[some]] = True
+            leads[columns[0][some]] = True
+            asked = np.flatnonzero(met)
+            first = leads[asked]
             backs[0][asked[first]] = _from_planes(got[0], len(asked))[first]
+            met[asked] = leads[asked] = False
             at, held = some, [some]
             for prefix, _, _ in nodes[:0:-1]:
-                at = np.unique(prefix[at])
+                at = prefix[at]  # ascending as the n-grams are
+                at = at[np.append(True, at[1:] != at[:-1])]
                 held.insert(0, at)
             for k, at in enumerate(held):
                 codes[k][at] = _from_planes(got[1 + 2 * k], len(at))
