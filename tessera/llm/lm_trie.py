@@ -185,6 +185,20 @@ class EliasFano:
         up = 64 * word + _nth_bit(self.high[word], at - self.ones[word]) - at
         return (up << self.low_bits) | self._low(at)
 
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at some places and at the places after them."""
+        word = np.searchsorted(self.ones, at, side="right") - 1
+        bits = self.high[word]
+        bit = _nth_bit(bits, at - self.ones[word])
+        first = ((64 * word + bit - at) << self.low_bits) | self._low(at)
+        # The next set bit is mostly one of the same word.
+        rest = bits >> np.uint64(1) >> bit.astype(np.uint64)
+        place = 64 * word + bit + 1 + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+        second = ((place - at - 1) << self.low_bits) | self._low(at + 1)
+        other = np.flatnonzero(rest == 0)
+        second[other] = self.read(at[other] + 1)
+        return first, second
+
     def decode(self) -> np.ndarray:
         """All values."""
         return self.read(np.arange(self.n))
@@ -201,20 +215,28 @@ class EliasFano:
         up = values >> self.low_bits
         inside = (up <= ((self.high.size * 64 - self.n) - 1)) & (values >= 0)
         up = np.where(inside, up, 0)
-        lo, hi = self._below(up), np.minimum(self._below(up + 1), self.n)
-        end, rest = hi.copy(), values & ((1 << self.low_bits) - 1)
-        # The successor among the values of one high part, by halving.
-        going = np.flatnonzero(inside & (lo < hi))
+        lo, rest = self._below(up), values & ((1 << self.low_bits) - 1)
+        # The first value of this high part, if any, has its bit next.
+        place = lo + up
+        inside &= (lo < self.n) & (self.high[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) > 0)
+        out = np.full(len(values), -1)
+        at = np.flatnonzero(inside)
+        low = self._low(lo[at])
+        same = at[low == rest[at]]
+        out[same] = lo[same]
+        # Elsewhere the successor among the values of the high part, by halving.
+        at = at[low < rest[at]]
+        lo, rest, end = lo[at] + 1, rest[at], self._below(up[at] + 1)
+        hi, going = end.copy(), np.flatnonzero(lo < end)
         while len(going):
             mid = (lo[going] + hi[going]) >> 1
             less = self._low(mid) < rest[going]
             lo[going] = np.where(less, mid + 1, lo[going])
             hi[going] = np.where(less, hi[going], mid)
             going = going[lo[going] < hi[going]]
-        out = np.full(len(values), -1)
-        at = np.flatnonzero(inside & (lo < end))
-        same = at[self._low(lo[at]) == rest[at]]
-        out[same] = lo[same]
+        there = np.flatnonzero(lo < end)
+        there = there[self._low(lo[there]) == rest[there]]
+        out[at[there]] = lo[there]
         return out
 
 
@@ -255,7 +277,7 @@ class Level:
             return out
         one = contexts[asked]
         new = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
-        lo, hi = self.pointers.read(one[new]), self.pointers.read(one[new] + 1)
+        lo, hi = self.pointers.pairs(one[new])
         base = np.where(lo > 0, self.followers.read(np.maximum(lo, 1) - 1), 0)
         lo, hi, base = (np.repeat(x, np.diff(np.append(new, len(one)))) for x in (lo, hi, base))
         at = self.followers.find(words[asked] + 1 + base)
