@@ -654,6 +654,8 @@ def _requests(chunks: DataFrame, bits: int, hot: list[_Hot], order: int, marks:
             numbers, texts = _texts_of(row, order, marks)
             hashes = _hashes(numbers)
             only = np.repeat(_unpack(row["train"], "u1").astype(bool), texts.grams) if training else None
+            if rounds > 1:  # n-grams of other rounds need no sorting
+                only = _shards([hashes[texts.words[texts.begins + k]] for k in range(order)], bits, hot) % rounds == turn
             nodes = texts.nodes(only)
             columns = _leaves(nodes)
             counts = np.bincount(nodes[-1][2], minlength=len(columns[0])) if training else None
@@ -661,8 +663,6 @@ def _requests(chunks: DataFrame, bits: int, hot: list[_Hot], order: int, marks:
             by, edges = _by_shard(shards, bits)
             place, met = np.empty(len(numbers), np.int64), np.zeros(len(numbers), bool)
             for s in np.flatnonzero(np.diff(edges)).tolist():
-                if s % rounds != turn:
-                    continue
                 some = by[edges[s] : edges[s + 1]]
                 own = [c[some] for c in columns]
                 for c in own:
