@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 #: Entries that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 
@@ -249,16 +251,9 @@ class WordEndBPE:
         return " ".join([tokens[i] for i in ids if i in tokens])
 
 
-_LOADED: dict[str, WordEndBPE] = {}
-
-
 def _loaded(source: str) -> WordEndBPE:
     """One encoder for each tokenizer and Python worker."""
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordEndBPE(source)
-    return _LOADED[key]
+    return kept(f"bpe-{hashlib.sha256(source.encode()).hexdigest()}", lambda: WordEndBPE(source))
 
 
 def _mapped(df: DataFrame, path: str, column: str, keep: list[str] | None, extra: dict[str, str], one) -> DataFrame:

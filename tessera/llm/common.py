@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,3 +113,34 @@ def clear() -> None:
             _delete(*_WRITTEN.pop())
         except Exception:  # noqa: BLE001  the session may be gone by now
             return
+
+
+_KEPT: dict[str, Any] = {}
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """What `make` gives, kept in this Python worker for its next tasks, in place of all that was kept before."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Let go of what earlier tasks kept in this Python worker.
+
+    Spark hands workers on from one query to the next, so a task that needs
+    much memory of its own asks for this first.
+    """
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        return

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import FEW_PARTITIONS, materialize
+from .common import FEW_PARTITIONS, forget, give_back, materialize
 
 #: Labelled rows fitted on at most, neighbours asked, examples in a block.
 EXAMPLES, NEIGHBOURS, BLOCK = 10_000, 15, 64
@@ -42,8 +42,8 @@ THRESHOLD = 0.7
 RELEVANCE = 1.5
 #: Added to a distance before its inverse is taken as weight.
 SOFT = 0.05
-#: Texts scored together.
-TOGETHER = 64
+#: Texts scored together, and rows taken from a batch at once.
+TOGETHER, ROWS = 64, 512
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -83,7 +83,7 @@ class BlockMaxIndex:
         rows = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         held = np.bincount(terms, minlength=n)
         # Examples whose heaviest common term is the same share blocks, which keeps bounds tight.
-        usual = held[terms] * COMMON > self.n
+        usual = (held * COMMON > self.n)[terms]
         first = np.full(self.n, -1, np.int64)
         order = np.argsort(weights[usual], kind="stable")
         first[rows[usual][order]] = terms[usual][order]
@@ -174,17 +174,25 @@ class Examples:
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        weights = (1 + np.log(self.counts, dtype=np.float64)) * self.weights[self.numbers]
+        """Made once, after which the counts of each example are let go."""
+        weights = np.log(self.counts, dtype=np.float64)
+        weights += 1
+        weights *= self.weights[self.numbers]
         # The length of each vector; an example without terms has none.
         ends = np.cumsum(self.sizes)
         full = self.sizes > 0
         norms = np.ones(len(self.sizes))
         norms[full] = np.sqrt(np.add.reduceat(weights * weights, (ends - self.sizes)[full])) if full.any() else 1.0
         weights /= np.repeat(norms, self.sizes)
-        return BlockMaxIndex.of(len(self.terms), self.sizes, self.numbers, weights)
+        index = BlockMaxIndex.of(len(self.terms), self.sizes, self.numbers, weights)
+        del weights, self.numbers, self.counts
+        give_back()
+        return index
 
     def neighbours(self, texts: list[str | None], without: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
         """The nearest examples of each text, of which example `without` is not one."""
+        if "index" not in vars(self):
+            forget()
         for at in range(0, len(texts), TOGETHER):
             vectors = [vector(t, self.terms, self.weights) for t in texts[at : at + TOGETHER]]
             yield from self.index.nearest_of_each(vectors, NEIGHBOURS, without and without[at : at + TOGETHER])
@@ -285,6 +293,12 @@ def without_copies(rows: pa.Table) -> pa.Table:
     return rows.take(pa.array(kept, pa.int64()))
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, a few at a time, so that texts never pile up as Python objects."""
+    for batch in batches:
+        yield from (batch.slice(at, ROWS) for at in range(0, max(batch.num_rows, 1), ROWS))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Model:
     """Fit on labelled rows that are not held out, at most `examples` of them.
 
@@ -328,6 +342,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     n1 = np.bincount(at, np.repeat(marks, sizes), len(known)).astype(np.int64)
     examples = Examples(known, np.bincount(at, minlength=len(known)) - n1, n1, ids, marks, at, counted, sizes)
     sent = docs.sparkSession.sparkContext.broadcast(examples)  # bounded by the parameter
+    del every, counted, at, examples
+    give_back()
     model = Model(sent, marks, np.array([0.0, 1.0]), np.array([0.0, 1.0]), float(ones > 0))
     if not ones or ones == rows:
         return model
@@ -335,7 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each example's vote by the others, null without a neighbour."""
         m = sent.value
-        for batch in batches:
+        for batch in few_rows(batches):
             near = m.neighbours(batch.column(1).to_pylist(), batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([vote(n, m.labels) if n else None for n in near], pa.float64())], ["y", "vote"])
 
@@ -366,7 +382,7 @@ def classify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.sent.value
-        for batch in batches:
+        for batch in few_rows(batches):
             near = list(m.neighbours(batch.column(len(keep)).to_pylist()))
             scores = [model.score(n) for n in near]
             shown = [[{"id": str(m.ids[i]), "label": int(m.labels[i]), "similarity": s} for s, i in n] for n in near]
@@ -382,7 +398,7 @@ def reject(df: DataFrame, model: Model, text: str = "text", threshold: float = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.sent.value
-        for batch in batches:
+        for batch in few_rows(batches):
             scores = [model.score(n) for n in m.neighbours(batch.column(where).to_pylist())]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 

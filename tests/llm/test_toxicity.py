@@ -9,6 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import common
+from tessera.llm.toxicity import ROWS, Examples, few_rows
 from tessera.llm.toxicity import EXAMPLES, NEIGHBOURS, RELEVANCE, BlockMaxIndex, classify, fit, held_out, isotonic, reject, unit, without_copies
 
 from .corpus import frame, text
@@ -145,3 +147,21 @@ def test_scores_against_brute_force(spark):
     for i, want in enumerate(brute_scores(texts, marks, train)):
         assert got[i] == pytest.approx(want, abs=1e-9)
     assert got[130] < 0.5
+
+
+def test_a_worker_lets_go_of_what_it_does_not_need():
+    common.kept("other", lambda: [0])
+    ids = np.arange(2)
+    examples = Examples(np.arange(3, dtype=np.uint64), np.ones(3, np.int64), np.zeros(3, np.int64), [1, 2], ids, np.array([0, 1, 1, 2]), np.ones(4, np.int64), np.full(2, 2))
+    list(examples.neighbours(["a", None]))
+    assert not common._KEPT and not {"numbers", "counts"} & vars(examples).keys()
+    common.kept("one", lambda: [1])
+    assert common.kept("two", lambda: [2]) == [2] and list(common._KEPT) == ["two"]
+    common.forget()
+
+
+def test_rows_come_a_few_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"x": list(range(2 * ROWS + 3))})
+    got = list(few_rows(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in got] == [ROWS, ROWS, 3, 0]
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(2 * ROWS + 3))
