@@ -1,19 +1,28 @@
-"""Near copies by the exact Jaccard similarity of their word shingles.
-
-1. Texts of equal shingle sets collapse, so copies never meet each other.
-2. Two sets of similarity t share one of the first s - ceil(t s) + 1 shingles
+"""Near copies: SimHash links, verified by the exact Jaccard similarity of word shingles, and an exact join for the rest.
+
+1. Texts of equal shingle sets collapse, so copies never meet each other. Each
+   set has a 64-bit SimHash fingerprint.
+2. Fingerprints within `RADIUS` bits are found by the generalised pigeonhole
+   search of `simhash`. Inside each component of these links the similarity
+   is computed in full, and the pairs that reach it make the first groups.
+   No radius holds every similar pair: of the pairs of similarity 0.8 in sf0.1,
+   4 bits hold 2 %, 11 bits 81 %, 14 bits all, but that many also let in
+   chance pairs without bound as tables grow.
+3. So an exact join finds the links that are left between different groups.
+   Two sets of similarity t share one of the first s - ceil(t s) + 1 shingles
    of either, s its size, in any one order of all shingles. So these prefixes
-   are the keys of buckets. Shingles that are frequent in a sample come last
-   in the order, which steers cost only.
+   are the keys of buckets, of which those inside one group are passed over.
+   Shingles that are frequent in a sample come last in the order, which steers
+   cost only.
    Large sets are dealt by hash into parts first: two similar sets are as
    similar as a whole in one part at least, so the same search runs on parts.
-3. In a bucket, pairs whose sizes or parity bitmaps rule the similarity out are
+4. In a bucket, pairs whose sizes or parity bitmaps rule the similarity out are
    passed over: bitmaps of two sets differ in at most as many bits as the sets
    have elements of their own. The other pairs are candidates, of which each
    task gives out a spanning forest.
-4. Inside each component of the candidates the similarity is computed in full,
-   and the pairs that reach it make the groups. Large components are dealt
-   into blocks, and each pair of blocks is a task's work.
+5. The components of the candidates that reach into several groups are verified
+   like those of the fingerprints. Large components are dealt into blocks, and
+   each pair of blocks is a task's work.
 
 No step leaves a similar pair out or lets one in that is not similar.
 """
@@ -30,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release
-from .simhash import Forest, components, shingle_hashes, text_words
+from .simhash import Forest, components, majority, search, shingle_hashes, text_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
+#: Bits in which the fingerprints of a SimHash link differ at most; what lies further apart is left to the exact join.
+RADIUS = 11
 #: Bits of a parity bitmap, and elements of a part beyond which a set is dealt into twice as many.
 PARITY, PART = 1024, 1024
 #: One text in so many is sampled for frequent shingles; from so many texts on a shingle is frequent, and at most so many are.
@@ -118,12 +129,12 @@ def parts(own: np.ndarray, similarity: float = SIMILARITY) -> Iterator[tuple[int
 
 
 def _profiles(texts: DataFrame, late: np.ndarray, k: int, similarity: float, seed: int) -> DataFrame:
-    """(id, h, key, total, unit, size, bits, tokens): the set's hash and size, and for each part its size, bitmap and prefix.
+    """(id, h, key, fp, total, unit, size, bits, tokens): the set's hash, fingerprint and size, and for each part its size, bitmap and prefix.
 
     Every row of `texts` has one row of unit 0. Parts have their numbers as
     units, and a set that repeats in a task gives them once.
     """
-    schema = texts.select("id", "h", F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("total"), F.lit(0).alias("unit"), F.lit(0).alias("size"), F.lit(b"").alias("bits"), F.array().cast("array<bigint>").alias("tokens")).schema
+    schema = texts.select("id", "h", F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("fp"), F.lit(0).alias("total"), F.lit(0).alias("unit"), F.lit(0).alias("size"), F.lit(b"").alias("bits"), F.array().cast("array<bigint>").alias("tokens")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -132,33 +143,34 @@ def _profiles(texts: DataFrame, late: np.ndarray, k: int, similarity: float, see
             for at, x in enumerate(batch.column(2)):
                 own = shingles(x.as_py(), k, seed)
                 key = set_key(own)
-                rows.append((at, key, len(own), 0, 0, b"", np.empty(0, np.int64)))
+                rows.append((at, key, majority(own), len(own), 0, 0, b"", np.empty(0, np.int64)))
                 if key not in seen:
                     seen.add(key)
-                    rows += [(at, key, len(own), unit, len(some), parity(some).tobytes(), (prefix(some, late, similarity) ^ salt).view(np.int64)) for unit, some, salt in parts(own, similarity)]
+                    rows += [(at, key, 0, len(own), unit, len(some), parity(some).tobytes(), (prefix(some, late, similarity) ^ salt).view(np.int64)) for unit, some, salt in parts(own, similarity)]
             if not rows:
                 continue
-            at, keys, totals, units, sizes, bits, tokens = zip(*rows)
+            at, keys, fps, totals, units, sizes, bits, tokens = zip(*rows)
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, tokens)]).astype(np.int32), pa.array(np.concatenate(tokens)))
             ids = [batch.column(i).take(pa.array(at)) for i in (0, 1)]
-            columns = [*ids, pa.array(keys, pa.int64()), *[pa.array(c, pa.int32()) for c in (totals, units, sizes)], pa.array(bits, pa.binary()), lists]
+            columns = [*ids, pa.array(keys, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), *[pa.array(c, pa.int32()) for c in (totals, units, sizes)], pa.array(bits, pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return texts.select("id", "h", "text").mapInArrow(run, schema)
 
 
 def shared(entries: DataFrame) -> DataFrame:
-    """The distinct rows of `entries` (token, key, unit) whose token has several keys."""
+    """The distinct rows (token, key, unit) of `entries` (token, key, unit, known) whose token has several values of `known`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
 
-        def several(tokens: np.ndarray, keys: np.ndarray, units: np.ndarray) -> pa.RecordBatch:
+        def several(tokens: np.ndarray, keys: np.ndarray, units: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
             """Rows of whole tokens."""
             new = np.concatenate(([True], (np.diff(tokens) != 0) | (np.diff(keys) != 0)))
-            tokens, keys, units = tokens[new], keys[new], units[new]
-            same = np.diff(tokens) == 0
-            many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            tokens, keys, units, known = tokens[new], keys[new], units[new], known[new]
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(tokens) != 0)))
+            apart = np.minimum.reduceat(known, starts) != np.maximum.reduceat(known, starts)
+            many = np.repeat(apart, np.diff(np.append(starts, len(tokens))))
             return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (tokens, keys, units)], ["token", "key", "unit"])
 
         for batch in batches:
@@ -259,9 +271,22 @@ def similar_links(keys: np.ndarray, sets: list[np.ndarray], similarity: float =
     return forest.edges()
 
 
-def verified(texts: DataFrame, own: DataFrame, near: DataFrame, k: int, similarity: float, seed: int) -> DataFrame:
-    """(a, b): links of sets that reach the similarity inside the components `near` of candidates."""
-    nodes = near.select(F.col("node").alias("n_key"), "root").unionByName(near.select(F.col("root").alias("n_key"), "root").distinct())
+def members(forest: DataFrame) -> DataFrame:
+    """(n_key, root) of every node of `components`, roots included."""
+    return forest.select(F.col("node").alias("n_key"), "root").unionByName(forest.select(F.col("root").alias("n_key"), "root").distinct())
+
+
+def by_fingerprint(own: DataFrame, radius: int) -> DataFrame:
+    """(n_key, root): the sets whose fingerprints are linked with those of others, by component."""
+    sets = own.where("total > 0").select("key", "fp").distinct()
+    forest = components(search(sets.select("fp").distinct(), radius))
+    placed = materialize(sets.join(forest, sets["fp"] == forest["node"], "left").select(F.col("key").alias("n_key"), F.coalesce("root", "fp").alias("root")), "near-fingerprints")
+    several = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("root").alias("s_root"))
+    return placed.join(several, F.col("root") == F.col("s_root"), "left_semi")
+
+
+def verified(texts: DataFrame, own: DataFrame, nodes: DataFrame, k: int, similarity: float, seed: int) -> DataFrame:
+    """(a, b): links of sets that reach the similarity inside the components `nodes` (n_key, root) of candidates."""
     sized = own.join(nodes, own["key"] == nodes["n_key"]).groupBy("key", "root").agg(F.min("h").alias("v_h"), F.max("total").alias("size"))
     sized = materialize(sized, "near-sizes")
     large = sized.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("root", "l_root")
@@ -289,23 +314,31 @@ def verified(texts: DataFrame, own: DataFrame, near: DataFrame, k: int, similari
     return dealt.groupBy("root", "i", "j").applyInArrow(links, "a bigint, b bigint")
 
 
-def groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
+def groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """(id, h, root) for each row: h is a hash of the text, and rows of one root
     are reachable from each other over pairs of texts that reach the similarity.
 
     Null and empty texts are copies of each other, and a text of fewer than k
-    words is similar to one of the same words only.
+    words is similar to one of the same words only. The radius steers cost only.
     """
     texts = df.select(F.col(f"`{id}`").alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").alias("text"))
     profiles = materialize(_profiles(texts, frequent(texts, k, seed), k, similarity, seed), "profiles")
-    own = materialize(profiles.where("unit = 0").select("id", "h", "key", "total"), "sets")
-    met = materialize(shared(profiles.select(F.explode("tokens").alias("token"), "key", "unit")), "shared")
+    own = materialize(profiles.where("unit = 0").select("id", "h", "key", "fp", "total"), "sets")
+    links = materialize(verified(texts, own, by_fingerprint(own, radius), k, similarity, seed), "near-links")
+    known = materialize(members(components(links)).select(F.col("n_key").alias("k_key"), F.col("root").alias("known")), "near-known")
+    few = F.broadcast(known) if known.count() <= BROADCAST else known
+    # The links that are left run between different groups.
+    grouped = profiles.where("unit > 0").join(few, F.col("key") == F.col("k_key"), "left").select("tokens", "key", "unit", F.coalesce("known", "key").alias("known"))
+    met = materialize(shared(grouped.select(F.explode("tokens").alias("token"), "key", "unit", "known")), "shared")
     # Of each part that meets another, one bitmap.
     wanted = met.select("key", "unit").distinct()
     bitmaps = profiles.where("unit > 0").select("key", "unit", "size", "bits").join(wanted, ["key", "unit"], "left_semi").dropDuplicates(["key", "unit"])
     entries = met.join(bitmaps, ["key", "unit"]).repartition("token").sortWithinPartitions("token", "key")
-    near = materialize(components(candidates(entries, similarity)), "near")
+    near = materialize(members(components(candidates(entries, similarity))), "near")
     release(met)
     release(profiles)
-    named = components(verified(texts, own, near, k, similarity, seed)).select(F.col("node").alias("n_key"), F.col("root").alias("n_root"))
+    held = near.join(few, F.col("n_key") == F.col("k_key"), "left").groupBy(F.col("root").alias("o_root")).agg(F.min(F.coalesce("known", "n_key")).alias("low"), F.max(F.coalesce("known", "n_key")).alias("high"))
+    open_nodes = near.join(held.where("low != high"), F.col("root") == F.col("o_root"), "left_semi")
+    every = links.unionByName(verified(texts, own, open_nodes, k, similarity, seed))
+    named = components(every).select(F.col("node").alias("n_key"), F.col("root").alias("n_root"))
     return own.join(named, own["key"] == named["n_key"], "left").select("id", "h", F.coalesce("n_root", "key").alias("root"))

@@ -66,7 +66,11 @@ def shingle_hashes(words: list[bytes], k: int = SHINGLE, seed: int = SEED) -> np
 
 def fingerprint(words: list[bytes], k: int = SHINGLE, seed: int = SEED) -> int:
     """A bit is 1 if it is set in over half the shingle hashes; no words give 0."""
-    hashes = shingle_hashes(words, k, seed)
+    return majority(shingle_hashes(words, k, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes; none give 0."""
     if not len(hashes):
         return 0
     votes = np.zeros(BITS, np.int64)
@@ -397,17 +401,22 @@ def _marks(edges: DataFrame) -> tuple:
     return tuple(one)
 
 
-def _grouped(df: DataFrame, id: str, text: str, k: int, radius: int, seed: int) -> DataFrame:
-    """(id, h, fp, root, component_id) for each row; h is a hash of the text."""
-    narrow = df.select(F.col(f"`{id}`").alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").alias("text"))
-    own = materialize(fingerprints(narrow, "text", ["id", "h"], k, seed), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min("id").alias("rep"))
+def search(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): for each task a spanning forest of the links within the radius among the rows' distinct `fp`."""
     n, both = bit_counts(distinct)
     sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     plan = allocate(n, both, radius, np.array([r["fp"] for r in sample], np.int64).view(np.uint64))
     sigs = signatures(distinct, plan)
     # With fewer fingerprints no bucket can be too large.
-    forest = components(links(spread_hot(sigs, radius) if n > HOT_BUCKET else sigs, radius))
+    return links(spread_hot(sigs, radius) if n > HOT_BUCKET else sigs, radius)
+
+
+def _grouped(df: DataFrame, id: str, text: str, k: int, radius: int, seed: int) -> DataFrame:
+    """(id, h, fp, root, component_id) for each row; h is a hash of the text."""
+    narrow = df.select(F.col(f"`{id}`").alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").alias("text"))
+    own = materialize(fingerprints(narrow, "text", ["id", "h"], k, seed), "fingerprints")
+    distinct = own.groupBy("fp").agg(F.min("id").alias("rep"))
+    forest = components(search(distinct, radius))
     linked = distinct.join(forest, distinct["fp"] == forest["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     low = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     # A large component is named part by part.

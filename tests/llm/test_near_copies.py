@@ -70,3 +70,27 @@ def test_similar_sets_meet_in_a_part(monkeypatch):
             continue
         one, two = ({n: (p, set((near_copies.prefix(p, late) ^ salt).tolist())) for n, p, salt in near_copies.parts(s)} for s in sets)
         assert any(one[n][1] & two[n][1] and near_copies.similar(one[n][0], two[n][0]) for n in one.keys() & two.keys())
+
+
+def test_simhash_finds_most_groups_and_the_join_the_rest(spark, monkeypatch):
+    texts = variants(60, 10)
+    kept, pairs = brute_force(texts)
+    joined = []
+
+    def none(entries):
+        joined.append(entries.where("key != known").count())
+        return entries.limit(0).select("token", "key", "unit")
+
+    monkeypatch.setattr(near_copies, "shared", none)
+    out = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts), "").collect()}
+    # Without the join nothing dissimilar goes, and most near copies are gone.
+    assert kept <= out
+    same = len({near_copies.set_key(near_copies.shingles(t)) for t in texts})
+    assert same - len(out) >= 0.7 * (same - len(kept)) > 50
+    assert joined[0] > 0
+
+
+def test_tokens_of_one_group_are_not_joined(spark):
+    rows = [(1, 10, 1, 10), (1, 11, 1, 10), (2, 10, 1, 10), (2, 11, 1, 10), (2, 12, 1, 12), (3, 12, 1, 12), (2, 12, 1, 12)]
+    df = spark.createDataFrame(rows, "token bigint, key bigint, unit int, known bigint")
+    assert sorted(tuple(r) for r in near_copies.shared(df).collect()) == [(2, 10, 1), (2, 11, 1), (2, 12, 1)]
