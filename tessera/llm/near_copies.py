@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release
-from .simhash import Forest, components, search, shingle_hashes, text_words
+from .simhash import Forest, components, merged, search, shingle_hashes, text_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -296,6 +296,16 @@ def members(forest: DataFrame) -> DataFrame:
     return forest.select(F.col("node").alias("n_key"), "root").unionByName(forest.select(F.col("root").alias("n_key"), "root").distinct())
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """(a, b): the forests of many tasks as edges of the same components, hardly more of them than nodes.
+
+    A large group's node is in the forest of each task that it met others in, under
+    a root of that task. Where all edges of a node meet, one of them stays, and one
+    for each root that these connect.
+    """
+    return merged(edges.repartition("a"))
+
+
 def by_fingerprint(own: DataFrame, radius: int) -> DataFrame:
     """(n_key, root): the sets of which a word is linked with those of others, by the word's component.
 
@@ -304,7 +314,8 @@ def by_fingerprint(own: DataFrame, radius: int) -> DataFrame:
     """
     sets = materialize(own.where("total > 0").select("key", "fps").dropDuplicates(["key"]), "near-fingerprints")
     found = [materialize(search(sets.select(F.col("fps")[i].alias("fp")).distinct(), radius), "near-found") for i in range(WORDS)]
-    forest = components(functools.reduce(DataFrame.unionByName, found))
+    # Files of several tasks are read together, so their forests are merged before they are dealt.
+    forest = components(thinned(merged(functools.reduce(DataFrame.unionByName, found))))
     placed = materialize(sets.select("key", F.explode("fps").alias("fp")).join(forest, F.col("fp") == F.col("node"), "left").select(F.col("key").alias("n_key"), F.coalesce("root", "fp").alias("root")), "near-words")
     marks = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("n_key").cast("decimal(38,0)")).alias("mark")).where("n > 1")
     once = marks.groupBy("n", "mark").agg(F.min("root").alias("s_root"))
@@ -366,7 +377,7 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHING
     wanted = met.select("key", "unit").distinct()
     bitmaps = profiles.where("unit > 0").select("key", "unit", "size", "bits").join(wanted, ["key", "unit"], "left_semi").dropDuplicates(["key", "unit"])
     entries = met.join(bitmaps, ["key", "unit"]).repartition("token").sortWithinPartitions("token", "key")
-    near = materialize(members(components(candidates(entries, similarity))), "near")
+    near = materialize(members(components(thinned(candidates(entries, similarity)))), "near")
     release(met)
     release(profiles)
     held = near.join(few, F.col("n_key") == F.col("k_key"), "left").groupBy(F.col("root").alias("o_root")).agg(F.min(F.coalesce("known", "n_key")).alias("low"), F.max(F.coalesce("known", "n_key")).alias("high"))

@@ -42,6 +42,8 @@ PROBE_COST, CANDIDATE_COST = 1.0, 0.05
 WIDE_BUCKET, HOT_BUCKET = 4096, 1 << 20
 #: Fingerprints whose pairs estimate how often values of a partition are close; steers cost only.
 SAMPLE = 2048
+#: Nodes beyond which a task that merges forests gives out what it has and begins another.
+FOREST = 1 << 19
 #: Parts into which the rows of one component are dealt when it is named.
 SALTS = 16
 
@@ -366,6 +368,28 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
+def merged(edges: DataFrame) -> DataFrame:
+    """(a, b): for each task a spanning forest of its rows' components, which keeps all that they connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+
+        def flush() -> pa.RecordBatch:
+            a, b = forest.edges()
+            forest.up.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(*(batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64).tolist() for i in (0, 1))):
+                forest.link(a, b)
+            if len(forest.up) > FOREST:
+                yield flush()
+        if forest.up:
+            yield flush()
+
+    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components by alternating star contraction.
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import near_copies
+from tessera.llm import near_copies, simhash
 
 from .corpus import documents, frame, text, word
 
@@ -141,3 +141,44 @@ def test_words_of_a_fingerprint(spark):
     # Which bit has which place does not matter.
     assert [int(x).bit_count() for x in fps] == [int((v * 2 > len(own)).sum()) for v in votes]
     assert near_copies.fingerprint(own[:0]).tolist() == [0] * near_copies.WORDS
+
+
+def test_a_large_group_gives_hardly_more_edges_than_nodes(spark, monkeypatch):
+    rng = random.Random(12)
+    base = text(rng, 200).split()
+    texts = documents(40)
+    for _ in range(300):
+        words = list(base)
+        words[rng.randrange(len(words))] = word(rng)
+        texts.append(" ".join(words))
+    counts, components = [], near_copies.components
+
+    def counted(edges):
+        counts.append((edges.count(), edges.select("a").union(edges.select("b")).distinct().count()))
+        return components(edges)
+
+    monkeypatch.setattr(near_copies, "components", counted)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, texts), "").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert out == brute_force(texts)[0]
+    # The group's nodes meet in nearly all of the 16 tasks.
+    assert counts[0][1] > 600 and all(edges <= 2 * nodes for edges, nodes in counts)
+
+
+@pytest.mark.parametrize("forest", [simhash.FOREST, 10])
+def test_merged_forests_connect_the_same(spark, monkeypatch, forest):
+    monkeypatch.setattr(simhash, "FOREST", forest)
+    rng = random.Random(13)
+    rows = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(-7, x) for x in range(50)] * 5
+    edges = spark.createDataFrame(rows, "a bigint, b bigint").repartition(5)
+    want = {(r.node, r.root) for r in simhash.components(edges).collect()}
+    for got in (simhash.merged(edges), near_copies.thinned(simhash.merged(edges))):
+        assert got.count() < len(rows)
+        assert {(r.node, r.root) for r in simhash.components(got).collect()} == want
